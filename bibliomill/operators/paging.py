@@ -40,7 +40,7 @@ def _with_segments(docs: DataFrame, text: str) -> DataFrame:
     def between(pattern: str) -> Column:
         number = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
         mark = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        body = F.slice(F.split(c, pattern, -1), 2, 2_147_483_647)
+        body = F.slice(F.split(c, pattern, -1), 2, 1 << 30)
         return F.transform(
             F.arrays_zip(number.alias("number"), mark.alias("mark"), body.alias("body")),
             lambda s: F.struct(

@@ -36,20 +36,20 @@ FROM {documents}"""
 
 VIEWS["v_catalog"] = """
 SELECT doc_id,
-  'lib' || CAST(floor(doc_id / 40) % 3 AS BIGINT) AS root,
-  'lib' || CAST(floor(doc_id / 40) % 3 AS BIGINT) || '/shelf' || CAST(floor(doc_id / 40) AS BIGINT) AS dir,
+  'lib' || CAST(CAST(floor(doc_id / 40) AS BIGINT) % 3 AS STRING) AS root,
+  'lib' || CAST(CAST(floor(doc_id / 40) AS BIGINT) % 3 AS STRING) || '/shelf' || CAST(floor(doc_id / 40) AS BIGINT) AS dir,
   CASE doc_id % 8
     WHEN 0 THEN 'Book ' || CAST(floor(doc_id / 8) AS BIGINT) || '.pdf'
     WHEN 1 THEN 'Book ' || CAST(floor(doc_id / 8) AS BIGINT) || '_opt.txt'
     WHEN 2 THEN 'Book ' || CAST(floor(doc_id / 8) AS BIGINT) || '_OCR.txt'
     WHEN 3 THEN 'Book ' || CAST(floor(doc_id / 8) AS BIGINT) || '_【繁转简】.TXT'
-    WHEN 4 THEN '近代史料丛刊 第' || translate(CAST(floor(doc_id / 8) % 90 + 1 AS STRING), '0123456789.', '〇一二三四五六七八九')
+    WHEN 4 THEN '近代史料丛刊 第' || translate(CAST(CAST(floor(doc_id / 8) AS BIGINT) % 90 + 1 AS STRING), '0123456789', '〇一二三四五六七八九')
                 || '辑_' || CAST(10000000 + doc_id AS STRING) || '_PD6AIFOCR.pdf'
-    WHEN 5 THEN '近代史料丛刊 第' || translate(CAST(floor(doc_id / 8) % 90 + 1 AS STRING), '0123456789.', '〇一二三四五六七八九')
+    WHEN 5 THEN '近代史料丛刊 第' || translate(CAST(CAST(floor(doc_id / 8) AS BIGINT) % 90 + 1 AS STRING), '0123456789', '〇一二三四五六七八九')
                 || '辑_PDV5AIOCR_【简转繁】.txt'
-    WHEN 6 THEN '续考' || translate(CAST(floor(doc_id / 16) AS STRING), '0123456789.', '〇一二三四五六七八九')
+    WHEN 6 THEN '续考' || translate(CAST(CAST(floor(doc_id / 16) AS BIGINT) AS STRING), '0123456789', '〇一二三四五六七八九')
                 || '_郑良树编著_台湾学生书局' || CAST(1950 + doc_id % 50 AS STRING) || '年（上）.pdf'
-    ELSE '李泽厚：美的历程' || CAST(floor(doc_id / 8) % 20 AS BIGINT) || '（全' || CAST(doc_id % 5 + 1 AS STRING)
+    ELSE '李泽厚：美的历程' || CAST(CAST(floor(doc_id / 8) AS BIGINT) % 20 AS STRING) || '（全' || CAST(doc_id % 5 + 1 AS STRING)
          || '册）（北京 文物出版社1981年）.epub'
   END AS name,
   n_chars AS size,
@@ -68,3 +68,34 @@ SELECT page_id, url,
   regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path,
   length(html) AS size
 FROM {pages}"""
+
+VIEWS["v_targets"] = """
+SELECT s_suppkey, 'target ' || CAST(s_suppkey AS STRING) AS target,
+  CASE WHEN s_suppkey % 10 = 0 THEN '' ELSE
+    'lib' || CAST(s_suppkey % 4 AS STRING) || '/shelf' || CAST(s_suppkey % 30 AS STRING) || '/;LIB1/Shelf'
+    || CAST(s_suppkey % 26 AS STRING) || ';; lib9/gone' || CAST(s_suppkey % 4 AS STRING) END AS location,
+  s_suppkey % 5 <> 0 AS store_exists,
+  'store/' || CAST(s_suppkey AS STRING) AS store
+FROM {supplier}"""
+
+VIEWS["v_watch"] = """
+SELECT n_nationkey AS pos, n_name AS key,
+  'lib' || CAST(n_nationkey % 4 AS STRING) || '/shelf' || CAST(n_nationkey AS STRING) AS expected,
+  n_nationkey % 3 <> 0 AS main,
+  CASE n_nationkey % 3 WHEN 0 THEN 'optional' WHEN 1 THEN 'critical' ELSE 'dual' END AS level
+FROM {nation}"""
+
+VIEWS["v_present"] = "SELECT DISTINCT dir FROM {v_catalog}"
+
+# Members of a group are suppliers of one nation; one member in seven is misspelt.
+VIEWS["v_groups"] = """
+SELECT 'group ' || CAST(s_nationkey AS STRING) AS name,
+  'target ' || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 7 = 0 THEN '?' ELSE '' END AS member,
+  s_suppkey AS member_pos
+FROM {supplier}"""
+
+VIEWS["v_asked"] = """
+SELECT CAST(c_custkey AS BIGINT) AS pos,
+  CASE WHEN c_custkey % 5 = 0 THEN 'group ' || CAST(c_nationkey AS STRING)
+       ELSE 'target ' || CAST(c_custkey % 150 AS STRING) END AS name
+FROM {customer}"""
