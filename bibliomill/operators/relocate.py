@@ -91,48 +91,46 @@ def path_map_entries(moves: DataFrame) -> DataFrame:
 def find_moved(wanted: DataFrame, moves: DataFrame, catalog: DataFrame) -> DataFrame:
     """Present path of recorded files, by falling certainty, tagged ``matched_by``.
 
-    ``wanted(id, path, fn, size, npages)``; ``catalog(dir, name, size, npages)``.  Each
-    step sees only what the steps before left over: remembered moves, equal fingerprint,
-    equal last directories and name, a name that begins with the title.
+    ``wanted(id, path, fn, size, npages)``; ``catalog(dir, name, size, npages)``.  The
+    ways, by rank: remembered moves, equal fingerprint, equal last directories and name, a
+    name that begins with the title.  The catalog is reduced to one file per key before
+    it is joined, so a key shared by many files costs one row, and the best ranked way of
+    a record is a minimum.
     """
     entries = path_map_entries(moves)
-    cat = catalog.select("dir", "name", "size", "npages", X.join_path(F.col("dir"), F.col("name")).alias("_to"))
+    cat = catalog.select("name", "size", "npages", X.join_path(F.col("dir"), F.col("name")).alias("_to"))
+    name = F.coalesce("fn", X.basename(F.col("path")))
 
     probe = wanted.select(
-        "id",
-        F.posexplode(F.array(F.col("path"), X.norm_path(F.col("path")), F.coalesce("fn", X.basename(F.col("path"))))).alias("_o", "map_key"),
+        "id", F.posexplode(F.array(F.col("path"), X.norm_path(F.col("path")), name)).alias("_o", "map_key")
     )
-    by_map = probe.join(entries, "map_key").groupBy("id").agg(F.min_by("new_path", "_o").alias("found"))
-    rest = wanted.join(by_map, "id", "left_anti")
+    by_map = probe.join(entries, "map_key").select("id", "_o", F.col("new_path").alias("found"))
 
     prints = cat.groupBy(F.col("name").alias("fn"), "size", "npages").agg(F.min("_to").alias("found"))
-    by_print = rest.join(prints, ["fn", "size", "npages"]).select("id", "found")
-    rest = rest.join(by_print, "id", "left_anti")
+    by_print = wanted.select("id", "fn", "size", "npages").join(prints, ["fn", "size", "npages"])
 
     def tail(p: Column) -> Column:
         return F.lower(F.regexp_extract(F.replace(p, F.lit("\\"), F.lit("/")), r"([^/]+/[^/]+)$", 1))
 
     tails = cat.groupBy(tail(F.col("_to")).alias("_tail")).agg(F.min("_to").alias("found")).filter("_tail <> ''")
-    by_tail = rest.withColumn("_tail", tail(F.col("path"))).join(tails, "_tail").select("id", "found")
-    rest = rest.join(by_tail, "id", "left_anti")
-
-    # Beginnings of the names, reduced to one file each before they meet the titles.
-    titled = rest.withColumn("_title", F.lower(X.stem(F.coalesce("fn", X.basename(F.col("path"))))))
-    titled = titled.filter(F.length("_title") >= 2)
-    names = cat.select("_to", F.lower(X.stem(F.col("name"))).alias("_s"))
-    begins = names.select(
-        "_to",
-        F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s"), F.lit(1))), lambda i: F.substring(F.col("_s"), F.lit(1), i))).alias("_title"),
+    by_tail = wanted.select("id", tail(F.col("path")).alias("_tail")).join(tails, "_tail")
+
+    titled = wanted.select("id", F.lower(X.stem(name)).alias("_title")).filter(F.length("_title") >= 2)
+    names = cat.select("_to", F.lower(X.stem(F.col("name"))).alias("_s")).filter(F.length("_s") >= 2)
+    cut = F.transform(F.sequence(F.lit(2), F.length("_s")), lambda i: F.substring(F.col("_s"), F.lit(1), i))
+    begins = names.select("_to", F.explode(cut).alias("_title")).groupBy("_title").agg(F.min("_to").alias("found"))
+    by_title = titled.join(begins, "_title")
+
+    ways = by_map.select("id", F.struct("_o", "found").alias("b"))
+    for rank, found in ((3, by_print), (4, by_tail), (5, by_title)):
+        ways = ways.unionByName(found.select("id", F.struct(F.lit(rank).alias("_o"), "found").alias("b")))
+    best = ways.groupBy("id").agg(F.min("b").alias("b"))
+    tags = F.array(*[F.lit(t) for t in ("map", "map", "map", "fingerprint", "tail", "title")])
+    return wanted.select("id").join(best, "id", "left").select(
+        "id",
+        F.col("b.found").alias("found"),
+        F.coalesce(F.get(tags, F.col("b._o")), F.lit("none")).alias("matched_by"),
     )
-    begins = begins.groupBy("_title").agg(F.min("_to").alias("found"))
-    by_title = titled.join(begins, "_title").select("id", "found")
-    rest = rest.join(by_title, "id", "left_anti")
-
-    steps = [(by_map, "map"), (by_print, "fingerprint"), (by_tail, "tail"), (by_title, "title")]
-    out = rest.select("id", F.lit(None).cast("string").alias("found"), F.lit("none").alias("matched_by"))
-    for found, tag in steps:
-        out = out.unionByName(found.select("id", "found").withColumn("matched_by", F.lit(tag)))
-    return out
 
 
 def relocation_map(located: DataFrame) -> DataFrame:

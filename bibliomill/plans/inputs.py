@@ -99,3 +99,41 @@ SELECT CAST(c_custkey AS BIGINT) AS pos,
   CASE WHEN c_custkey % 5 = 0 THEN 'group ' || CAST(c_nationkey AS STRING)
        ELSE 'target ' || CAST(c_custkey % 150 AS STRING) END AS name
 FROM {customer}"""
+
+# Dictionary lines: numbered names with spellings, repeated heads, names claimed twice.
+VIEWS["v_alias_lines"] = """
+SELECT 'main' AS source, 0 AS source_rank, p_partkey AS line_no,
+  CASE WHEN p_partkey % 50 = 0 THEN '# remark, not, a line'
+       WHEN p_partkey % 41 = 0 THEN '  lonely' || CAST(p_partkey AS STRING) || ' , '
+       ELSE CASE p_partkey % 5 WHEN 0 THEN 'namé' WHEN 1 THEN ' nème' ELSE 'name' END || CAST(p_partkey % 300 AS STRING)
+         || substr('，,、；;/|', CAST(p_partkey % 7 + 1 AS INT), 1) || 'alias' || CAST(p_partkey % 97 AS STRING)
+         || ' , nick' || CAST(p_partkey AS STRING) || ';name' || CAST(p_partkey * 7 % 300 AS STRING)
+         || '/alias' || CAST(p_partkey % 97 AS STRING) END AS line
+FROM {part}
+UNION ALL
+SELECT 'place' AS source, 1 AS source_rank, s_suppkey AS line_no,
+  CASE s_suppkey % 3 WHEN 0 THEN 'name' || CAST(s_suppkey % 300 AS STRING) WHEN 1 THEN 'town' || CAST(s_suppkey AS STRING)
+    ELSE 'alias' || CAST(s_suppkey % 97 AS STRING) END
+  || ',place' || CAST(s_suppkey AS STRING) || ',nick' || CAST(s_suppkey * 3 AS STRING) || ',é,towné' || CAST(s_suppkey AS STRING)
+  || CASE WHEN s_suppkey % 9 = 1 THEN '、tówn,town' || CAST(s_suppkey AS STRING) ELSE '' END AS line
+FROM {supplier}
+UNION ALL
+SELECT 'org' AS source, 2 AS source_rank, c_custkey AS line_no,
+  'town' || CAST(c_custkey % 120 AS STRING) || '|bureau' || CAST(c_custkey AS STRING) || '|nick' || CAST(c_custkey AS STRING) AS line
+FROM {customer}"""
+
+VIEWS["v_alias_terms"] = """
+SELECT DISTINCT term FROM (
+  SELECT CASE p_partkey % 3 WHEN 0 THEN 'name' WHEN 1 THEN 'namé' ELSE 'alias' END || CAST(p_partkey % 300 AS STRING) AS term FROM {part}
+  UNION ALL SELECT 'nick' || CAST(p_partkey AS STRING) FROM {part} WHERE p_partkey % 4 = 0
+  UNION ALL SELECT 'town' || CAST(s_suppkey AS STRING) FROM {supplier}
+  UNION ALL SELECT 'nowhere' || CAST(c_custkey AS STRING) FROM {customer} WHERE c_custkey % 10 = 0) AS u"""
+
+VIEWS["v_user_alias"] = """
+SELECT 'name' || CAST(c_custkey % 300 AS STRING) AS word, c_custkey AS pos, 'own' || CAST(c_custkey AS STRING) AS alias
+FROM {customer} WHERE c_custkey % 4 = 0"""
+
+VIEWS["v_blocked"] = """
+SELECT 'name' || CAST(p_partkey % 300 AS STRING) AS block_key, 'nick' || CAST(p_partkey AS STRING) AS alias FROM {part} WHERE p_partkey % 6 = 0
+UNION ALL
+SELECT DISTINCT 'name' || CAST(p_partkey % 300 AS STRING) AS block_key, 'nèmè' || CAST(p_partkey % 300 AS STRING) AS alias FROM {part} WHERE p_partkey % 300 < 50"""

@@ -33,6 +33,9 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         used = {n: getattr(self, n) for n in _mentioned(text)}
+        text = text.replace("{", "{{").replace("}", "}}")
+        for n in used:
+            text = text.replace("{{" + n + "}}", "{" + n + "}")
         return self.spark.sql(text, **used)
 
 
