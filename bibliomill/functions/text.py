@@ -28,8 +28,11 @@ LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]"
 BLANK = r"[\s\p{Z}\x{FFFD}]"
 
 
-def lit(value: str) -> Column:
-    return F.lit(value)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.  A named intermediate column can be
+    copied into every place that uses it, even into the loop of a higher-order function;
+    a lambda variable cannot."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def empty_to_null(c: Column) -> Column:

@@ -137,3 +137,25 @@ VIEWS["v_blocked"] = """
 SELECT 'name' || CAST(p_partkey % 300 AS STRING) AS block_key, 'nick' || CAST(p_partkey AS STRING) AS alias FROM {part} WHERE p_partkey % 6 = 0
 UNION ALL
 SELECT DISTINCT 'name' || CAST(p_partkey % 300 AS STRING) AS block_key, 'nèmè' || CAST(p_partkey % 300 AS STRING) AS alias FROM {part} WHERE p_partkey % 300 < 50"""
+
+# Colophons of every document: four lines put after its line doc_id mod 20.
+VIEWS["v_colophon"] = """
+SELECT doc_id, lang,
+  CASE WHEN doc_id % 6 = 5 THEN text ELSE
+    replace(text, chr(10), chr(10) || '卷首语' || chr(10)) || chr(10)
+    || CASE doc_id % 6
+      WHEN 0 THEN '图书在版编目（CIP）数据' || chr(10) || '美的历程' || translate(CAST(doc_id AS STRING), '0123456789', '〇一二三四五六七八九')
+           || '／李泽厚著．—北京：文物出版社，' || CAST(1950 + doc_id % 60 AS STRING) || '.3' || chr(10) || 'ISBN ７-5010-0000-0' || chr(10) || '定价：2.00元'
+      WHEN 1 THEN '冯玉祥传略' || chr(10) || '（内部资料）' || chr(10) || '王某某 张三丰编著' || chr(10) || '中華書局' || chr(10)
+           || CAST(1950 + doc_id % 60 AS STRING) || '年5月第1版　1999年6月第1次印刷' || chr(10) || '统一书号 11018·1000'
+      WHEN 2 THEN '本书由中华书局授权出版发行' || chr(10) || '版权所有：中华书局' || chr(10) || 'ISBN 978-7-101-00000-1' || chr(10)
+           || CAST(1950 + doc_id % 60 AS STRING) || '年3月第1版，第2次印刷'
+      WHEN 3 THEN '山川志' || chr(10) || '四川省社会科学院某某出版社出版' || chr(10) || '出版日期 ' || CAST(1950 + doc_id % 60 AS STRING) || chr(10) || '四川某某出版社'
+      ELSE '商务印书馆' || chr(10) || '上海商务印书馆出版 ' || CAST(1950 + doc_id % 60 AS STRING) || '年初印刷' || chr(10) || '印数 1-3000册'
+    END || chr(10) || '書學國會' || CASE WHEN doc_id % 4 = 0 THEN '书学国会发录' ELSE '' END
+  END AS text
+FROM {documents}"""
+
+VIEWS["v_publishers"] = """
+SELECT * FROM (VALUES (1, '文物出版社', '北京'), (2, '中华书局', '北京'), (3, '商务印书馆', '北京'), (4, '上海商务印书馆', '上海'),
+  (5, '台湾学生书局', '台北'), (6, '文物出版社', '第二个'), (7, '黄山书社', '合肥')) AS p(pos, publisher, city)"""
