@@ -10,6 +10,7 @@ from bibliomill.functions import names as N
 from bibliomill.functions import text as X
 from bibliomill.functions.dims import SMALL
 from bibliomill.operators.search import contained_terms
+from bibliomill.session import cut_lineage
 
 # ---- fixed values: colophon key words with their weights, and patterns ----------------
 LINE_WEIGHTS = (
@@ -425,6 +426,8 @@ def deep_records(
     pick = ["title", "author", "publisher", "city", "year", "block"]
 
     def from_sibling(base: DataFrame, fields: DataFrame, tag: str, exts: tuple[str, ...]) -> DataFrame:
+        # Extraction is costly and four branches read its result: written once.
+        fields = cut_lineage(fields.select("dir", "name", *pick), f"{tag}-fields")
         telling = fields.filter(F.coalesce(*[F.col(c) for c in pick[:-1]]).isNotNull())
         listed = f.filter(F.col("ext").isin(*exts)).select("dir", "name")
         at = sibling(base.select("dir", "name", "fk"), telling.select("dir", "name"), listed).select("dir", "name", F.col("peer").alias(f"{tag}_file"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["inputs", "search_queries", "catalog_queries", "alias_queries", "biblio_queries"]
+FAMILIES = ["inputs", "search_queries", "catalog_queries", "alias_queries", "biblio_queries", "date_queries"]
 
 
 def load_queries():

@@ -383,7 +383,7 @@ def rights_sql() -> str:
         else:
             least = 1 if field in ("edition", "printing") else 2
             v = f"CASE WHEN length(trim({v}, ' :：')) >= {least} THEN trim({v}, ' :：') END"
-        cols.append(f"{v} AS {field}")
+        cols.append(f'{v} AS "{field}"')
     return f"SELECT doc_id, source_rank, source, {', '.join(cols)} FROM (SELECT doc_id, source_rank, source, {half('text')} AS t FROM rt)"
 
 
@@ -392,7 +392,7 @@ def rights_sql() -> str:
     oracle(
         "SELECT doc_id, "
         + ", ".join(
-            f"arg_min({f}, source_rank) FILTER (WHERE {f} IS NOT NULL) AS {f}, arg_min(source, source_rank) FILTER (WHERE {f} IS NOT NULL) AS {f}_src"
+            f'arg_min("{f}", source_rank) FILTER (WHERE "{f}" IS NOT NULL) AS "{f}", arg_min(source, source_rank) FILTER (WHERE "{f}" IS NOT NULL) AS {f}_src'
             for f, _ in B.RIGHTS
         )
         + " FROM rc GROUP BY doc_id",

@@ -159,3 +159,31 @@ FROM {documents}"""
 VIEWS["v_publishers"] = """
 SELECT * FROM (VALUES (1, '文物出版社', '北京'), (2, '中华书局', '北京'), (3, '商务印书馆', '北京'), (4, '上海商务印书馆', '上海'),
   (5, '台湾学生书局', '台北'), (6, '文物出版社', '第二个'), (7, '黄山书社', '合肥')) AS p(pos, publisher, city)"""
+
+# Dates in words from the order table: reign years in digits and numerals, cycle names,
+# reign with cycle, years beyond a reign, and text that must be passed over.
+VIEWS["v_dates"] = """
+SELECT o_orderkey AS doc_id, n, y,
+  substr('甲乙丙丁戊己庚辛壬癸', CAST((y + 6) % 10 + 1 AS INT), 1) || substr('子丑寅卯辰巳午未申酉戌亥', CAST((y + 8) % 12 + 1 AS INT), 1) AS gz,
+  CASE WHEN n < 10 THEN '' WHEN n < 20 THEN '十' ELSE substr('一二三四五六七八九', CAST(floor(n / 10) AS INT), 1) || '十' END
+    || CASE WHEN n % 10 = 0 THEN '' ELSE substr('一二三四五六七八九', CAST(n % 10 AS INT), 1) END AS cn
+FROM (SELECT o_orderkey, CAST(1 + o_orderkey % 60 AS BIGINT) AS n, CAST(year(o_orderdate) - 100 AS BIGINT) AS y FROM {orders}) AS o"""
+
+VIEWS["v_date_text"] = """
+SELECT doc_id, n, y, gz, cn,
+  CASE doc_id % 8
+    WHEN 0 THEN '于民国' || CAST(n AS STRING) || '年到' || gz || '年止'
+    WHEN 1 THEN '光绪' || cn || '年，又康熙' || CAST(n + 20 AS STRING) || '年'
+    WHEN 2 THEN '【光绪' || cn || '年】见' || gz || '【注】与' || gz
+    WHEN 3 THEN '咸丰' || gz || '、光緒　' || gz || '及甲丑'
+    WHEN 4 THEN '明治元年' || gz || '明治元年'
+    WHEN 5 THEN '未闭【道光' || cn || '年，乾隆〇年，宣统正年'
+    ELSE '无纪年之文' || CAST(n AS STRING) END AS text
+FROM {v_dates}"""
+
+VIEWS["v_day_text"] = """
+SELECT event_id AS doc_id, d,
+  CASE event_id % 5 WHEN 0 THEN '接' || c || '电，又' || c || '电' WHEN 1 THEN '没' || c || '电' WHEN 2 THEN c || '电文三件'
+    WHEN 3 THEN '今日送电与' || c || '电' ELSE '通电' END AS text, c
+FROM (SELECT event_id, CAST(day(ts) AS BIGINT) AS d,
+  substr('东冬江支微鱼虞齐佳灰真文元寒删铣篠巧皓哿马养梗迥有寝感俭艳卅世', CAST(day(ts) AS INT), 1) AS c FROM {events}) AS e"""
