@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SMALL = 512
+# Terms looked for in a text one by one.  Up to here that costs less per page than taking
+# the page apart for a join would.
+TERMS = 4096
 BROADCAST_ROWS = 200_000
 
 
@@ -30,9 +34,5 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def struct_array(rows: Sequence[Row], schema: T.StructType) -> Column:
     """A constant array of structs, used to look a small dimension up inside a row."""
-    kind = T.ArrayType(schema)
-    if not rows:
-        return F.array().cast(kind)
-    return F.array(
-        *[F.struct(*[F.lit(row[f.name]).alias(f.name) for f in schema.fields]) for row in rows]
-    ).cast(kind)
+    text = json.dumps([row.asDict(recursive=True) for row in rows], ensure_ascii=False)
+    return F.from_json(F.lit(text), T.ArrayType(schema))

@@ -44,6 +44,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def rstrip(c: Column) -> Column:
+    plain = F.rtrim(c)
+    return F.when(F.rlike(plain, F.lit(r"(?U)\s\z")), F.regexp_replace(plain, r"(?U)\s+\z", "")).otherwise(plain)
+
+
 def strip_chars(c: Column, chars: str) -> Column:
     return F.btrim(c, F.lit(chars))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bibliomill.functions import text as X
 from bibliomill.functions.dims import small_rows
@@ -47,14 +47,14 @@ class Variants:
         if self.by_char:
             return F.translate(c, "".join(s for s, _ in rows), "".join(d for _, d in rows))
         replace = _longest_match(rows)
-        return F.pandas_udf(lambda s: s.map(replace, na_action="ignore"), "string")(c)
+        return F.pandas_udf(lambda s: s.map(replace, na_action="ignore"), T.StringType())(c)
 
     def variants(self, c: Column) -> Column:
         """All other spellings of a word in order of discovery: every conversion of every
         spelling found so far, at most three rounds."""
         if not self.by_char:
             steps = [_longest_match(self.table[k]) for k in CONFIGS]
-            return F.pandas_udf(lambda s: s.map(lambda w: _closure(w, steps)), "array<string>")(c)
+            return F.pandas_udf(lambda s: s.map(lambda w: _closure(w, steps)), T.ArrayType(T.StringType()))(c)
         found = F.array(c)
         for _ in range(ROUNDS):
             more = F.flatten(F.transform(found, lambda w: F.array(*[self.convert(w, k) for k in CONFIGS])))

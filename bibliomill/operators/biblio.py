@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from bibliomill.functions import names as N
 from bibliomill.functions import text as X
-from bibliomill.functions.dims import SMALL
+from bibliomill.functions.dims import TERMS
 from bibliomill.operators.search import contained_terms
 from bibliomill.session import cut_lineage
 
@@ -78,6 +78,9 @@ TOC_STRONG, TOC_WEAK = ("版权页", "版權頁"), ("版权", "版權")
 SAMPLE_KEYS = ("ISBN", "出版", "定价", "印刷")
 # ---------------------------------------------------------------------------------------
 
+# Characters one of which every key word of a colophon contains: a cheap first test.
+ANY_KEY = "[图CI书書定第出發发印开開字插]"
+
 FIELDS = ("title", "volume", "author", "publisher", "year", "ssid", "city")
 
 
@@ -89,13 +92,12 @@ def line_weight(line: Column) -> Column:
     total = F.lit(0)
     for weight, pattern in LINE_WEIGHTS:
         total = total + F.when(_match(line, pattern), weight).otherwise(0)
-    return F.when(F.length(line).between(2, 80), total).otherwise(0)
+    return F.when(F.length(line).between(2, 80) & _match(line, ANY_KEY), total).otherwise(0)
 
 
 def _rated_lines(lines: Column) -> Column:
-    return F.transform(
-        lines, lambda l: F.struct(line_weight(l).alias("w"), F.when(_match(l, STRONG), 1).otherwise(0).alias("s"))
-    )
+    strong = lambda l: F.when(_match(l, ANY_KEY) & _match(l, STRONG), 1).otherwise(0)
+    return F.transform(lines, lambda l: F.struct(line_weight(l).alias("w"), strong(l).alias("s")))
 
 
 def colophon(text: Column) -> Column:
@@ -112,9 +114,15 @@ def colophon(text: Column) -> Column:
         def total(i: Column, field: str) -> Column:
             return F.aggregate(F.slice(rated, i + 1, WINDOW), F.lit(0), lambda a, r: a + r[field])
 
+        # The first window holding any given lines begins eleven lines before the last of
+        # them, so only such windows are rated.
+        told = F.filter(
+            F.transform(rated, lambda r, i: F.when((r["w"] > 0) | (r["s"] > 0), F.greatest(i - (WINDOW - 1), F.lit(0)))),
+            lambda i: i.isNotNull(),
+        )
         windows = F.transform(
-            rated,
-            lambda r, i: F.struct(total(i, "s").alias("s"), total(i, "w").alias("w"), (-i).alias("i")).cast(kind),
+            F.array_distinct(told),
+            lambda i: F.struct(total(i, "s").alias("s"), total(i, "w").alias("w"), (-i).alias("i")).cast(kind),
         )
         return F.array_max(windows)
 
@@ -131,7 +139,7 @@ def colophon(text: Column) -> Column:
             F.when(found, -b["i"]).cast("long").alias("at_line"),
         )
 
-    ends = F.transform(X.lines(X.half_width(text)), lambda l: F.regexp_replace(l, r"(?U)\s+$", ""))
+    ends = F.transform(X.lines(X.half_width(text)), X.rstrip)
     none = F.lit(None).cast(kind)
     chosen = lambda ls: F.when(_match(text, any_word), X.let(_rated_lines(ls), best)).otherwise(none)
     return X.let(ends, lambda ls: X.let(chosen(ls), lambda b: cut(ls, b)))
@@ -227,7 +235,7 @@ def shaped_publisher(block: Column) -> Column:
     return F.coalesce(F.array_max(rated)["p"], F.lit(""))
 
 
-def publishers(blocks: DataFrame, dictionary: DataFrame, key: str = "doc_id", limit: int = SMALL) -> DataFrame:
+def publishers(blocks: DataFrame, dictionary: DataFrame, key: str = "doc_id", limit: int = TERMS) -> DataFrame:
     """Publisher of each block: a dictionary name filling a line, else the longest
     dictionary name inside (the one starting last on a tie), else the most frequent shape."""
     b = blocks.select(key, F.translate("block", LIGHT_TRAD, LIGHT_SIMP).alias("nb"))
@@ -349,7 +357,7 @@ def trad_share(text: Column) -> Column:
     return F.when(trad + simp > 0, trad / (trad + simp)).otherwise(0.0)
 
 
-def colophon_fields(texts: DataFrame, dictionary: DataFrame, surnames: str, key: str = "doc_id", limit: int = SMALL) -> DataFrame:
+def colophon_fields(texts: DataFrame, dictionary: DataFrame, surnames: str, key: str = "doc_id", limit: int = TERMS) -> DataFrame:
     """``block`` and the fields it tells; the cataloguing line goes before other readings."""
     b = colophons(texts.select(key, "text")).drop("at_line")
     read = F.struct(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.functions import text as X
-from bibliomill.functions.dims import SMALL, broadcast_if_small
+from bibliomill.functions.dims import TERMS, broadcast_if_small
 from bibliomill.functions.ranking import first_wins, numbered, top_per_key
 from bibliomill.operators.search import contained_terms
 
@@ -81,7 +81,7 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("action").agg(F.count(F.lit(1)).alias("files"))
 
 
-def name_search(files: DataFrame, keywords: DataFrame, limit: int = 500, constant_limit: int = SMALL) -> DataFrame:
+def name_search(files: DataFrame, keywords: DataFrame, limit: int = 500, constant_limit: int = TERMS) -> DataFrame:
     """Files per keyword (``kw``): its characters in a row in the name, punctuation and
     case ignored; only a keyword without such a file falls back to plain containment in
     name or directory.  At most ``limit`` files per keyword, by (dir, name).

@@ -11,15 +11,14 @@ from bibliomill.functions import text as X
 # One pass finds all kinds: the leftmost match wins, and no two kinds start at the same
 # place.  Bracketed notes are read as tokens of their own, so nothing inside them counts;
 # a mention already followed by a note is passed over, which makes annotating idempotent.
+# A look at the first character spares most places the list of era names.
+_ERA_FIRST = "".join(sorted({e[0] for e, _, _ in K.ERAS}))
 TOKEN = (
     r"(?U)【[^】]*】"
-    rf"|(?:{K.ERA_NAMES})\s*{K.NUMERAL}\s*年(?!【)"
-    rf"|(?:{K.ERA_NAMES})\s*{K.GANZHI}(?!【)"
+    rf"|(?=[{_ERA_FIRST}])(?:{K.ERA_NAMES})\s*(?:{K.NUMERAL}\s*年|{K.GANZHI})(?!【)"
     rf"|{K.GANZHI}年?+(?!【)"
 )
-ERA_NUMBER = rf"(?U)^({K.ERA_NAMES})\s*({K.NUMERAL})\s*年$"
-ERA_CYCLE = rf"(?U)^({K.ERA_NAMES})\s*({K.GANZHI})$"
-CYCLE = rf"^({K.GANZHI})年?$"
+ERA_HEAD = f"^(?:{K.ERA_NAMES})"
 
 
 def _overflow(era: Column, n: Column, year: Column) -> Column:
@@ -35,9 +34,6 @@ def _overflow(era: Column, n: Column, year: Column) -> Column:
 
 def read_mention(token: Column, allow_short_republic: bool = False) -> Column:
     """``struct<kind, era, n, year, years, note>`` of a token, NULL if it dates nothing."""
-    era_n, num = F.regexp_extract(token, ERA_NUMBER, 1), F.regexp_extract(token, ERA_NUMBER, 2)
-    era_g, gz_e = F.regexp_extract(token, ERA_CYCLE, 1), F.regexp_extract(token, ERA_CYCLE, 2)
-    gz = F.regexp_extract(token, CYCLE, 1)
     none = F.lit(None)
 
     def out(kind: str, era: Column, n: Column, year: Column, years: Column, note: Column) -> Column:
@@ -46,7 +42,7 @@ def read_mention(token: Column, allow_short_republic: bool = False) -> Column:
             year.cast("int").alias("year"), years.cast("array<int>").alias("years"), note.alias("note"),
         )
 
-    def by_number(n: Column) -> Column:
+    def by_number(era_n: Column, num: Column, n: Column) -> Column:
         year = K.era_start(era_n) + n - 1
         note = F.concat(era_n, num, F.lit("年="), year.cast("string"), F.lit("年"), _overflow(era_n, n, year))
         keep = n > 0
@@ -54,7 +50,7 @@ def read_mention(token: Column, allow_short_republic: bool = False) -> Column:
             keep = keep & ~(era_n.isin(*K.REPUBLIC) & (n < K.REPUBLIC_FROM_YEAR))
         return F.when(keep, out("era", era_n, n, year, none, note))
 
-    def by_cycle(years: Column) -> Column:
+    def by_cycle(era_g: Column, gz_e: Column, years: Column) -> Column:
         start = K.era_start(era_g)
         inside = F.get(F.filter(years, lambda y: (y >= start - 1) & (y <= start + 70)), F.lit(0))
         nearest = F.array_min(F.transform(years, lambda y: F.struct(F.abs(y - start).alias("d"), y.alias("y"))))["y"]
@@ -62,14 +58,22 @@ def read_mention(token: Column, allow_short_republic: bool = False) -> Column:
         note = F.concat(era_g, gz_e, F.lit("="), year.cast("string"), F.lit("年"))
         return F.when(year.isNotNull(), out("era_gz", era_g, none, year, none, note))
 
-    def bare(years: Column) -> Column:
+    def bare(gz: Column, years: Column) -> Column:
         note = F.concat(gz, F.lit("="), F.array_join(years.cast("array<string>"), "、"), F.lit("年"))
         return F.when(years.isNotNull(), out("gz", none, none, none, years, note))
 
-    return (
-        F.when(num != "", X.let(K.numeral_value(num), by_number))
-        .when(gz_e != "", X.let(K.ganzhi_years(gz_e), by_cycle))
-        .when(gz != "", X.let(K.ganzhi_years(gz), bare))
+    def of_era(era: Column) -> Column:
+        rest = X.strip(F.substring(token, F.length(era) + 1, F.length(token)))
+        num = X.rstrip(F.substring(rest, F.lit(1), F.length(rest) - 1))
+        return F.when(
+            F.endswith(rest, F.lit("年")), X.let(K.numeral_value(num), lambda n: by_number(era, num, n))
+        ).otherwise(X.let(K.ganzhi_years(rest), lambda ys: by_cycle(era, rest, ys)))
+
+    # The first character tells the kind: no era name begins with a stem.
+    head = F.substring(token, 1, 1)
+    gz = F.substring(token, 1, 2)
+    return F.when(F.contains(F.lit(K.STEMS), head), X.let(K.ganzhi_years(gz), lambda ys: bare(gz, ys))).when(
+        head != "【", X.let(F.regexp_extract(token, ERA_HEAD, 0), of_era)
     )
 
 

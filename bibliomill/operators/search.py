@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.functions import text as X
-from bibliomill.functions.dims import SMALL, broadcast_if_small, small_rows, struct_array
+from bibliomill.functions.dims import SMALL, TERMS, broadcast_if_small, small_rows, struct_array
 from bibliomill.functions.ranking import first_wins, top_per_key
 
 
@@ -24,7 +25,7 @@ def contained_terms(
     text: str,
     terms: DataFrame,
     term: str = "term",
-    limit: int = SMALL,
+    limit: int = TERMS,
 ) -> DataFrame:
     """Every row of ``rows`` once per term its text contains, with the term's columns.
 
@@ -50,6 +51,9 @@ def contained_terms(
         .select(term, F.col("_g._gram").alias("_gram"))
     )
     row_grams = F.array_distinct(F.concat(_grams(F.col(text)), F.split(F.col(text), "")))
+    wanted = small_rows(rarest.select("_gram").distinct(), limit)
+    if wanted is not None:
+        row_grams = F.array_intersect(row_grams, F.from_json(F.lit(json.dumps([r[0] for r in wanted])), "array<string>"))
     spread = rows.select(*key, F.explode(row_grams).alias("_gram"))
     candidates = spread.join(broadcast_if_small(rarest), "_gram").select(*key, term)
     return (
@@ -65,7 +69,7 @@ def documents_with_any(docs: DataFrame, terms: DataFrame, text: str = "text", li
     few = small_rows(terms.select("term").distinct(), limit)
     if few is None:
         return docs
-    words = F.array(*[F.lit(r["term"]) for r in few]).cast("array<string>")
+    words = F.from_json(F.lit(json.dumps([r["term"] for r in few])), "array<string>")
     return docs.filter(F.exists(words, lambda w: F.contains(F.col(text), w)))
 
 
@@ -76,6 +80,7 @@ def page_hits(
     case_insensitive: bool = False,
     max_pages: int | None = None,
     with_snippet: bool = False,
+    limit: int = TERMS,
 ) -> DataFrame:
     """One row per page and term that occurs on it, with the number of occurrences."""
     if max_pages is not None:
@@ -83,7 +88,7 @@ def page_hits(
     if case_insensitive:
         pages = pages.withColumn("text", F.lower("text"))
         terms = terms.withColumn("term", F.lower("term"))
-    hits = contained_terms(pages, [*key, "ord"], "text", terms)
+    hits = contained_terms(pages, [*key, "ord"], "text", terms, limit=limit)
     hits = hits.withColumn("count", X.count_literal(F.col("text"), F.col("term")))
     if with_snippet:
         hits = hits.withColumn("snippet", X.snippet(F.col("text"), F.col("term")))

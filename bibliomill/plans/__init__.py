@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["inputs", "search_queries", "catalog_queries", "alias_queries", "biblio_queries", "date_queries"]
+FAMILIES = [
+    "inputs", "search_queries", "catalog_queries", "alias_queries", "biblio_queries", "date_queries", "source_queries", "flagship",
+]
 
 
 def load_queries():

@@ -187,3 +187,26 @@ SELECT event_id AS doc_id, d,
     WHEN 3 THEN '今日送电与' || c || '电' ELSE '通电' END AS text, c
 FROM (SELECT event_id, CAST(day(ts) AS BIGINT) AS d,
   substr('东冬江支微鱼虞齐佳灰真文元寒删铣篠巧皓哿马养梗迥有寝感俭艳卅世', CAST(day(ts) AS INT), 1) AS c FROM {events}) AS e"""
+
+# A notebook per conversation turn: one record with a note, one old record without.
+VIEWS["v_notebook"] = """
+SELECT conv_id * 1000 + turn AS notebook, conv_id, turn, text,
+  '# 摘录本' || chr(10) || chr(10) || '> 前言' || chr(10) || chr(10)
+  || '### 摘录 · 2026-01-01 00:00:' || CAST(10 + turn % 50 AS STRING) || chr(10)
+  || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || '>' || chr(10) || '> 第二段' || chr(10) || '>' || chr(10)
+  || '> —— 《书' || CAST(conv_id AS STRING) || '》第3页' || chr(10) || '> 张三｜版本：PDF原本' || chr(10)
+  || '<!-- cv:src=D:/库/' || CAST(conv_id AS STRING) || '.pdf|page=' || CAST(turn + 1 AS STRING) || '|fn=' || CAST(conv_id AS STRING)
+  || '.pdf|sz=' || CAST(length(text) AS STRING) || '|np=12|cite=引文｜全 -->' || chr(10)
+  || chr(10) || '### 摘录 · old' || chr(10) || chr(10) || '>旧文' || CAST(turn AS STRING) || chr(10) || '>' || chr(10) || chr(10)
+  || '> 《旧书' || CAST(conv_id % 7 AS STRING) || '》第 ' || CAST(turn + 4 AS STRING) || ' 頁'
+  || CASE WHEN turn % 2 = 0 THEN '｜文件：某库/旧' || CAST(conv_id AS STRING) || '.TXT' ELSE '' END || chr(10) AS md
+FROM {conversations}"""
+
+VIEWS["v_snapshots"] = """
+SELECT conv_id * 1000 + turn AS notebook, conv_id, turn, text,
+  '# 截图本' || chr(10) || '### 书' || CAST(conv_id AS STRING) || ' · 卷一 · 2025-01-01' || chr(10)
+  || '![图](img/' || CAST(turn AS STRING) || ' (1).png)' || chr(10) || '> 出处一' || chr(10) || '> 出处二' || chr(10)
+  || CASE WHEN turn % 2 = 0 THEN '> 截图时间：2025-02-02 10:00' || chr(10) ELSE '' END
+  || '> 页码：第3页' || chr(10) || '> 备注：注' || CAST(conv_id AS STRING) || chr(10) || '>' || chr(10) || '> 【下面这段文字】' || chr(10)
+  || '> 正文甲' || chr(10) || '> 正文乙' || CAST(turn AS STRING) || chr(10) || '<!-- cv:src=S|page=3|fn=f.pdf -->' || chr(10) AS md
+FROM {conversations}"""

@@ -174,24 +174,32 @@ SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{5,9})', 1)) AS term FROM {
 WHERE regexp_matches(text, '[A-Za-z]{5,9}')"""
 
 
-@query(
-    "txt_04_large_vocabulary",
-    oracle(
-        "SELECT v.term, CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT p.doc_id) AS BIGINT) AS docs "
-        "FROM v JOIN p ON contains(p.t, v.term) GROUP BY v.term",
-        v=VOCABULARY,
-        p=PAGES_SQL,
-    ),
+VOCABULARY_SQL = oracle(
+    "SELECT v.term, CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT p.doc_id) AS BIGINT) AS docs "
+    "FROM v JOIN p ON contains(p.t, v.term) GROUP BY v.term",
+    v=VOCABULARY,
+    p=PAGES_SQL,
 )
-def _large_vocabulary(t: Tables) -> DataFrame:
-    words = t.documents.select(
-        F.lower(F.regexp_extract("text", "([A-Za-z]{5,9})", 1)).alias("term")
-    ).filter("term <> ''").distinct().withColumn("pos", F.lit(0))
-    hits = S.page_hits(doc_pages(t), words)
+
+
+def vocabulary_counts(t: Tables, **options: int) -> DataFrame:
+    word = F.lower(F.regexp_extract("text", "([A-Za-z]{5,9})", 1)).alias("term")
+    words = t.documents.select(word).filter("term <> ''").distinct().withColumn("pos", F.lit(0))
+    hits = S.page_hits(doc_pages(t), words, **options)
     by_doc = hits.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("term").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("docs"))
 
 
+@query("txt_04_large_vocabulary", VOCABULARY_SQL)
+def _large_vocabulary(t: Tables) -> DataFrame:
+    return vocabulary_counts(t)
+
+
+@query("txt_04_large_vocabulary_joined", VOCABULARY_SQL)
+def _large_vocabulary_joined(t: Tables) -> DataFrame:
+    return vocabulary_counts(t, limit=64)
+
+
 @query(
     "txt_05_snippets",
     hits_oracle(
