@@ -46,7 +46,7 @@ def to_canon(alias: DataFrame) -> DataFrame:
     """
     heads = alias.select("source", "source_rank", F.col("canon").alias("term"), "canon", F.lit(0).alias("_k"), F.lit(0).cast("long").alias("line_no"), F.lit(0).alias("pos"))
     names = alias.filter("alias <> canon").select("source", "source_rank", F.col("alias").alias("term"), "canon", F.lit(1).alias("_k"), F.col("line_no").cast("long"), "pos")
-    best = heads.distinct().unionByName(names).groupBy("source", "source_rank", "term").agg(
+    best = heads.unionByName(names).groupBy("source", "source_rank", "term").agg(
         F.min_by("canon", F.struct("_k", "line_no", "pos")).alias("canon")
     )
     return best
@@ -75,13 +75,12 @@ def _canons_per_source(forms: DataFrame, lookup: DataFrame, variants: Variants |
         "term", "source", "source_rank", "canon"
     )
     if variants is None:
-        return direct.distinct()
-    direct = direct.distinct()
+        return direct
     other = direct.select("term", "source", F.explode(variants.variants(F.col("canon"))).alias("form"))
     more = other.join(lookup.withColumnRenamed("term", "form"), ["source", "form"]).select(
         "term", "source", "source_rank", "canon"
     )
-    return direct.unionByName(more).distinct()
+    return direct.unionByName(more)
 
 
 def term_forms(terms: DataFrame, variants: Variants | None) -> DataFrame:
@@ -96,13 +95,12 @@ def canon_group(terms: DataFrame, alias: DataFrame, variants: Variants | None) -
     the term only as another entity's name.
     """
     canons = _canons_per_source(term_forms(terms, variants), to_canon(alias), variants)
-    flags = canons.groupBy("term").agg(
-        F.count_if(F.col("source_rank") == 0).alias("_main"),
-        F.count_if((F.col("source_rank") == 0) & (F.col("canon") == F.col("term"))).alias("_self"),
-        F.count_if(F.col("source_rank") > 0).alias("_more"),
-    )
-    only_more = (F.col("_more") > 0) & (F.col("_main") > 0) & (F.col("_self") == 0)
-    kept = canons.join(flags, "term").filter(~only_more | (F.col("source_rank") > 0)).drop("_main", "_self", "_more")
+    # One row per term holds the entities it may denote; the rule is decided inside it.
+    by_term = canons.groupBy("term").agg(F.collect_set(F.struct("source", "source_rank", "canon")).alias("_c"))
+    main = F.filter("_c", lambda c: c["source_rank"] == 0)
+    more = F.filter("_c", lambda c: c["source_rank"] > 0)
+    only_more = (F.size(more) > 0) & (F.size(main) > 0) & ~F.exists(main, lambda c: c["canon"] == F.col("term"))
+    kept = by_term.select("term", F.inline(F.when(only_more, more).otherwise(F.col("_c"))))
     names = kept.join(alias_lists(alias), ["source", "source_rank", "canon"]).select(
         "term", F.lit("alias").alias("kind"), F.col("alias").alias("value"), "source_rank", "canon", "line_no", "pos"
     )
@@ -150,16 +148,16 @@ def related(
     t = terms.select("term").distinct()
     zero, none = F.lit(0).cast("long"), F.lit("")
     group = canon_group(t, alias, variants)
-    names = first_wins(group.filter("kind = 'alias'").drop("kind"), ["term", "value"], ["source_rank", "canon", "line_no", "pos"])
     if limit:
-        order = [F.col(c) for c in ("source_rank", "canon", "line_no", "pos")]
-        names = top_per_key(names, ["term"], order, limit).drop("rank")
+        place = ["source_rank", "canon", "line_no", "pos"]
+        names = first_wins(group.filter("kind = 'alias'"), ["term", "value"], place)
+        names = top_per_key(names, ["term"], [F.col(c) for c in place], limit).drop("rank")
+        group = group.filter("kind = 'canon'").unionByName(names)
     forms = term_forms(t, variants).select("term", F.col("form").alias("value"), F.col("form").alias("canon"))
-    heads = first_wins(group.filter("kind = 'canon'").drop("kind"), ["term", "value"], ["source_rank", "canon", "line_no", "pos"])
 
-    def part(df: DataFrame, no: int, rank: Column, canon: Column, line: Column, pos: Column) -> DataFrame:
+    def part(df: DataFrame, no: int | Column, rank: Column, canon: Column, line: Column, pos: Column) -> DataFrame:
         return df.select(
-            "term", "value", F.lit(no).alias("part"), rank.cast("int").alias("r"), canon.alias("c"),
+            "term", "value", (no if isinstance(no, Column) else F.lit(no)).alias("part"), rank.cast("int").alias("r"), canon.alias("c"),
             line.cast("long").alias("l"), pos.cast("long").alias("p"),
         )
 
@@ -167,8 +165,7 @@ def related(
     parts = [
         part(t.withColumn("value", c("term")), 0, zero, none, zero, zero),
         part(forms, 1, zero, c("canon"), zero, zero),
-        part(heads, 2, c("source_rank"), c("canon"), zero, zero),
-        part(names, 4, c("source_rank"), c("canon"), c("line_no"), c("pos")),
+        part(group, F.when(c("kind") == "canon", 2).otherwise(4), c("source_rank"), c("canon"), c("line_no"), c("pos")),
     ]
     if user_alias is not None:
         own = user_alias.join(t, user_alias["word"] == t["term"]).select("term", c("alias").alias("value"), "pos")

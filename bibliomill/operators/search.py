@@ -13,10 +13,12 @@ from bibliomill.functions.dims import SMALL, TERMS, broadcast_if_small, small_ro
 from bibliomill.functions.ranking import first_wins, top_per_key
 
 
-def _grams(c: Column) -> Column:
-    """Distinct pairs of neighbouring characters; a single character stands for itself."""
-    pairs = F.regexp_extract_all(c, F.lit("(?s)(?=(..))"), F.lit(1))
-    return F.when(F.length(c) > 1, F.array_distinct(pairs)).otherwise(F.array(c))
+GRAM = 4
+
+
+def _grams(c: Column, size: int) -> Column:
+    """All runs of ``size`` neighbouring characters."""
+    return F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1))
 
 
 def contained_terms(
@@ -31,9 +33,8 @@ def contained_terms(
 
     Up to ``limit`` terms are carried into the scan as a constant, so that the texts are
     read once and stay where they are.  A larger vocabulary is joined: each term is
-    looked up under the pair of characters that fewest terms share, which yields the
-    candidates of a row by an equi-join, and each candidate is then verified.  Only keys
-    and character pairs are shuffled for that.
+    looked up under the run of up to four characters that fewest terms share, which yields
+    the candidates of a row by an equi-join, and each candidate is then verified.
     """
     terms = terms.filter(F.length(term) > 0)
     few = small_rows(terms, limit)
@@ -42,7 +43,10 @@ def contained_terms(
         found = F.filter(table, lambda t: F.contains(F.col(text), t[term]))
         return rows.withColumn("_t", F.explode(found)).select(*rows.columns, "_t.*")
 
-    vocabulary = terms.select(term).distinct().withColumn("_gram", F.explode(_grams(F.col(term))))
+    size = F.least(F.length(term), F.lit(GRAM))
+    sizes = sorted(r[0] for r in terms.select(size).distinct().collect())
+    own = F.coalesce(*[F.when(size == n, _grams(F.col(term), n)) for n in sizes])
+    vocabulary = terms.select(term).distinct().withColumn("_gram", F.explode(F.array_distinct(own)))
     shared = vocabulary.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (
         vocabulary.join(shared, "_gram")
@@ -50,10 +54,7 @@ def contained_terms(
         .agg(F.min(F.struct("_n", "_gram")).alias("_g"))
         .select(term, F.col("_g._gram").alias("_gram"))
     )
-    row_grams = F.array_distinct(F.concat(_grams(F.col(text)), F.split(F.col(text), "")))
-    wanted = small_rows(rarest.select("_gram").distinct(), limit)
-    if wanted is not None:
-        row_grams = F.array_intersect(row_grams, F.from_json(F.lit(json.dumps([r[0] for r in wanted])), "array<string>"))
+    row_grams = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in sizes]))
     spread = rows.select(*key, F.explode(row_grams).alias("_gram"))
     candidates = spread.join(broadcast_if_small(rarest), "_gram").select(*key, term)
     return (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bibliomill.functions.variants import CONFIGS, Variants, convert_terms
 from bibliomill.operators import aliases as A
 from bibliomill.operators import search as S
+import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
 from bibliomill.plans.search_queries import PAGES_SQL, doc_pages
 

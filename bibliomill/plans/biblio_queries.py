@@ -11,6 +11,7 @@ from bibliomill.operators import biblio as B
 from bibliomill.operators import editions as E
 from bibliomill.operators import paging as P
 from bibliomill.plans.catalog_queries import EXT, STEM
+import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
 
 SURNAMES = "郑李王冯张邓"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bibliomill.operators import catalog as C
 from bibliomill.operators import relocate as R
+import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
 from bibliomill.plans.search_queries import hits1, hits_oracle
 

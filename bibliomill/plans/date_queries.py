@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bibliomill.functions import calendar as K
 from bibliomill.operators import mentions as M
+import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
 
 ERA_VALUES = "SELECT * FROM (VALUES " + ", ".join(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bibliomill.functions import text as X
 from bibliomill.operators import paging as P
 from bibliomill.operators import search as S
+import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import VIEWS, Tables, oracle, query
 
 # The header rule and the 500-character pages in plain SQL.

@@ -9,6 +9,7 @@ from bibliomill.operators import notebook as B
 from bibliomill.operators import redact as R
 from bibliomill.operators import search as S
 from bibliomill.plans.biblio_queries import strip
+import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
 from bibliomill.plans.search_queries import BYWORD, hits1, hits_oracle, terms1
 from bibliomill.session import shared_dir
