@@ -318,7 +318,8 @@ def people_from_biographies(
 
 def entity_counts(hits: DataFrame, lookup: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents and mentions per canonical name, whatever name was hit."""
-    named = hits.join(lookup.select("term", "canon"), "term")
+    per_name = hits.groupBy("term", key).agg(F.sum("count").alias("count"))
+    named = per_name.join(lookup.select("term", "canon"), "term")
     per_doc = named.groupBy("canon", key).agg(F.sum("count").alias("n"))
     return per_doc.groupBy("canon").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("mentions"))
 
