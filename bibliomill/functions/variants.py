@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Mapping, Sequence
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,10 @@ ROUNDS = 3
 MAX_ENTRIES = 200_000
 
 
+# Functions run by Python workers travel by value: no executor needs this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Variants:
     """Conversions built from ``(config, src, dst)`` rows.
 

@@ -297,7 +297,24 @@ def _years(t: Tables) -> DataFrame:
     return b.select("doc_id", "y.year", F.round(F.col("y.sure") * 100).cast("long").alias("sure"))
 
 
-@query("bib_13_responsible_parties")
+PARTY = B.AUTHORS.replace("(?U)", "").replace("\\s", WS)
+COMPOUND = ", ".join(f"'{c}'" for c in N.COMPOUND_SURNAMES)
+PERSON = (
+    f"length(nm) BETWEEN 2 AND 4 AND regexp_matches(nm, '^[\\x{{4E00}}-\\x{{9FFF}}]+$') "
+    f"AND (substr(nm, 1, 2) IN ({COMPOUND}) OR contains('{SURNAMES}', substr(nm, 1, 1)))"
+)
+PARTIES = dict(
+    ph=f"""SELECT doc_id, unnest(range(len(r))) AS i, len(r) AS n, unnest(r) AS raw, unnest(o) AS role, ends FROM (
+  SELECT doc_id, regexp_extract_all(block, '{PARTY}', 1) AS r, regexp_extract_all(block, '{PARTY}', 2) AS o, string_split_regex(block, '{PARTY}')[-1] AS ends FROM bl)""",
+    kn=f"""SELECT doc_id, i, role, string_agg(nm, ' ' ORDER BY k) AS names FROM (
+  SELECT *, unnest(l) AS nm, unnest(range(len(l))) AS k FROM (SELECT *, string_split_regex(raw, '[、，,]+') AS l FROM ph))
+WHERE nm <> '' AND NOT regexp_matches(nm, '{B.NAME_STOP}') AND (regexp_matches(nm, '{B.INSTITUTION}') OR ({PERSON})
+  OR (length(nm) BETWEEN 2 AND 4 AND i = n - 1 AND regexp_matches(ends, '{B.TEXT_END}'))) GROUP BY doc_id, i, role""",
+    au="SELECT b.doc_id, coalesce(arg_min(names || replace(role, '着', '著'), i), '') AS authors FROM (SELECT DISTINCT doc_id FROM bl) b LEFT JOIN kn ON kn.doc_id = b.doc_id GROUP BY b.doc_id",
+)
+
+
+@query("bib_13_responsible_parties", oracle("SELECT doc_id, authors FROM au", **LINES, **PARTIES))
 def _authors(t: Tables) -> DataFrame:
     return blocks(t).select("doc_id", B.authors_of(F.col("block"), SURNAMES).alias("authors"))
 
@@ -340,18 +357,6 @@ def _script_share(t: Tables) -> DataFrame:
     return t.v_colophon.select("doc_id", B.trad_share(F.col("text")).cast("double").alias("share"))
 
 
-def text_fields(t: Tables, ext: str) -> DataFrame:
-    """Colophon fields of the catalog's own files of one format."""
-    files = t.v_catalog.filter(X.ext(F.col("name")) == ext).select("doc_id", "dir", "name")
-    texts = t.v_colophon.select("doc_id", "text").join(files, "doc_id", "left_semi")
-    return B.colophon_fields(texts, t.v_publishers, SURNAMES).join(files, "doc_id")
-
-
-@query("bib_16_deep_records")
-def _deep(t: Tables) -> DataFrame:
-    return B.deep_records(t.v_catalog, text_fields(t, ".txt"), text_fields(t, ".pdf"), t.v_publishers, SURNAMES)
-
-
 @query(
     "bib_17_sampled_pages",
     oracle(
@@ -548,3 +553,73 @@ def _provenance(t: Tables) -> DataFrame:
         (c("doc_id") % 40).cast("string"), X.join_path(c("dir"), c("name")),
     )
     return r.select("dir", "name", *line)
+
+
+def text_fields(t: Tables, ext: str) -> DataFrame:
+    """Colophon fields of the catalog's own files of one format."""
+    files = t.v_catalog.filter(X.ext(F.col("name")) == ext).select("doc_id", "dir", "name")
+    texts = t.v_colophon.select("doc_id", "text").join(files, "doc_id", "left_semi")
+    return B.colophon_fields(texts, t.v_publishers, SURNAMES).join(files, "doc_id")
+
+
+REPEATED = f"""SELECT doc_id, arg_max(l, n * 1000000 - i) AS title FROM (SELECT doc_id, l, count(*) AS n, min(i) AS i FROM (
+  SELECT doc_id, {strip('l')} AS l, i FROM ln) WHERE {OK} GROUP BY doc_id, l HAVING count(*) >= 3) GROUP BY doc_id"""
+
+
+def chosen_sql(tag: str, exts: str) -> dict[str, str]:
+    """CTEs choosing for each file the telling text of one format."""
+    return {
+        f"{tag}_t": f"SELECT * FROM k WHERE ext IN ({exts}) AND fk <> '' AND doc_id IN (SELECT doc_id FROM tf WHERE coalesce(title, author, publisher, city, year) IS NOT NULL)",
+        f"{tag}_b": f"SELECT dir, fk, min(CAST(cv AS VARCHAR) || name) AS b FROM {tag}_t GROUP BY 1, 2",
+        f"{tag}_l": f"SELECT dir, lk, min(CAST(cv AS VARCHAR) || name) AS l FROM {tag}_t WHERE lk <> '' GROUP BY 1, 2 HAVING (dir, lk) IN (SELECT (dir, lk) FROM k WHERE ext IN ({exts}) AND fk <> '' GROUP BY dir, lk HAVING count(*) <= 6)",
+        f"{tag}_p": f"""SELECT k.doc_id AS id, CASE WHEN o.name IS NOT NULL AND CAST(o.cv AS VARCHAR) <= substr(b.b, 1, 1) THEN k.name ELSE coalesce(substr(b.b, 2), substr(l.l, 2)) END AS file
+FROM k LEFT JOIN {tag}_b b ON b.dir = k.dir AND b.fk = k.fk LEFT JOIN {tag}_t o ON o.doc_id = k.doc_id LEFT JOIN {tag}_l l ON l.dir = k.dir AND l.lk = k.lk""",
+        tag: f"SELECT {tag}_p.id, {tag}_p.file, tf.* EXCLUDE (doc_id) FROM {tag}_p JOIN k ON k.doc_id = {tag}_p.id LEFT JOIN k f ON f.dir = k.dir AND f.name = {tag}_p.file LEFT JOIN tf ON tf.doc_id = f.doc_id",
+    }
+
+
+def merged_sql() -> str:
+    cols = []
+    for field in ("title", "volume", "author", "publisher", "year", "ssid", "city"):
+        own = [("file", f"nullif(pa.{field}, '')")] if field != "city" else []
+        more = [(x, f"{x}.{field}") for x in ("txt", "pdf")] if field not in ("volume", "ssid") else []
+        values = own + more
+        cols.append(f"coalesce({', '.join(v for _, v in values)}, NULL) AS {field}")
+        cols.append("CASE " + " ".join(f"WHEN {v} IS NOT NULL THEN '{x}'" for x, v in values) + f" END AS {field}_src")
+    return "SELECT pa.doc_id, pa.dir, pa.name, txt.file AS txt_file, coalesce(txt.block, pdf.block) AS block, " + ", ".join(cols) + " FROM pa LEFT JOIN txt ON txt.id = pa.doc_id LEFT JOIN pdf ON pdf.id = pa.doc_id"
+
+
+def count_sql(chars: str) -> str:
+    return f"(length(block) - length(translate(block, '{chars}', '')))"
+
+
+DEEP_COLUMNS = ["dir", "name", "txt_file"] + [c for f in B.FIELDS[:-1] for c in (f, f"{f}_src")]
+
+
+@query(
+    "bib_16_deep_records",
+    oracle(
+        f"""SELECT {', '.join('mr.' + c for c in DEEP_COLUMNS)}, coalesce(mr.city, di.city) AS city, CASE WHEN mr.city IS NULL AND di.city IS NOT NULL THEN 'dict' ELSE city_src END AS city_src,
+        coalesce({count_sql(B.SCRIPT_TRAD)} > 0 AND {count_sql(B.SCRIPT_TRAD)} >= {count_sql(B.SCRIPT_SIMP)}, false) AS trad FROM mr LEFT JOIN di ON di.publisher = mr.publisher""",
+        **LINES,
+        cp0=CIPS,
+        cp=CIPS2,
+        **PUBS,
+        **PARTIES,
+        **TITLES,
+        rp=REPEATED,
+        yy=f"SELECT doc_id, {year_sql('block', 'year')} FROM cp",
+        tf="""SELECT bl.doc_id, bl.block, coalesce(nullif(cp.title, ''), nullif(tt.title, ''), rp.title) AS title, coalesce(nullif(cp.author, ''), nullif(au.authors, '')) AS author,
+  coalesce(nullif(cp.publisher, ''), nullif(pb.publisher, '')) AS publisher, coalesce(nullif(cp.city, ''), nullif(pb.city, '')) AS city, coalesce(nullif(cp.year, ''), nullif(yy.year, '')) AS year
+FROM bl JOIN cp USING (doc_id) JOIN pb USING (doc_id) JOIN tt USING (doc_id) JOIN au USING (doc_id) JOIN yy USING (doc_id) LEFT JOIN rp USING (doc_id)""",
+        **NAMES,
+        pa=PARSED,
+        k=SIBLINGS["k"].replace("SELECT dir", "SELECT doc_id, dir"),
+        **chosen_sql("txt", "'.txt', '.text'"),
+        **chosen_sql("pdf", "'.pdf'"),
+        mr=merged_sql(),
+    ),
+)
+def _deep(t: Tables) -> DataFrame:
+    d = B.deep_records(t.v_catalog, text_fields(t, ".txt"), text_fields(t, ".pdf"), t.v_publishers, SURNAMES)
+    return d.select(*DEEP_COLUMNS, "city", "city_src", "trad")

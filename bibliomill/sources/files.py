@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,10 @@ def snapshots(files: DataFrame) -> DataFrame:
     return files.filter(X.ext(F.col("name")).isin(*IMAGES)).orderBy(F.desc("mtime"), "dir", "name")
 
 
+# Functions run by Python workers travel by value: no executor needs this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _decode(data: bytes | None, hint: str | None) -> str | None:
     if data is None:
         return None

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -15,6 +17,9 @@ from bibliomill.operators import paging as P
 from bibliomill.operators import search as S
 from bibliomill.sources.publish import current, publish
 
+# Functions run by Python workers travel by value: no executor needs this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HISTORY_CAP = 30
 MAX_REFRESH_MINUTES = 1440
 
