@@ -163,9 +163,10 @@ def page_scores(pages: DataFrame) -> DataFrame:
     return d.withColumn("strong", F.col("_r.strong")).withColumn("total", F.col("_r.total")).drop("_r", "text")
 
 
-def colophon_page(pages: DataFrame, n_pages: DataFrame, key: str = "doc_id", front: int = 20, back: int = 15) -> DataFrame:
-    """Best rated of the first and last pages; 0 where none is convincing."""
-    ends = pages.join(n_pages, key).filter((F.col("ord") < front) | (F.col("ord") >= F.col("n_pages") - back))
+def colophon_page(pages: DataFrame, key: str = "doc_id", front: int = 20, back: int = 15) -> DataFrame:
+    """Best rated of the first and last pages; 0 where none is convincing.  Pages carry
+    their document's ``n_pages``, so all others are dropped where they are cut."""
+    ends = pages.filter((F.col("ord") < front) | (F.col("ord") >= F.col("n_pages") - back))
     best = page_scores(ends).groupBy(key).agg(
         F.max(F.struct("strong", "total", (-F.col("ord")).alias("o"))).alias("b")
     )
@@ -184,16 +185,16 @@ def colophon_in_toc(toc: DataFrame, key: str = "doc_id") -> DataFrame:
     return best.select(key, F.coalesce("page", F.lit(0)).cast("long").alias("page"))
 
 
-def sampled_pages(pages: DataFrame, n_pages: DataFrame, key: str = "doc_id", whole: int = 400) -> DataFrame:
+def sampled_pages(pages: DataFrame, key: str = "doc_id", whole: int = 400) -> DataFrame:
     """Pages read for a record: 16 at either end; without any key word there, all pages of
-    a book of up to ``whole`` pages, else the first 60 and last 30."""
-    p = pages.join(n_pages, key)
+    a book of up to ``whole`` pages, else the first 60 and last 30.  What neither rule reads
+    is dropped before the documents' flags are joined."""
     last = F.col("n_pages") - F.col("ord")
-    near = p.filter((F.col("ord") < 16) | (last <= 16))
-    telling = near.groupBy(key).agg(F.bool_or(_match(F.col("text"), "|".join(SAMPLE_KEYS))).alias("_telling"))
     short = (F.col("ord") < 16) | (last <= 16)
     wide = (F.col("n_pages") <= whole) | (F.col("ord") < 60) | (last <= 30)
-    return p.join(telling, key).filter(short | (~F.col("_telling") & wide)).drop("_telling")
+    word = _match(F.col("text"), "|".join(SAMPLE_KEYS))
+    telling = pages.filter(short).groupBy(key).agg(F.bool_or(word).alias("_telling"))
+    return pages.filter(short | wide).join(telling, key).filter(short | ~F.col("_telling")).drop("_telling")
 
 
 # ---- fields of one colophon block -----------------------------------------------------

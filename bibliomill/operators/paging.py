@@ -80,16 +80,25 @@ def _with_segments(docs: DataFrame, text: str) -> DataFrame:
     return d.withColumn("_segments", F.when(F.col("_marked"), F.col("_m")).otherwise(fallback))
 
 
-def text_pages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per page: the other columns of ``docs`` plus ``ord``, ``page``, ``text``.
+def text_pages(docs: DataFrame, text: str = "text", with_total: bool = False) -> DataFrame:
+    """One row per page: the other columns of ``docs`` plus ``ord``, ``page``, ``text``, and
+    on request ``n_pages`` of the document.
 
     Row-local: a document is cut where it is read, nothing is shuffled.
     """
     keep = [c for c in docs.columns if c != text]
-    cut = _with_segments(docs, text)
     kept = F.filter(F.col("_segments"), lambda s: s["keep"])
-    return cut.select(*keep, F.posexplode(kept).alias("ord", "_s")).select(
-        *keep, F.col("ord").cast("long").alias("ord"), F.col("_s.page").alias("page"), F.col("_s.text").alias("text")
+    cut = _with_segments(docs, text).withColumn("_kept", kept)
+    total = [F.size("_kept").cast("long").alias("n_pages")] if with_total else []
+    # The outer form keeps the optimizer from testing the pages for being there first,
+    # which would cut every document twice.
+    rows = cut.select(*keep, *total, F.posexplode_outer("_kept").alias("ord", "_s")).filter("_s is not null")
+    return rows.select(
+        *keep,
+        *(["n_pages"] if with_total else []),
+        F.col("ord").cast("long").alias("ord"),
+        F.col("_s.page").alias("page"),
+        F.col("_s.text").alias("text"),
     )
 
 

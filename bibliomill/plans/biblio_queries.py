@@ -189,12 +189,8 @@ def _colophon_blocks(t: Tables) -> DataFrame:
     return blocks(t).select("doc_id", F.md5("block").alias("digest"), "at_line")
 
 
-def colophon_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
-    docs = t.v_colophon.select("doc_id", "text")
-    size = docs.select(
-        "doc_id", F.ceil((F.length("text") - P.header_end(F.col("text"))) / P.CHUNK_CHARS).alias("n_pages")
-    )
-    return P.text_pages(docs), size
+def colophon_pages(t: Tables) -> DataFrame:
+    return P.text_pages(t.v_colophon.select("doc_id", "text"), with_total=True)
 
 
 PAGED = dict(
@@ -214,8 +210,7 @@ SELECT doc_id, CAST(CASE WHEN s >= 1 OR w >= 6 THEN ord + 1 ELSE 0 END AS BIGINT
     ),
 )
 def _colophon_page(t: Tables) -> DataFrame:
-    pages, size = colophon_pages(t)
-    got = B.colophon_page(pages, size)
+    got = B.colophon_page(colophon_pages(t))
     return got.select("doc_id", F.col("colophon_page").cast("long").alias("colophon_page"))
 
 
@@ -366,8 +361,7 @@ def _script_share(t: Tables) -> DataFrame:
     ),
 )
 def _sampled(t: Tables) -> DataFrame:
-    pages, size = colophon_pages(t)
-    return B.sampled_pages(pages, size, whole=40).select("doc_id", "ord")
+    return B.sampled_pages(colophon_pages(t), whole=40).select("doc_id", "ord")
 
 
 RIGHTS_TEXT = """
