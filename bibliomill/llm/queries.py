@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibliomill.llm import quality
+from bibliomill.llm import mixing, packing, quality, secrets, simhash
 from bibliomill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: quality.quality_report(table(spark, d, "documents")),
+    "op7_simhash": lambda spark, d: simhash.simhash_report(table(spark, d, "documents")),
+    "op9_best_fit_packing": lambda spark, d: packing.packed_pieces(table(spark, d, "documents")),
+    "op10_source_mix": lambda spark, d: mixing.mix_report(table(spark, d, "documents")),
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_secret_scan": secrets.SECRETS_SQL}
