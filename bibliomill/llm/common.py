@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,31 @@ def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def key_of(*cols: Column) -> Column:
-    """A key that is never null, so that equal nulls meet in a join."""
-    return F.to_json(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cols)]))
-
-
-__all__ = ["WORD", "broadcast_up_to", "cut_lineage", "free_name", "key_of", "shuffle_width", "table", "worker_state"]
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of a partition sorted by ``keys``, in frames that hold whole groups only; a
+    group may span batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and (batch[keys].iloc[-1] == held[-1][keys].iloc[-1]).all():
+            held.append(batch)
+            continue
+        rows = pd.concat([*held, batch], ignore_index=True)
+        other = np.flatnonzero((rows[keys].to_numpy() != rows[keys].iloc[-1].to_numpy()).any(axis=1))
+        start = int(other[-1]) + 1 if len(other) else 0
+        if start:
+            yield rows.iloc[:start]
+        held = [rows.iloc[start:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_edges(rows: pd.DataFrame, keys: list[str]) -> list[tuple[int, int]]:
+    """Start and end of each group in rows sorted by numeric ``keys``."""
+    values = rows[keys].to_numpy()
+    edges = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
+    return list(zip([0, *edges], [*edges, len(rows)]))
+
+
+__all__ = ["WORD", "broadcast_up_to", "cut_lineage", "free_name", "group_edges", "shuffle_width", "table", "whole_groups", "worker_state"]

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibliomill.llm import mixing, packing, quality, secrets, simhash
+from bibliomill.llm import language, licenses, minhash, mixing, packing, quality, secrets, simhash, urls
 from bibliomill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": lambda spark, d: language.language_report(table(spark, d, "documents")),
+    "op2_minhash": lambda spark, d: minhash.fingerprint_report(table(spark, d, "documents")),
     "op4_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: quality.quality_report(table(spark, d, "documents")),
+    "op6_url_filter": lambda spark, d: urls.url_report(table(spark, d, "pages")),
     "op7_simhash": lambda spark, d: simhash.simhash_report(table(spark, d, "documents")),
+    "op8_license_scan": lambda spark, d: licenses.license_report(table(spark, d, "documents")),
     "op9_best_fit_packing": lambda spark, d: packing.packed_pieces(table(spark, d, "documents")),
     "op10_source_mix": lambda spark, d: mixing.mix_report(table(spark, d, "documents")),
 }
-ORACLES: dict[str, str] = {"op4_secret_scan": secrets.SECRETS_SQL}
+ORACLES: dict[str, str] = {"op4_secret_scan": secrets.SECRETS_SQL, "op6_url_filter": urls.URLS_SQL}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bibliomill.llm.common import cut_lineage, free_name, shuffle_width
+from bibliomill.llm.common import cut_lineage, free_name, group_edges, shuffle_width, whole_groups
 
 SHINGLE = 3
 RADIUS = 2
@@ -141,51 +141,30 @@ def forest(home: np.ndarray, guest: np.ndarray, radius: int) -> tuple[np.ndarray
     return nodes[linked], nodes[label[linked]]
 
 
-def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Forests of all groups of a partition sorted by group; a group may span batches."""
+TILE_PAIR = ["cell", "home", "visit"]
+
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
+def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+    """Forests of all groups of a partition sorted by group."""
+    none = np.empty(0, np.uint64)
+    for rows in whole_groups(batches, TILE_PAIR):
+        a, b = [none], [none]
         fp = rows["fp"].to_numpy().view(np.uint64)
         guest = rows["guest"].to_numpy()
-        key = rows[["cell", "home", "visit"]].to_numpy()
-        edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        for lo, hi in zip([0, *edges], [*edges, len(rows)]):
-            is_guest = guest[lo:hi]
-            x, y = fp[lo:hi][~is_guest], fp[lo:hi][is_guest]
+        for lo, hi in group_edges(rows, TILE_PAIR):
+            x, y = fp[lo:hi][~guest[lo:hi]], fp[lo:hi][guest[lo:hi]]
             if len(x) and len(y):
                 u, v = forest(x, y, radius)
                 a.append(u)
                 b.append(v)
-        none = np.empty(0, np.uint64)
-        return pd.DataFrame({"a": np.concatenate([none, *a]).view(np.int64), "b": np.concatenate([none, *b]).view(np.int64)})
-
-    held: list[pd.DataFrame] = []
-    last = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        key = batch[["cell", "home", "visit"]].to_numpy()
-        if last is not None and (key[-1] == last).all():
-            held.append(batch)
-            continue
-        whole = pd.concat([*held, batch], ignore_index=True)
-        key = whole[["cell", "home", "visit"]].to_numpy()
-        last = key[-1]
-        start = int(np.flatnonzero((key != last).any(axis=1))[-1]) + 1 if (key != last).any() else 0
-        if start:
-            yield of(whole.iloc[:start])
-        held = [whole.iloc[start:]]
-    if held:
-        yield of(pd.concat(held, ignore_index=True))
+        yield pd.DataFrame({"a": np.concatenate(a).view(np.int64), "b": np.concatenate(b).view(np.int64)})
 
 
 def links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Forest edges (a, b) between distinct fingerprints, whose components are those of all
     pairs within the radius."""
     rows = tile_rows(fingerprints, radius, tile)
-    key = ["cell", "home", "visit"]
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), *key).sortWithinPartitions(*key)
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), *TILE_PAIR).sortWithinPartitions(*TILE_PAIR)
     return dealt.mapInPandas(lambda batches: _compare(batches, radius), "a long, b long").distinct()
 
 
