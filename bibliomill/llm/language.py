@@ -38,7 +38,7 @@ SAMPLE_CHARS = 4000
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 GRAMS = (1, 2, 3, 4)
-EPOCHS = 6
+STEPS = 1500
 RATE = 0.3
 BATCH = 32
 PRECISION = 0.97
@@ -112,9 +112,9 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     weight = np.zeros((DIMENSIONS, classes), np.float32)
     bias = np.zeros(classes, np.float32)
     learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(gold))
-    steps, step = EPOCHS * max(1, -(-len(learn) // BATCH)), 0
+    step = 0
     weight += rng.normal(0, 0.1, weight.shape).astype(np.float32)
-    for _ in range(EPOCHS):
+    while step < STEPS and len(learn):
         order = rng.permutation(learn)
         for at in range(0, len(order), BATCH):
             some = order[at : at + BATCH]
@@ -126,7 +126,7 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
             z = np.exp(z - z.max(axis=1, keepdims=True))
             slope = z / z.sum(axis=1, keepdims=True)
             slope[np.arange(len(some)), gold[some]] -= 1
-            rate = RATE * (1 - step / steps)
+            rate = RATE * max(0.0, 1 - step / STEPS)
             down = (slope @ weight.T / sizes[:, None]).astype(np.float32)
             weight -= rate * (mean.T @ slope).astype(np.float32) / len(some)
             bias -= rate * slope.mean(axis=0).astype(np.float32)
