@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bibliomill.llm import language, licenses, minhash, mixing, packing, quality, secrets, simhash, urls
+from bibliomill.llm import html, language, licenses, minhash, mixing, packing, quality, secrets, simhash, urls
 from bibliomill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": lambda spark, d: language.language_report(table(spark, d, "documents")),
     "op2_minhash": lambda spark, d: minhash.fingerprint_report(table(spark, d, "documents")),
+    "op3_main_text": lambda spark, d: html.extraction_report(table(spark, d, "pages")),
     "op4_secret_scan": lambda spark, d: secrets.secret_report(table(spark, d, "documents")),
     "op5_quality_rules": lambda spark, d: quality.quality_report(table(spark, d, "documents")),
     "op6_url_filter": lambda spark, d: urls.url_report(table(spark, d, "pages")),
