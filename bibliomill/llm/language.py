@@ -242,6 +242,7 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = SAMPL
 
 def language_report(docs: DataFrame) -> DataFrame:
     """Predicted language of every document; learned from the labels that are not held out."""
+    docs = docs.select("doc_id", "text", "lang")
     model = train(*sample(docs))
     found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), identify(F.col("text"), model, docs.sparkSession).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))

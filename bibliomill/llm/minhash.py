@@ -92,6 +92,7 @@ def _ordered_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     Ranges come from approximate percentiles of the ids; what reaches the driver is one
     border and one id per range.
     """
+    docs = docs.select("doc_id", "text")
     ids = docs.select("doc_id")
     shares = [i / buckets for i in range(1, buckets)]
     borders = sorted(set(ids.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []), reverse=True) if shares else []
