@@ -14,6 +14,7 @@ SMALL = 512
 # 500 characters) that costs less than taking the page apart for a join.
 TERMS = 512
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def small_rows(df: DataFrame, limit: int = SMALL) -> list[Row] | None:
@@ -26,10 +27,17 @@ def small_rows(df: DataFrame, limit: int = SMALL) -> list[Row] | None:
     return rows if len(rows) <= limit else None
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the frame has at most so many rows and so many bytes, written as JSON.  Counts
+    no further than one row beyond the limit."""
+    bytes_of = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when the row count is known to stay below ``limit``."""
-    few = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if few else df
+    """Hint a broadcast only when rows and bytes are known to stay below their limits."""
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def struct_array(rows: Sequence[Row], schema: T.StructType) -> Column:

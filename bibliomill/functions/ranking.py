@@ -17,9 +17,12 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return picked.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in [*order, *rest]])
 
 
-def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
-    """At most ``k`` rows per key.  Spark cuts every task's share to ``k`` before the
-    shuffle (window group limit), so hot keys stay small."""
+def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, name: str = "rank") -> DataFrame:
+    """At most ``k`` rows per key, numbered.  Spark cuts every task's share to ``k`` before
+    the shuffle (window group limit), so hot keys stay small.  With None all rows stay, and
+    without a number: an order of everything is no property of a row."""
+    if k is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 

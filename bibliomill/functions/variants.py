@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Mapping, Sequence
 
@@ -12,12 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bibliomill.functions import text as X
-from bibliomill.functions.dims import small_rows
 
 # The four conversions, in the order in which they are tried, and how often.
 CONFIGS = ("t2s", "s2t", "s2tw", "s2hk")
 ROUNDS = 3
-MAX_ENTRIES = 200_000
 
 
 # Functions run by Python workers travel by value: no executor needs this package.
@@ -37,12 +34,10 @@ class Variants:
         self.by_char = all(len(s) == len(d) == 1 for rows in self.table.values() for s, d in rows)
 
     @classmethod
-    def of(cls, variant_map: DataFrame, limit: int = MAX_ENTRIES) -> Variants:
-        rows = small_rows(variant_map.select("config", "src", "dst").dropDuplicates(["config", "src"]), limit)
-        if rows is None:
-            raise ValueError(f"a variant table has more than {limit} entries")
+    def of(cls, variant_map: DataFrame) -> Variants:
+        """Reads the whole table: it is a dictionary of a script and does not grow with the corpus."""
         table: dict[str, list[tuple[str, str]]] = {}
-        for r in rows:
+        for r in variant_map.select("config", "src", "dst").dropDuplicates(["config", "src"]).orderBy("config", "src").collect():
             table.setdefault(r["config"], []).append((r["src"], r["dst"]))
         return cls(table)
 
@@ -76,12 +71,29 @@ class Variants:
 
 
 def _longest_match(rows: Sequence[tuple[str, str]]):
-    table = dict(rows)
-    if not table:
-        return lambda w: w
-    longest = sorted(table, key=len, reverse=True)
-    pattern = re.compile("|".join(map(re.escape, longest)))
-    return lambda w: pattern.sub(lambda m: table[m.group(0)], w)
+    """Replacement from left to right of the longest entry that fits.  Entries are found by
+    their first character and length, so the work per character does not grow with the table."""
+    table = {s: d for s, d in rows if s}
+    lengths: dict[str, list[int]] = {}
+    for n in sorted({len(s) for s in table}, reverse=True):
+        for first in {s[0] for s in table if len(s) == n}:
+            lengths.setdefault(first, []).append(n)
+
+    def replace(word: str) -> str:
+        out, at = [], 0
+        while at < len(word):
+            for n in lengths.get(word[at], ()):
+                new = table.get(word[at : at + n])
+                if new is not None:
+                    out.append(new)
+                    at += n
+                    break
+            else:
+                out.append(word[at])
+                at += 1
+        return "".join(out)
+
+    return replace
 
 
 def _closure(word: str, steps) -> list[str]:

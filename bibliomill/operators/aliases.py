@@ -249,8 +249,9 @@ def canonical_all(terms: DataFrame, merged: DataFrame) -> DataFrame:
     )
 
 
-def expand_all(terms: DataFrame, merged: DataFrame, limit: int = 16) -> DataFrame:
-    """Other names to search along, over all people of that name, at most ``limit``."""
+def expand_all(terms: DataFrame, merged: DataFrame, limit: int | None = None) -> DataFrame:
+    """Other names to search along, over all people of that name; with ``limit`` the first so
+    many of each term, numbered."""
     heads = merged.select(F.col("canon").alias("term"), "canon")
     index = heads.unionByName(merged.select(F.col("alias").alias("term"), "canon")).distinct()
     found = terms.select("term").distinct().join(index, "term")
@@ -258,6 +259,8 @@ def expand_all(terms: DataFrame, merged: DataFrame, limit: int = 16) -> DataFram
     names = found.join(merged, "canon").select("term", F.col("alias").alias("value"), "canon", (F.col("source_rank") + 1).alias("r"), F.col("line_no").alias("l"), F.col("pos").alias("p"))
     rows = first_wins(own.unionByName(names).filter("value <> term"), ["term", "value"], ["canon", "r", "l", "p"])
     order = [F.col(c) for c in ("canon", "r", "l", "p")]
+    if limit is None:
+        return rows.select("term", "value")
     return top_per_key(rows, ["term"], order, limit, "ord").select("term", "value", F.col("ord").cast("long").alias("ord"))
 
 
@@ -294,11 +297,12 @@ def dictionary_lines(merged: DataFrame) -> DataFrame:
 
 
 def people_from_biographies(
-    main: DataFrame, alternative: DataFrame, min_len: int = 2, max_aliases: int = 40,
+    main: DataFrame, alternative: DataFrame, min_len: int = 2, max_aliases: int | None = None,
     year_from: int | None = None, year_to: int | None = None,
 ) -> DataFrame:
     """``canon, alias`` from ``main(person_id, name, year)`` and
-    ``alternative(person_id, alt_name, seq)``; people of the same name are united."""
+    ``alternative(person_id, alt_name, seq)``; people of the same name are united.  With
+    ``max_aliases`` only so many names of a person, by ``seq``."""
     people = main.filter("name is not null and name <> ''").select("person_id", X.strip(F.col("name")).alias("canon"), "year")
     if year_from:
         people = people.filter(F.col("year") >= year_from)

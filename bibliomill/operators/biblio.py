@@ -107,7 +107,6 @@ def colophon(text: Column) -> Column:
     any key word the block is the beginning and the end.  All of it happens inside the
     row, no line is shuffled.
     """
-    any_word = "|".join(p for _, p in LINE_WEIGHTS) + "|" + STRONG
     kind = T.StructType.fromDDL("s int, w int, i int")
 
     def best(rated: Column) -> Column:
@@ -141,7 +140,9 @@ def colophon(text: Column) -> Column:
 
     ends = F.transform(X.lines(X.half_width(text)), X.rstrip)
     none = F.lit(None).cast(kind)
-    chosen = lambda ls: F.when(_match(text, any_word), X.let(_rated_lines(ls), best)).otherwise(none)
+    # the key words are looked for in the half-width lines, as the rating does
+    told = lambda ls: F.exists(ls, lambda l: _match(l, ANY_KEY))
+    chosen = lambda ls: F.when(told(ls), X.let(_rated_lines(ls), best)).otherwise(none)
     return X.let(ends, lambda ls: X.let(chosen(ls), lambda b: cut(ls, b)))
 
 
@@ -163,15 +164,19 @@ def page_scores(pages: DataFrame) -> DataFrame:
     return d.withColumn("strong", F.col("_r.strong")).withColumn("total", F.col("_r.total")).drop("_r", "text")
 
 
-def colophon_page(pages: DataFrame, key: str = "doc_id", front: int = 20, back: int = 15) -> DataFrame:
+def colophon_page(pages: DataFrame, key: str = "doc_id", front: int = 20, back: int = 15, docs: DataFrame | None = None) -> DataFrame:
     """Best rated of the first and last pages; 0 where none is convincing.  Pages carry
-    their document's ``n_pages``, so all others are dropped where they are cut."""
+    their document's ``n_pages``, so all others are dropped where they are cut.  ``docs``
+    adds the documents that have no page at all, with 0."""
     ends = pages.filter((F.col("ord") < front) | (F.col("ord") >= F.col("n_pages") - back))
     best = page_scores(ends).groupBy(key).agg(
         F.max(F.struct("strong", "total", (-F.col("ord")).alias("o"))).alias("b")
     )
     sure = (F.col("b.strong") >= 1) | (F.col("b.total") >= 6)
-    return best.select(key, F.when(sure, 1 - F.col("b.o")).otherwise(0).alias("colophon_page"))
+    found = best.select(key, F.when(sure, 1 - F.col("b.o")).otherwise(0).alias("colophon_page"))
+    if docs is None:
+        return found
+    return docs.select(key).distinct().join(found, key, "left").select(key, F.coalesce("colophon_page", F.lit(0)).alias("colophon_page"))
 
 
 def colophon_in_toc(toc: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -29,9 +29,12 @@ def kept_files(listing: DataFrame, root: str = "root", path: str = "path", exts:
     """Listing rows a catalog keeps, with ``dir, name, stem, ext``.
 
     Directory names below the root decide what is skipped, whatever their case; names
-    starting with a dot are skipped too.
+    starting with a dot are skipped too.  A root may be written with or without scheme, host
+    and final separators; where it does not begin the path, all of the path counts.
     """
-    below = F.substring(F.col(path), F.length(root) + 1, F.length(path))
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]+:(?://[^/]*)?(?=/)", ""), r"[\\/]+$", "")
+    top, whole = plain(F.col(root)), plain(F.col(path))
+    below = F.when(F.startswith(whole, top), F.substring(whole, F.length(top) + 1, F.length(whole))).otherwise(whole)
     folders = F.filter(F.split(X.dirname(below), r"[\\/]"), lambda d: d != "")
     skipped = F.exists(folders, lambda d: F.lower(d).isin(*SKIP_DIRS) | F.startswith(d, F.lit(".")))
     name = X.basename(F.col(path))
@@ -81,10 +84,11 @@ def diff_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("action").agg(F.count(F.lit(1)).alias("files"))
 
 
-def name_search(files: DataFrame, keywords: DataFrame, limit: int = 500, constant_limit: int = TERMS) -> DataFrame:
+def name_search(files: DataFrame, keywords: DataFrame, limit: int | None = None, constant_limit: int = TERMS) -> DataFrame:
     """Files per keyword (``kw``): its characters in a row in the name, punctuation and
     case ignored; only a keyword without such a file falls back to plain containment in
-    name or directory.  At most ``limit`` files per keyword, by (dir, name).
+    name or directory.  With ``limit`` at most that many files per keyword, by (dir, name),
+    and their rank.
     """
     kws = keywords.select("kw").distinct()
     phrase = kws.withColumn("_k", X.letters_and_digits(F.col("kw"))).withColumn("_kind", F.lit(0))
@@ -98,15 +102,15 @@ def name_search(files: DataFrame, keywords: DataFrame, limit: int = 500, constan
     best = top_per_key(
         hits.select("kw", "_kind", *key), ["kw"], [F.col("_kind"), F.col("dir"), F.col("name")], limit
     )
-    first_kind = F.min("_kind").over(Window.partitionBy("kw"))
-    return best.withColumn("_first", first_kind).filter("_kind = _first").select(
-        "kw", *key, "rank", F.when(F.col("_kind") == 0, "phrase").otherwise("plain").alias("matched")
+    first_kind = broadcast_if_small(hits.groupBy(F.col("kw").alias("_kw")).agg(F.min("_kind").alias("_first")))
+    return best.join(first_kind, F.col("kw") == F.col("_kw")).filter("_kind = _first").select(
+        "kw", *key, *(["rank"] if limit is not None else []), F.when(F.col("_kind") == 0, "phrase").otherwise("plain").alias("matched")
     )
 
 
-def files_in_dirs(files: DataFrame, asked: DataFrame, exts: Sequence[str] | None = None, limit: int = 500) -> DataFrame:
-    """Files of the asked directories (any case), by name.  Extensions are filtered
-    before the limit, so that a directory full of other files still shows these."""
+def files_in_dirs(files: DataFrame, asked: DataFrame, exts: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Files of the asked directories (any case); with ``limit`` the first so many by name.
+    Extensions are filtered before, so that a directory full of other files still shows these."""
     if exts is not None:
         files = files.filter(X.ext(F.col("name")).isin(*[e.lower() for e in exts]))
     want = broadcast_if_small(asked.select(F.lower("dir").alias("_d")).distinct())
@@ -119,9 +123,10 @@ def dir_counts(files: DataFrame, exts: Sequence[str] = EXTS) -> DataFrame:
     return kept.groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
 
 
-def stem_prefix(files: DataFrame, prefix: str, limit: int = 300) -> DataFrame:
+def stem_prefix(files: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
+    """Files whose stem begins with the prefix, any case; with ``limit`` the first by name."""
     hit = files.filter(F.startswith(F.lower(X.stem(F.col("name"))), F.lit(prefix.lower())))
-    return hit.orderBy("name", "dir").limit(limit)
+    return hit if limit is None else hit.orderBy("name", "dir").limit(limit)
 
 
 def catalog_stats(files: DataFrame, present: DataFrame) -> DataFrame:

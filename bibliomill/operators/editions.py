@@ -109,12 +109,12 @@ def version_order(records: DataFrame) -> DataFrame:
     return numbered(r, ["work", "volume"], [*o, F.col("path")], [*o, F.substring("path", 1, 12)], "version_no")
 
 
-def related_works(books: DataFrame, per_class: int = RELATED_PER_CLASS) -> DataFrame:
-    """``path, class, pos, related`` for books ``(name, dir, path, author)``.
+def work_keys(books: DataFrame) -> DataFrame:
+    """``path, class, k``: the keys by which books ``(name, dir, path, author)`` are related.
 
     Classes are not exclusive: same series beginning (three characters or more), same
-    folder name, same title, same author.  Each class keeps its first ``per_class + 1``
-    paths per key; every book then reads that bounded list without itself.
+    folder name, same title, same author.  Books are related when they share a row's class
+    and key; this is the whole relation, without a row for each pair.
     """
     folder = X.basename(F.regexp_replace("dir", r"[\\/]+$", ""))
     series = N.series_prefix(F.col("name"))
@@ -125,7 +125,17 @@ def related_works(books: DataFrame, per_class: int = RELATED_PER_CLASS) -> DataF
         F.struct(F.lit("same_author").alias("class"), X.empty_to_null(F.col("author")).alias("k")),
     )
     rows = books.select("path", F.explode(keys).alias("_k")).select("path", F.col("_k.class").alias("class"), F.col("_k.k").alias("k"))
-    rows = rows.filter("k is not null")
+    return rows.filter("k is not null")
+
+
+def related_works(books: DataFrame, per_class: int = RELATED_PER_CLASS) -> DataFrame:
+    """``path, class, pos, related``: the first ``per_class`` related works of every book, as a
+    reader is shown them.
+
+    Each class keeps its first ``per_class + 1`` paths per key (:func:`work_keys`); every book
+    then reads that bounded list without itself.
+    """
+    rows = work_keys(books)
     firsts = top_per_key(rows, ["class", "k"], [F.col("path")], per_class + 1)
     lists = firsts.groupBy("class", "k").agg(F.array_sort(F.collect_list("path")).alias("_list"))
     others = F.slice(F.filter("_list", lambda p: p != F.col("path")), 1, per_class)

@@ -196,8 +196,12 @@ def offset_of_page(wanted: DataFrame, spans: DataFrame, key: str = "doc_id", num
     )
 
 
-def image_only(pages: DataFrame, key: str = "doc_id", first: int = 24) -> DataFrame:
-    """Documents none of whose first pages carries any text."""
+def image_only(pages: DataFrame, key: str = "doc_id", first: int = 24, docs: DataFrame | None = None) -> DataFrame:
+    """Documents none of whose first pages carries any text.  ``docs`` adds the documents
+    that have no page at all."""
     seen = F.max(F.when(F.rlike("text", F.lit(r"(?U)\S")), 1).otherwise(0))
     head = pages.filter(F.col("ord") < first)
-    return head.groupBy(key).agg((seen == 0).alias("image_only"))
+    found = head.groupBy(key).agg((seen == 0).alias("image_only"))
+    if docs is None:
+        return found
+    return docs.select(key).distinct().join(found, key, "left").select(key, F.coalesce("image_only", F.lit(True)).alias("image_only"))

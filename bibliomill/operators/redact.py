@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibliomill.functions.dims import SMALL, small_rows
+from bibliomill.functions.dims import SMALL
 from bibliomill.operators.search import contained_terms
 
 # Private-use characters stand for protected tokens while the rules run.
@@ -30,13 +31,19 @@ def redacted(text: Column, rules: Sequence[tuple[str, str]], protected: Sequence
     return _masked(out, protected, back=True)
 
 
-def redact(docs: DataFrame, rules: DataFrame, protected: Sequence[str] = (), text: str = "text", limit: int = SMALL) -> DataFrame:
-    """Apply ``rules(rank, old, new)``, in rank order, to every document."""
-    rows = small_rows(rules.filter("old <> ''").orderBy("rank"), limit)
-    if rows is None:
-        raise ValueError(f"more than {limit} ordered rules; each of them rewrites every text")
-    ordered = [(r["old"], r["new"]) for r in sorted(rows, key=lambda r: r["rank"])]
-    return docs.withColumn(text, redacted(F.col(text), ordered, protected))
+def redact(docs: DataFrame, rules: DataFrame, protected: Sequence[str] = (), text: str = "text") -> DataFrame:
+    """Apply ``rules(rank, old, new)``, in rank order, to every document.
+
+    Every rule sees what the ones before it have written, so each text takes all of them in
+    turn; the ordered list is a setting read once and travels with the plan, whatever its length.
+    """
+    pairs = [(r["old"], r["new"]) for r in rules.filter("old <> ''").orderBy("rank").select("old", F.coalesce("new", F.lit("")).alias("new")).collect()]
+    if len(pairs) <= SMALL:
+        return docs.withColumn(text, redacted(F.col(text), pairs, protected))
+    # a long list is a constant array walked inside the row, not an expression per rule
+    ordered = F.from_json(F.lit(json.dumps([{"old": a, "new": b} for a, b in pairs], ensure_ascii=False)), "array<struct<old:string,new:string>>")
+    done = F.aggregate(ordered, _masked(F.col(text), protected), lambda out, r: F.replace(out, r["old"], r["new"]))
+    return docs.withColumn(text, _masked(done, protected, back=True))
 
 
 def leaks(docs: DataFrame, words: DataFrame, protected: Sequence[str] = (), key: str = "doc_id", text: str = "text") -> DataFrame:

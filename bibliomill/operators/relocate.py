@@ -21,15 +21,18 @@ def active_rules(rules: DataFrame) -> DataFrame:
 def relocated(paths: DataFrame, rules: DataFrame, path: str = "path", limit: int = SMALL) -> DataFrame:
     """Add ``new_path`` and ``rule``: the longest rule whose place the path lies in.
 
-    A rule matches whole path parts only.  Few rules travel with the scan; many are
-    joined on the beginnings of each path, which grow with its depth and not with the
-    number of rules.
+    Paths and rules are compared without blanks around them, final separators and case; the
+    longest rule in that form wins, then the smallest key.  A rule matches whole path parts
+    only, and the rule for the root has the empty form.  Few rules travel with the scan; many
+    are joined on the beginnings of each path, which grow with its depth and not with the
+    number of rules.  Both ways give the same rows.
     """
     active = active_rules(rules)
     few = small_rows(active, limit)
-    low = F.lower(X.strip(F.col(path)))
+    whole = X.strip(F.col(path))
+    low = F.lower(whole)
     if few is not None:
-        few.sort(key=lambda r: (-len(r["expected"]), r["key"]))
+        few.sort(key=lambda r: (-len(r["_n"]), r["key"], r["expected"], r["actual"]))
         table = struct_array(few, active.schema)
         hits = F.filter(
             table,
@@ -41,24 +44,26 @@ def relocated(paths: DataFrame, rules: DataFrame, path: str = "path", limit: int
         )
         found = paths.withColumn("_r", F.get(hits, F.lit(0)))
     else:
-        longest = F.struct((-F.length("expected")).alias("l"), "key", "expected", "actual")
-        one = broadcast_if_small(active.groupBy("_n").agg(F.min(longest).alias("_r")))
-        # Positions of the separators end the beginnings; the whole path is the last one.
+        first = F.struct("key", "expected", "actual", "_n")
+        one = broadcast_if_small(active.groupBy("_n").agg(F.min(first).alias("_r")))
+        # Separators end the beginnings; the whole path is the last one, the root the first.
         pieces = F.split(low, r"(?=[\\/])")
         begin = F.transform(
             F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, 1, i), "")
         )
-        spread = paths.select(path, low.alias("_low")).distinct().select(path, F.explode(begin).alias("_n"))
+        root = F.when(F.substring(low, 1, 1).isin("/", "\\"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        spread = paths.select(path, low.alias("_low")).distinct().select(path, F.explode(F.array_distinct(F.concat(root, begin))).alias("_n"))
         best = (
-            spread.withColumn("_n", F.regexp_replace("_n", r"[\\/]+$", ""))
-            .join(one, "_n")
+            spread.join(one, "_n")
             .groupBy(path)
             .agg(F.max_by("_r", F.length("_n")).alias("_r"))
         )
         found = paths.join(best, path, "left")
-    tail = F.substring(F.col(path), F.length("_r.expected") + 1, F.length(path))
+    tail = F.substring(whole, F.length("_r._n") + 1, F.length(whole))
+    # the tail brings its separator along, so the new place gives up its own
+    place = F.when(tail == "", F.col("_r.actual")).otherwise(F.regexp_replace("_r.actual", r"[\\/]+$", ""))
     return (
-        found.withColumn("new_path", F.coalesce(F.concat("_r.actual", tail), F.col(path)))
+        found.withColumn("new_path", F.coalesce(F.concat(place, tail), F.col(path)))
         .withColumn("rule", F.col("_r.key"))
         .withColumn("label", _label(F.col("_r.expected"), F.col("_r.actual")))
         .drop("_r")

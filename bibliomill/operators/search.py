@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.functions import text as X
-from bibliomill.functions.dims import SMALL, TERMS, broadcast_if_small, small_rows, struct_array
+from bibliomill.functions.dims import SMALL, TERMS, broadcast_if_small, is_small, small_rows, struct_array
 from bibliomill.functions.ranking import first_wins, top_per_key
 
 
@@ -32,9 +32,11 @@ def contained_terms(
     """Every row of ``rows`` once per term its text contains, with the term's columns.
 
     Up to ``limit`` terms are carried into the scan as a constant, so that the texts are
-    read once and stay where they are.  A larger vocabulary is joined: each term is
-    looked up under the run of up to four characters that fewest terms share, which yields
-    the candidates of a row by an equi-join, and each candidate is then verified.
+    read once and stay where they are.  A larger vocabulary is looked up: each term stands
+    under the run of up to four characters that fewest terms share, the runs of a text meet
+    them in an equi-join, and each candidate is verified.  While the table of runs is small
+    enough to broadcast, the text stays with its runs and nothing is shuffled, in a stream as
+    in a batch; beyond that the candidates' keys are joined first and the texts once.
     """
     terms = terms.filter(F.length(term) > 0)
     few = small_rows(terms, limit)
@@ -55,8 +57,12 @@ def contained_terms(
         .select(term, F.col("_g._gram").alias("_gram"))
     )
     row_grams = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in sizes]))
+    if is_small(rarest):
+        met = rows.withColumn("_gram", F.explode(row_grams)).join(F.broadcast(rarest.withColumnRenamed(term, "_term")), "_gram")
+        sure = met.filter(F.contains(F.col(text), F.col("_term"))).drop("_gram")
+        return sure.join(broadcast_if_small(terms), F.col("_term") == F.col(term)).select(*rows.columns, *terms.columns)
     spread = rows.select(*key, F.explode(row_grams).alias("_gram"))
-    candidates = spread.join(broadcast_if_small(rarest), "_gram").select(*key, term)
+    candidates = spread.join(rarest, "_gram").select(*key, term)
     return (
         rows.join(candidates, list(key))
         .filter(F.contains(F.col(text), F.col(term)))
@@ -88,7 +94,8 @@ def page_hits(
         pages = pages.filter(F.col("ord") < max_pages)
     if case_insensitive:
         pages = pages.withColumn("text", F.lower("text"))
-        terms = terms.withColumn("term", F.lower("term"))
+        # terms that differ in case only are one term
+        terms = first_wins(terms.withColumn("term", F.lower("term")), ["term"], ["pos"]).select(*terms.columns)
     hits = contained_terms(pages, [*key, "ord"], "text", terms, limit=limit)
     hits = hits.withColumn("count", X.count_literal(F.col("text"), F.col("term")))
     if with_snippet:
@@ -121,10 +128,10 @@ def loose_hits(pages: DataFrame, terms: DataFrame, key: Sequence[str] = ("doc_id
 
 
 def occurrences(
-    pages: DataFrame, terms: DataFrame, key: Sequence[str] = ("doc_id",), per_term: int = 500
+    pages: DataFrame, terms: DataFrame, key: Sequence[str] = ("doc_id",), per_term: int | None = None
 ) -> DataFrame:
-    """Every occurrence with its offset in the page, at most ``per_term`` per document
-    and term, meant to be read in the order (page, offset).
+    """Every occurrence with its offset in the page, meant to be read in the order (page,
+    offset); with ``per_term`` at most that many per document and term.
 
     Texts are split where they are read; lengths alone are shuffled, once, by document
     and term, and both windows use that layout.
@@ -137,13 +144,11 @@ def occurrences(
     ).repartition(*key, "term")
     in_page = Window.partitionBy(*key, "term", "ord").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     offset = F.sum("_len").over(in_page) + F.col("_i") * F.length("term")
-    in_doc = Window.partitionBy(*key, "term").orderBy("ord", "_i")
-    return (
-        cut.withColumn("offset", offset.cast("long"))
-        .withColumn("_n", F.row_number().over(in_doc))
-        .filter(F.col("_n") <= per_term)
-        .drop("_i", "_len", "_n")
-    )
+    placed = cut.withColumn("offset", offset.cast("long"))
+    if per_term is not None:
+        in_doc = Window.partitionBy(*key, "term").orderBy("ord", "_i")
+        placed = placed.withColumn("_n", F.row_number().over(in_doc)).filter(F.col("_n") <= per_term).drop("_n")
+    return placed.drop("_i", "_len")
 
 
 def term_totals(terms: DataFrame, hits: DataFrame) -> DataFrame:

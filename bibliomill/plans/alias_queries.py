@@ -114,7 +114,7 @@ def _alias_lines(t: Tables) -> DataFrame:
     return alias(t).select("source", "line_no", "canon", F.col("pos").cast("long").alias("pos"), "alias")
 
 
-CONVERTED = "SELECT query_id, min(pos) AS pos, term FROM (SELECT doc_id % 50 AS query_id, doc_id AS pos, {c} AS term FROM (SELECT doc_id, regexp_extract(text, '([\\p{{L}}]+)', 1) AS w FROM documents) WHERE w <> '') GROUP BY 1, 3"
+CONVERTED = "SELECT query_id, min(pos) AS pos, term FROM (SELECT doc_id % 50 AS query_id, doc_id * 100000 + i AS pos, {c} AS term FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}]+') AS ws FROM documents))) GROUP BY 1, 3"
 
 
 @query(
@@ -125,10 +125,8 @@ CONVERTED = "SELECT query_id, min(pos) AS pos, term FROM (SELECT doc_id % 50 AS
     ),
 )
 def _converted(t: Tables) -> DataFrame:
-    words = t.documents.select(
-        (F.col("doc_id") % 50).alias("query_id"),
-        F.col("doc_id").alias("pos"),
-        F.regexp_extract("text", r"([\p{L}]+)", 1).alias("term"),
+    words = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("i", "term")).select(
+        (F.col("doc_id") % 50).alias("query_id"), (F.col("doc_id") * 100000 + F.col("i")).alias("pos"), "term"
     )
     return convert_terms(words, variants(t), "t2s").select("query_id", "term", "pos")
 
@@ -309,6 +307,21 @@ def _canonical_all(t: Tables) -> DataFrame:
     "ali_11_expand_all",
     alias_oracle(
         """
+SELECT term, value FROM (SELECT term, value, row_number() OVER (PARTITION BY term ORDER BY canon, k) AS ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY term, value ORDER BY canon, k) AS rn FROM (
+    SELECT t.term, ix.canon AS value, ix.canon, -1 AS k FROM {v_alias_terms} t JOIN ix USING (term)
+    UNION ALL SELECT t.term, mg.alias, ix.canon, mg.k FROM {v_alias_terms} t JOIN ix USING (term) JOIN mg ON mg.canon = ix.canon) WHERE value <> term) WHERE rn = 1)""",
+        **MERGED,
+    ),
+)
+def _expand_all(t: Tables) -> DataFrame:
+    return A.expand_all(t.v_alias_terms, A.merge_layers(alias(t)))
+
+
+@query(
+    "ali_11_expand_all_top",
+    alias_oracle(
+        """
 SELECT term, value, CAST(ord AS BIGINT) AS ord FROM (SELECT term, value, row_number() OVER (PARTITION BY term ORDER BY canon, k) AS ord FROM (
   SELECT *, row_number() OVER (PARTITION BY term, value ORDER BY canon, k) AS rn FROM (
     SELECT t.term, ix.canon AS value, ix.canon, -1 AS k FROM {v_alias_terms} t JOIN ix USING (term)
@@ -317,8 +330,8 @@ WHERE ord <= 16""",
         **MERGED,
     ),
 )
-def _expand_all(t: Tables) -> DataFrame:
-    return A.expand_all(t.v_alias_terms, A.merge_layers(alias(t)))
+def _expand_all_top(t: Tables) -> DataFrame:
+    return A.expand_all(t.v_alias_terms, A.merge_layers(alias(t)), 16)
 
 
 @query(
@@ -471,10 +484,28 @@ SELECT DISTINCT canon, alias FROM (SELECT *, row_number() OVER (PARTITION BY per
   WHERE p.year BETWEEN 1650 AND 1850 AND a.alt_name <> p.name
     AND len(regexp_extract_all(a.alt_name, '[\\x{4E00}-\\x{9FFF}]')) >= 2
     AND len(regexp_extract_all(a.alt_name, '[\\x{4E00}-\\x{9FFF}]')) >= length(a.alt_name) * 0.6
-  GROUP BY 1, 2, 3)) WHERE rn <= 8""",
+  GROUP BY 1, 2, 3)) """,
         pe=PEOPLE,
         an=ALT_NAMES,
     ),
 )
 def _people(t: Tables) -> DataFrame:
+    return A.people_from_biographies(t.sql(PEOPLE), t.sql(ALT_NAMES), year_from=1650, year_to=1850)
+
+
+@query(
+    "join_06_people_top",
+    oracle(
+        """
+SELECT DISTINCT canon, alias FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY seq, alias) AS rn FROM (
+  SELECT p.person_id, p.name AS canon, a.alt_name AS alias, min(a.seq) AS seq FROM pe p JOIN an a USING (person_id)
+  WHERE p.year BETWEEN 1650 AND 1850 AND a.alt_name <> p.name
+    AND len(regexp_extract_all(a.alt_name, '[\\x{4E00}-\\x{9FFF}]')) >= 2
+    AND len(regexp_extract_all(a.alt_name, '[\\x{4E00}-\\x{9FFF}]')) >= length(a.alt_name) * 0.6
+  GROUP BY 1, 2, 3)) WHERE rn <= 8""",
+        pe=PEOPLE,
+        an=ALT_NAMES,
+    ),
+)
+def _people_top(t: Tables) -> DataFrame:
     return A.people_from_biographies(t.sql(PEOPLE), t.sql(ALT_NAMES), max_aliases=8, year_from=1650, year_to=1850)

@@ -238,10 +238,10 @@ CIPS2 = f"SELECT doc_id, block, title, CASE WHEN regexp_matches(au, '^[\\x{{4E00
 
 @query(
     "bib_10_cataloguing_line",
-    oracle("SELECT doc_id, title, author, city, publisher, year FROM cp WHERE year <> ''", **LINES, cp0=CIPS, cp=CIPS2),
+    oracle("SELECT doc_id, title, author, city, publisher, year FROM cp", **LINES, cp0=CIPS, cp=CIPS2),
 )
 def _cip(t: Tables) -> DataFrame:
-    return blocks(t).select("doc_id", B.cip(F.col("block")).alias("c")).select("doc_id", "c.*").filter("year <> ''")
+    return blocks(t).select("doc_id", B.cip(F.col("block")).alias("c")).select("doc_id", "c.*")
 
 
 SHAPE = f"({HAN}{{2,12}}?(?:出版社|印书馆|书局|书社|出版公司))"

@@ -86,26 +86,26 @@ MANY_KEYWORDS = "SELECT DISTINCT 'BOOK, ' || CAST(floor(doc_id / 8) AS BIGINT) A
 NORM = "regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
 
 
-def name_search_sql(keywords: str, limit: int) -> str:
+def name_search_sql(keywords: str, limit: int | None = None) -> str:
     return oracle(
         f"""
 SELECT kw, dir, name, matched FROM (SELECT *, row_number() OVER (PARTITION BY kw ORDER BY dir, name) AS rn FROM (
   SELECT kw, dir, name, 'phrase' AS matched FROM ph
   UNION ALL
   SELECT kw, dir, name, 'plain' FROM k JOIN {{v_catalog}} c ON contains(lower(c.name), lower(kw)) OR contains(lower(c.dir), lower(kw))
-  WHERE kw NOT IN (SELECT kw FROM ph))) WHERE rn <= {limit}""",
+  WHERE kw NOT IN (SELECT kw FROM ph))) {"" if limit is None else f"WHERE rn <= {limit}"}""",
         k=keywords,
         ph=f"""SELECT kw, dir, name FROM k JOIN {{v_catalog}} c
   ON {NORM.format(c="kw")} <> '' AND contains({NORM.format(c="c.name")}, {NORM.format(c="kw")})""",
     )
 
 
-@query("cat_02_name_search", name_search_sql(KEYWORDS, 500))
+@query("cat_02_name_search", name_search_sql(KEYWORDS))
 def _name_search(t: Tables) -> DataFrame:
-    return C.name_search(t.v_catalog, t.sql(KEYWORDS)).drop("rank")
+    return C.name_search(t.v_catalog, t.sql(KEYWORDS))
 
 
-@query("cat_02_name_search_many", name_search_sql(MANY_KEYWORDS, 50))
+@query("cat_02_name_search_top", name_search_sql(MANY_KEYWORDS, 50))
 def _name_search_many(t: Tables) -> DataFrame:
     return C.name_search(t.v_catalog, t.sql(MANY_KEYWORDS), limit=50, constant_limit=16).drop("rank")
 
@@ -116,13 +116,24 @@ ASKED_DIRS = "SELECT DISTINCT upper(dir) AS dir FROM {v_catalog} WHERE root <> '
 @query(
     "cat_03_files_in_dirs",
     oracle(
-        """SELECT dir, name, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lower(dir) ORDER BY name, dir) AS rn
-           FROM {v_catalog} WHERE lower(dir) IN (SELECT lower(dir) FROM a)) WHERE rn <= 500""",
+        "SELECT dir, name FROM {v_catalog} WHERE lower(dir) IN (SELECT lower(dir) FROM a)",
         a=ASKED_DIRS,
     ),
 )
 def _in_dirs(t: Tables) -> DataFrame:
-    found = C.files_in_dirs(t.v_catalog, t.sql(ASKED_DIRS))
+    return C.files_in_dirs(t.v_catalog, t.sql(ASKED_DIRS)).select("dir", "name")
+
+
+@query(
+    "cat_03_files_in_dirs_top",
+    oracle(
+        """SELECT dir, name, CAST(rn AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lower(dir) ORDER BY name, dir) AS rn
+           FROM {v_catalog} WHERE lower(dir) IN (SELECT lower(dir) FROM a)) WHERE rn <= 7""",
+        a=ASKED_DIRS,
+    ),
+)
+def _in_dirs_top(t: Tables) -> DataFrame:
+    found = C.files_in_dirs(t.v_catalog, t.sql(ASKED_DIRS), limit=7)
     return found.select("dir", "name", F.col("rank").cast("long").alias("rank"))
 
 
@@ -148,12 +159,20 @@ def _dir_counts(t: Tables) -> DataFrame:
 
 @query(
     "cat_06_stem_prefix",
-    oracle(f"SELECT dir, name FROM {{v_catalog}} WHERE starts_with(lower({STEM}), 'book 1') ORDER BY name, dir LIMIT 300"),
+    oracle(f"SELECT dir, name FROM {{v_catalog}} WHERE starts_with(lower({STEM}), 'book 1')"),
 )
 def _stem_prefix(t: Tables) -> DataFrame:
     return C.stem_prefix(t.v_catalog, "Book 1").select("dir", "name")
 
 
+@query(
+    "cat_06_stem_prefix_top",
+    oracle(f"SELECT dir, name FROM {{v_catalog}} WHERE starts_with(lower({STEM}), 'book 1') ORDER BY name, dir LIMIT 30"),
+)
+def _stem_prefix_top(t: Tables) -> DataFrame:
+    return C.stem_prefix(t.v_catalog, "Book 1", 30).select("dir", "name")
+
+
 @query(
     "cat_07_stats",
     oracle(
@@ -426,6 +445,30 @@ def _relocated_many(t: Tables) -> DataFrame:
     return R.relocated(t.v_urls, t.sql(MANY_RULES), limit=8).select("page_id", "path", "new_path", "rule")
 
 
+# Rules with final separators, blanks and the root; paths with blanks before them.
+EDGE_RULES = """
+SELECT key, expected, actual, true AS translated FROM (VALUES ('r1', 'D:/a////', 'X:/one'), ('r2', 'D:/a/b', 'Y:/two'),
+  ('r0', '/', 'Z:'), ('r3', ' E:/q/ ', 'W:'), ('r4', 'd:/A', 'V:/later')) AS r(key, expected, actual)"""
+EDGE_PATHS = """
+SELECT s_suppkey AS page_id, CASE s_suppkey % 6 WHEN 0 THEN '  D:/a/b/c' WHEN 1 THEN 'D:/a/b/c' WHEN 2 THEN '/etc/f'
+  WHEN 3 THEN 'd:/A/x' WHEN 4 THEN 'D:/ab/c' ELSE 'e:/q/' END || CAST(s_suppkey AS STRING) AS path FROM {supplier}"""
+
+
+@query(
+    "join_05_relocated_edge_rules",
+    oracle(
+        """
+SELECT w AS way, page_id, CASE page_id % 6 WHEN 0 THEN 'Y:/two/c' WHEN 1 THEN 'Y:/two/c' WHEN 2 THEN 'Z:/etc/f' WHEN 3 THEN 'X:/one/x'
+  WHEN 4 THEN 'D:/ab/c' ELSE 'W:/' END || page_id AS new_path, CASE page_id % 6 WHEN 0 THEN 'r2' WHEN 1 THEN 'r2' WHEN 2 THEN 'r0' WHEN 3 THEN 'r1' WHEN 5 THEN 'r3' END AS rule
+FROM (SELECT s_suppkey AS page_id FROM supplier), (VALUES ('carried'), ('joined')) AS w(w)"""
+    ),
+)
+def _relocated_edges(t: Tables) -> DataFrame:
+    paths, rules = t.sql(EDGE_PATHS), t.sql(EDGE_RULES)
+    ways = [R.relocated(paths, rules, limit=n).select(F.lit(w).alias("way"), "page_id", "new_path", "rule") for w, n in (("carried", 512), ("joined", 1))]
+    return ways[0].unionByName(ways[1])
+
+
 # Records of files as they were noted, and the moves remembered since.
 WANTED = """
 SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'old/' || dir || '/' || name ELSE 'gone/place/' || name END AS path,

@@ -103,12 +103,13 @@ def _bare(t: Tables) -> DataFrame:
 @query(
     "dat_06_offsets",
     oracle(
-        "SELECT doc_id, token, CAST(instr(text, token) - 1 AS BIGINT) AS start_at, CAST(instr(text, token) - 1 + length(token) AS BIGINT) AS end_at FROM ex JOIN {v_date_text} USING (doc_id) WHERE doc_id % 8 NOT IN (2, 4)",
+        "SELECT doc_id, token, CAST(place AS BIGINT) AS start_at, CAST(place + length(token) AS BIGINT) AS end_at FROM pl",
         **EXPECTED,
+        pl="SELECT ex.doc_id, ex.token, CASE WHEN ex.doc_id % 8 = 2 THEN length(v.text) - length(ex.token) WHEN ex.doc_id % 8 = 4 AND pos = 2 THEN 6 ELSE instr(v.text, ex.token) - 1 END AS place FROM ex JOIN {v_date_text} v ON v.doc_id = ex.doc_id",
     ),
 )
 def _offsets(t: Tables) -> DataFrame:
-    found = dated(t, True).filter(~(F.col("doc_id") % 8).isin(2, 4))
+    found = dated(t, True)
     return found.select("doc_id", "token", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
@@ -117,16 +118,18 @@ def _offsets(t: Tables) -> DataFrame:
     oracle(
         """
 SELECT t.doc_id, CASE t.doc_id % 8
-  WHEN 0 THEN '于' || a0.token || coalesce('【' || k0.note || '】', '') || '到' || a1.token || '【' || a1.note || '】止'
-  WHEN 1 THEN a0.token || '【' || a0.note || '】，又' || a1.token || '【' || a1.note || '】'
-  WHEN 2 THEN text || '【' || a2.note || '】'
-  WHEN 3 THEN a0.token || '【' || a0.note || '】、' || a1.token || '【' || a1.note || '】及甲丑'
-  WHEN 4 THEN a0.token || '【' || a0.note || '】' || a1.token || '【' || a1.note || '】' || a2.token || '【' || a2.note || '】'
-  WHEN 5 THEN '未闭【' || a0.token || '【' || a0.note || '】，乾隆〇年，' || a2.token || '【' || a2.note || '】'
+  WHEN 0 THEN '于' || t0 || coalesce('【' || k0 || '】', '') || '到' || t1 || '【' || n1 || '】止'
+  WHEN 1 THEN t0 || '【' || n0 || '】，又' || t1 || '【' || n1 || '】'
+  WHEN 2 THEN text || '【' || n2 || '】'
+  WHEN 3 THEN t0 || '【' || n0 || '】、' || t1 || '【' || n1 || '】及甲丑'
+  WHEN 4 THEN t0 || '【' || n0 || '】' || t1 || '【' || n1 || '】' || t2 || '【' || n2 || '】'
+  WHEN 5 THEN '未闭【' || t0 || '【' || n0 || '】，乾隆〇年，' || t2 || '【' || n2 || '】'
   ELSE text END AS annotated
-FROM {v_date_text} t LEFT JOIN ex a0 ON a0.doc_id = t.doc_id AND a0.pos = 0 LEFT JOIN ex a1 ON a1.doc_id = t.doc_id AND a1.pos = 1
-LEFT JOIN ex a2 ON a2.doc_id = t.doc_id AND a2.pos = 2 LEFT JOIN kept k0 ON k0.doc_id = t.doc_id AND k0.pos = 0""",
+FROM {v_date_text} t LEFT JOIN a8 ON a8.doc_id = t.doc_id""",
         **EXPECTED,
+        a8="""SELECT doc_id, max(token) FILTER (WHERE pos = 0) AS t0, max(token) FILTER (WHERE pos = 1) AS t1, max(token) FILTER (WHERE pos = 2) AS t2,
+  max(note) FILTER (WHERE pos = 0) AS n0, max(note) FILTER (WHERE pos = 1) AS n1, max(note) FILTER (WHERE pos = 2) AS n2,
+  max(note) FILTER (WHERE pos = 0 AND NOT (kind = 'era' AND era = '民国' AND n < 39)) AS k0 FROM ex GROUP BY doc_id""",
     ),
 )
 def _annotated(t: Tables) -> DataFrame:

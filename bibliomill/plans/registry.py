@@ -24,15 +24,14 @@ VIEWS: dict[str, str] = {}
 
 
 def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Hash-partition a scan of fewer splits than cores by its key.
+    """Hash-partition a scan of a single split by its key.
 
-    A large table has more splits than the cluster has cores and is left as it is; a small
-    file of one row group would otherwise keep all work on one core.
+    One split is no larger than ``spark.sql.files.maxPartitionBytes``, so what is dealt out
+    here is bounded; a table of more splits is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if key is None or df.rdd.getNumPartitions() >= cores:
+    if key is None or df.rdd.getNumPartitions() > 1:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 class Tables:

@@ -171,21 +171,21 @@ def _page_hits_ci(t: Tables) -> DataFrame:
 
 # A vocabulary taken from the documents themselves, far beyond the constant-table limit.
 VOCABULARY = """
-SELECT DISTINCT lower(regexp_extract(text, '([A-Za-z]{5,9})', 1)) AS term FROM {documents}
-WHERE regexp_matches(text, '[A-Za-z]{5,9}')"""
+SELECT DISTINCT lower(w) AS term FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{5,9}')) AS w FROM documents)"""
 
 
 VOCABULARY_SQL = oracle(
     "SELECT v.term, CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT p.doc_id) AS BIGINT) AS docs "
-    "FROM v JOIN p ON contains(p.t, v.term) GROUP BY v.term",
+    "FROM s p JOIN v ON v.term = p.sub GROUP BY v.term",
     v=VOCABULARY,
+    s="SELECT DISTINCT doc_id, ord, substr(t, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS sub FROM (SELECT doc_id, ord, t, unnest(range(1, length(t) - 3)) AS i FROM p), (SELECT unnest(range(5, 10)) AS n)",
     p=PAGES_SQL,
 )
 
 
 def vocabulary_counts(t: Tables, **options: int) -> DataFrame:
-    word = F.lower(F.regexp_extract("text", "([A-Za-z]{5,9})", 1)).alias("term")
-    words = t.documents.select(word).filter("term <> ''").distinct().withColumn("pos", F.lit(0))
+    found = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,9}"), F.lit(0)))
+    words = t.documents.select(found.alias("w")).select(F.lower("w").alias("term")).distinct().withColumn("pos", F.lit(0))
     hits = S.page_hits(doc_pages(t), words, **options)
     by_doc = hits.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("term").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("docs"))
@@ -261,7 +261,7 @@ SELECT doc_id, term, CAST(page AS BIGINT) AS page, CAST(off AS BIGINT) AS offset
       list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * length(term) AS off
     FROM (SELECT doc_id, term, page, ord, pieces, unnest(range(1, len(pieces))) AS i
           FROM (SELECT *, string_split(t, term) AS pieces FROM h1)))
-) WHERE rn <= 500"""
+)"""
     ),
 )
 def _occurrences(t: Tables) -> DataFrame:
@@ -285,7 +285,7 @@ def _term_totals(t: Tables) -> DataFrame:
     "txt_10_image_only",
     oracle(
         "SELECT doc_id, bool_and(NOT regexp_matches(CASE WHEN doc_id % 7 = 0 AND ord < 24 THEN ' ' ELSE t END, '[^\\s\\p{Z}]')) AS image_only "
-        "FROM p WHERE ord < 24 GROUP BY doc_id",
+        "FROM p WHERE ord < 24 AND doc_id % 11 <> 0 GROUP BY doc_id UNION ALL SELECT doc_id, true FROM documents WHERE doc_id % 11 = 0",
         p=PAGES_SQL,
     ),
 )
@@ -293,7 +293,8 @@ def _image_only(t: Tables) -> DataFrame:
     # Scans are simulated by blanking the first pages of every seventh document.
     scanned = (F.col("doc_id") % 7 == 0) & (F.col("ord") < 24)
     pages = doc_pages(t).withColumn("text", F.when(scanned, " ").otherwise(F.col("text")))
-    return P.image_only(pages)
+    # Every eleventh document is a file without any page of text.
+    return P.image_only(pages.filter("doc_id % 11 <> 0"), docs=t.documents)
 
 
 RAW_TERMS = """
@@ -319,12 +320,12 @@ def _or_expression(t: Tables) -> DataFrame:
     "txt_12_all_groups",
     hits_oracle(
         """
-SELECT query_id, doc_id FROM h JOIN (SELECT query_id, count(DISTINCT grp) AS g FROM v_terms WHERE term <> 'zzqx-absent' GROUP BY 1) USING (query_id)
+SELECT query_id, doc_id FROM h JOIN (SELECT query_id, count(DISTINCT grp) AS g FROM v_terms GROUP BY 1) USING (query_id)
 GROUP BY query_id, doc_id, g HAVING count(DISTINCT grp) = g"""
     ),
 )
 def _all_groups(t: Tables) -> DataFrame:
-    terms = t.v_terms.filter("term <> 'zzqx-absent'").withColumnRenamed("grp", "group")
+    terms = t.v_terms.withColumnRenamed("grp", "group")
     hits = S.page_hits(doc_pages(t), terms)
     return S.all_groups_match(hits, terms).select("query_id", "doc_id")
 
@@ -370,12 +371,12 @@ TARGETS = "SELECT DISTINCT target FROM (SELECT target FROM {v_membership} UNION
 @query(
     "txt_14_files_per_target",
     hits_oracle(
-        "SELECT m.target, CAST(count(DISTINCT m.doc_id) AS BIGINT) AS files FROM {v_membership} m WHERE m.doc_id IN (SELECT doc_id FROM h1) GROUP BY m.target"
+        "SELECT tg.target, CAST(count(DISTINCT h1.doc_id) AS BIGINT) AS files FROM tg LEFT JOIN {v_membership} m ON m.target = tg.target LEFT JOIN h1 ON h1.doc_id = m.doc_id GROUP BY tg.target",
+        tg=TARGETS,
     ),
 )
 def _files_per_target(t: Tables) -> DataFrame:
-    targets = t.v_membership.select("target").distinct()
-    return S.files_per_target(hits1(t), t.v_membership, targets).filter("files > 0").select(
+    return S.files_per_target(hits1(t), t.v_membership, t.sql(TARGETS)).select(
         "target", F.col("files").cast("long").alias("files")
     )
 

@@ -36,7 +36,7 @@ def inventory(spark: SparkSession, roots: Sequence[str], exts: Sequence[str] = E
             continue
         one = one.select(
             F.lit(root).alias("root"),
-            F.regexp_replace("path", "^[a-z0-9]+:(?://[^/]*)?(?=/)", "").alias("path"),
+            F.regexp_replace("path", "^file:(?://)?(?=/)", "").alias("path"),
             F.col("length").alias("size"),
             F.col("modificationTime").alias("mtime"),
         )
