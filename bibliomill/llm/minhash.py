@@ -206,14 +206,14 @@ def near_duplicates(docs: DataFrame, least: float = LIKENESS, tile: int = TILE)
     )
     banded = of_class.select("class", F.explode("bands").alias("band"))
     shared = cut_lineage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
-    met = banded.join(shared, "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    met = banded.join(shared.hint("merge"), "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
     # each unordered pair of tiles of a band once: a text is at home in its tile and a guest
     # in its own and the lower ones
     home = met.select("class", "band", F.col("own").alias("home"), F.explode(F.sequence(F.col("own"), F.col("tiles") - 1)).alias("visit"), F.lit(False).alias("guest"))
     guest = met.select("class", "band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("home"), F.col("own").alias("visit"), F.lit(True).alias("guest"))
     keys = ["band", "home", "visit"]
     dealt = (
-        home.unionByName(guest).join(of_class.select("class", "signature", "shingles"), "class")
+        home.unionByName(guest).join(of_class.select("class", "signature", "shingles").hint("merge"), "class")
         .repartition(shuffle_width(docs.sparkSession), *keys).sortWithinPartitions(*keys)
     )
 

@@ -128,7 +128,7 @@ def _parts(rows: DataFrame, per_slice: DataFrame, sources: DataFrame, block: int
     placed = (
         rows.where("size > 0")
         .withColumn("before", F.sum("size").over(running) - F.col("size"))
-        .join(first, ["source_key", "slice"])
+        .join(first.hint("merge"), ["source_key", "slice"])
         .join(broadcast_up_to(sources.select("source_key", "number"), 100_000), "source_key")
         .select("row", "number", "size", (F.col("base") + F.col("before")).alias("start"))
     )
@@ -145,7 +145,8 @@ def mix(rows: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> tuple[Da
     """Taken parts of the documents (row, lo, words, uses) and the table of sources."""
     per_slice = cut_lineage(rows.groupBy("source_key", "slice").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "slices")
     sources = cut_lineage(targets(per_slice, block=block), "sources")
-    taken = _parts(rows, per_slice, sources, block).join(uses(sources, seed), ["number", "block"])
+    # the blocks grow with the corpus, but Spark sees only the few sources they come from
+    taken = _parts(rows, per_slice, sources, block).join(uses(sources, seed).hint("merge"), ["number", "block"])
     return taken.select("row", "lo", "words", "uses"), sources
 
 

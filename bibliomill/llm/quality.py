@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bibliomill.llm.common import cut_lineage, free_name, worker_state
+from bibliomill.llm.common import broadcast_up_to, cut_lineage, free_name, worker_state
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -45,6 +45,8 @@ MAX_EXTRA_BYTES = 0.1
 # No language is so even that less than this is a deviation (times the root of the length).
 LEAST_DEVIATION = 0.2
 CACHE_WORDS = 500_000
+# Bands of languages and classes are small; more rows than this are joined by shuffling.
+BROADCAST_BANDS = 100_000
 
 METRICS = T.StructType(
     [
@@ -198,7 +200,9 @@ def verdicts(measured: DataFrame, m: str, lang: str, out: str) -> DataFrame:
         col.chars_per_token.alias("cpt"), col.byte_share.alias("bytes"), col.token_entropy.alias("entropy"),
     )
     by_language = rows.groupBy("language").agg(_median(F.col("cpt")).alias("mid_cpt"), _median(F.col("bytes")).alias("mid_bytes"))
+    by_language = broadcast_up_to(cut_lineage(by_language, "bands"), BROADCAST_BANDS)
     by_class = rows.groupBy("language", "class").agg(_median(F.col("entropy")).alias("mid_entropy"))
+    by_class = broadcast_up_to(cut_lineage(by_class, "bands"), BROADCAST_BANDS)
     spread = (
         rows.join(by_language, "language")
         .join(by_class, ["language", "class"])

@@ -172,7 +172,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Da
 
 
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
-    """``node`` and the smallest node it can reach (``root``), for nodes with an edge (a, b).
+    """``node`` and the smallest node it can reach (``root``), for the nodes of edges (a, b)
+    that are not themselves the smallest.
 
     Alternates two steps on written tables: every node's larger neighbours, then its smaller
     ones, are hung on its smallest neighbour.  The number of rounds grows with the logarithm
