@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibliomill.session import cut_lineage
+
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the smallest by ``order``.  A minimum is combined on the map
@@ -27,32 +29,32 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
-def numbered(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    bucket: Sequence[Column],
-    name: str = "rank",
-) -> DataFrame:
-    """Row numbers within ``keys``, with each key's rows spread over its buckets.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Row numbers within ``keys``, with the rows of a large key spread over many tasks.
 
-    ``bucket`` must rise with ``order`` (leading order columns, or a prefix of a string
-    that is ordered by).  Rows are numbered inside one bucket and shifted by the sizes of
-    the buckets before it, so only the bucket counts of a key meet in one task.
+    Rows are dealt out by ranges of (keys, order), so a key that holds any share of the
+    table fills as many ranges as its size asks for.  They are written with the number of
+    their range, numbered inside it, and shifted by the key's rows in the ranges before;
+    only these counts meet in one task per key.  Rows that tie in ``order`` may fall into
+    neighbouring ranges and still get different numbers.
     """
-    parts = [f"_b{i}" for i in range(len(bucket))]
-    rows = df
-    for part, expr in zip(parts, bucket):
-        rows = rows.withColumn(part, expr)
-    sizes = rows.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    taken = {c.lower() for c in df.columns}
+    part, rows_of, before_of = (_free(taken, c) for c in ("_range", "_rows", "_before"))
+    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut_lineage(df.repartitionByRange(ranges, *keys, *order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias(rows_of))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     shift = sizes.select(
-        *[F.col(c).alias(f"_k_{c}") for c in [*keys, *parts]],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, part])], F.coalesce(F.sum(rows_of).over(before), F.lit(0)).alias(before_of)
     )
-    inside = Window.partitionBy(*keys, *parts).orderBy(*order)
-    local = rows.withColumn("_local", F.row_number().over(inside))
-    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, *parts]]
-    return local.join(shift, on).select(
-        *[F.col(c) for c in df.columns], (F.col("_before") + F.col("_local")).alias(name)
+    inside = Window.partitionBy(*keys, part).orderBy(*order)
+    on = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate([*keys, part])]
+    return dealt.withColumn(rows_of, F.row_number().over(inside)).join(shift, on).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col(before_of) + F.col(rows_of)).alias(name)
     )
+
+
+def _free(taken: set[str], name: str) -> str:
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -174,14 +174,8 @@ def group_by_book(files: DataFrame, min_files: int = 1) -> DataFrame:
 
 
 def book_files(files: DataFrame) -> DataFrame:
-    """Files of each book numbered by name.
-
-    A directory may hold any share of the catalog: its names are numbered in slices of
-    equal beginnings.
-    """
-    return numbered(
-        files, ["dir"], [F.col("name")], [F.substring("name", 1, 4), F.substring("name", 5, 3)], "file_no"
-    )
+    """Files of each book numbered by name.  A directory may hold any share of the catalog."""
+    return numbered(files, ["dir"], [F.col("name")], "file_no")
 
 
 def top_books(files: DataFrame, n: int = 20) -> DataFrame:

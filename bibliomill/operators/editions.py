@@ -103,10 +103,10 @@ def edition_groups(records: DataFrame) -> DataFrame:
 
 def version_order(records: DataFrame) -> DataFrame:
     """Number the versions of each work: originals before converted ones, PDF, text, rest,
-    then by path.  A work of very many versions is numbered in slices of its paths."""
+    then by path.  A work may have any number of versions."""
     r = records.withColumn("work", F.coalesce(X.empty_to_null(F.col("title")), "name"))
     o = _rank(F.col("tail"), F.col("ext"))
-    return numbered(r, ["work", "volume"], [*o, F.col("path")], [*o, F.substring("path", 1, 12)], "version_no")
+    return numbered(r, ["work", "volume"], [*o, F.col("path")], "version_no")
 
 
 def work_keys(books: DataFrame) -> DataFrame:

@@ -179,6 +179,16 @@ def or_expression(terms: DataFrame, key: Sequence[str] = ("query_id",)) -> DataF
     )
 
 
+def query_groups(queries: DataFrame, key: str = "query_id", query: str = "query") -> DataFrame:
+    """Terms of typed queries: ``key, group, pos, term``.  Blanks part groups that must all be
+    met; a quoted run is one exact phrase.  Empty quotes and blank queries give no rows."""
+    parts = F.regexp_extract_all(query, F.lit(r'(?U)"[^"]*"|[^\s"]+'), F.lit(0))
+    found = queries.select(key, F.posexplode(parts).alias("_i", "_part"))
+    term = X.strip(F.regexp_replace("_part", r'^"|"$', ""))
+    pos = (F.col("_i") + 1).cast("long")
+    return found.select(key, pos.alias("group"), pos.alias("pos"), term.alias("term")).filter("term <> ''")
+
+
 def all_groups_match(hits: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents in which every group of a query is met by any of the group's terms."""
     wanted = terms.groupBy("query_id").agg(F.count_distinct("group").alias("n_groups"))

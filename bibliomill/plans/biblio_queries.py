@@ -528,6 +528,14 @@ def _related_works(t: Tables) -> DataFrame:
     return r.groupBy("path", "class").agg(F.count(F.lit(1)).alias("n"), F.md5(joined).alias("digest"))
 
 
+@query(
+    "bib_26_work_keys",
+    oracle("SELECT path, class, k FROM rk WHERE k IS NOT NULL", **NAMES, pa=PARSED, **RELATED),
+)
+def _work_keys(t: Tables) -> DataFrame:
+    return E.work_keys(records(t).select("name", "dir", "path", "author"))
+
+
 @query(
     "bib_27_provenance",
     oracle(

@@ -330,6 +330,24 @@ def _all_groups(t: Tables) -> DataFrame:
     return S.all_groups_match(hits, terms).select("query_id", "doc_id")
 
 
+# Typed queries of every customer; the groups are known from the way they are written.
+TYPED = """
+SELECT c_custkey AS query_id, CASE c_custkey % 4 WHEN 0 THEN ' the  "of the" ' WHEN 1 THEN 'name' || CAST(c_custkey AS STRING) || ' ""tion' WHEN 2 THEN '   '
+  ELSE '"k ' || CAST(c_custkey AS STRING) || '" x' END AS query FROM {customer}"""
+
+
+@query(
+    "txt_12_query_groups",
+    """
+SELECT c_custkey AS query_id, g AS grp, CASE WHEN c_custkey % 4 = 0 THEN CASE g WHEN 1 THEN 'the' ELSE 'of the' END
+  WHEN c_custkey % 4 = 1 THEN CASE g WHEN 1 THEN 'name' || c_custkey ELSE 'tion' END ELSE CASE g WHEN 1 THEN 'k ' || c_custkey ELSE 'x' END END AS term
+FROM customer, (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT)), (CAST(3 AS BIGINT))) AS n(g)
+WHERE c_custkey % 4 <> 2 AND CASE WHEN c_custkey % 4 = 1 THEN g <> 2 ELSE g <> 3 END""",
+)
+def _query_groups(t: Tables) -> DataFrame:
+    return S.query_groups(t.sql(TYPED)).select("query_id", F.col("group").alias("grp"), "term")
+
+
 MERGED = """
 SELECT doc_id, string_agg(term, '、' ORDER BY pos) AS terms, CAST(sum(n) AS BIGINT) AS count
 FROM (SELECT doc_id, term, pos, sum(n) AS n FROM h1 GROUP BY ALL) GROUP BY doc_id"""

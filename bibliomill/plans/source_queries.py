@@ -167,8 +167,10 @@ def _result_items(t: Tables) -> DataFrame:
 def _published(t: Tables) -> DataFrame:
     base = shared_dir(t.spark, "catalog")
     publish(t.v_old.select("root", "dir", "name", "size", "mtime"), base, partition_by="root")
-    publish(t.v_catalog.select("root", "dir", "name", "size", "mtime"), base, partition_by="root")
-    return current(t.spark, base).select("root", "dir", "name", "size", "mtime")
+    replica = shared_dir(t.spark, "replica")
+    publish(t.v_catalog.select("root", "dir", "name", "size", "mtime"), base, partition_by="root", replica=replica)
+    # the replica's own files are read
+    return current(t.spark, replica).select("root", "dir", "name", "size", "mtime")
 
 
 @query(

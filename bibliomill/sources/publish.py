@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "_versions"
-SCHEMA = "version string, rows long, published_at timestamp, target string"
+SCHEMA = "number long, version string, rows long, published_at timestamp, target string"
 
 
 class PublishError(RuntimeError):
@@ -20,39 +20,67 @@ def publish(df: DataFrame, base: str, expected_rows: int | None = None, partitio
     """Write ``df`` as a new version below ``base`` and make it current.
 
     Readers follow the manifest, so they see the old version until the new one is written
-    and its row count has been compared with ``expected_rows`` (by default with what was
-    sent to the writer); a version that fails is never named.
+    and its row count has been compared with what was sent to the writer (and with
+    ``expected_rows``, where given); a version that fails is never named.  The plan runs
+    once: the rows are counted while they are written.  A ``replica`` gets its own copy of
+    the files, checked in the same way before either place names the version.
     """
     spark = df.sparkSession
     version = uuid.uuid4().hex
+    number = (_last(spark, base) or 0) + 1
+    seen = Observation(f"rows-{version}")
     path = f"{base.rstrip('/')}/v-{version}"
+    _write(df.observe(seen, F.count(F.lit(1)).alias("n")), path, partition_by)
+    expected = seen.get["n"] if expected_rows is None else expected_rows
+    written = spark.read.schema(df.schema).parquet(path)
+    rows = _checked(written, path, expected)
+    places = {base: path}
+    if replica:
+        places[replica] = f"{replica.rstrip('/')}/v-{version}"
+        _write(written, places[replica], partition_by)
+        _checked(spark.read.schema(df.schema).parquet(places[replica]), places[replica], expected)
+    for place, target in places.items():
+        entry = spark.range(1).select(
+            F.lit(number).cast("long").alias("number"), F.lit(version).alias("version"), F.lit(rows).cast("long").alias("rows"),
+            F.current_timestamp().alias("published_at"), F.lit(target).alias("target"),
+        )
+        entry.coalesce(1).write.mode("append").parquet(f"{place.rstrip('/')}/{MANIFEST}")
+    return version
+
+
+def _write(df: DataFrame, path: str, partition_by: str | None) -> None:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path).count()
-    expected = df.count() if expected_rows is None else expected_rows
-    if written != expected:
-        raise PublishError(f"{path} holds {written} rows, expected {expected}; not published")
-    for target in [base, *([replica] if replica else [])]:
-        entry = spark.range(1).select(
-            F.lit(version).alias("version"), F.lit(written).cast("long").alias("rows"),
-            F.current_timestamp().alias("published_at"), F.lit(path).alias("target"),
-        )
-        entry.coalesce(1).write.mode("append").parquet(f"{target.rstrip('/')}/{MANIFEST}")
-    return version
+
+
+def _checked(written: DataFrame, path: str, expected: int) -> int:
+    rows = written.count()
+    if rows != expected:
+        raise PublishError(f"{path} holds {rows} rows, expected {expected}; not published")
+    return rows
 
 
 def versions(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(f"{base.rstrip('/')}/{MANIFEST}")
 
 
-def current(spark: SparkSession, base: str) -> DataFrame | None:
-    """The current version, None before the first publication."""
+def _latest(spark: SparkSession, base: str):
     try:
-        row = versions(spark, base).orderBy(F.desc("published_at")).limit(1).collect()
+        return versions(spark, base).orderBy(F.desc("number"), F.desc("version")).first()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    return spark.read.parquet(row[0]["target"]) if row else None
+
+
+def _last(spark: SparkSession, base: str) -> int | None:
+    row = _latest(spark, base)
+    return row["number"] if row else None
+
+
+def current(spark: SparkSession, base: str) -> DataFrame | None:
+    """The version with the highest number, None before the first publication."""
+    row = _latest(spark, base)
+    return spark.read.parquet(row["target"]) if row else None

@@ -9,7 +9,7 @@ from bibliomill.plans.registry import TABLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-SOME = ["txt_13_terms_by_targets", "cat_01_snapshot_diff", "ali_10_lookup_all", "bib_22_redundant_texts", "dat_12_day_codes", "join_05_relocated_few_rules", "src_08_excerpts", "str_02_progressive_search"]
+SOME = ["txt_13_terms_by_targets", "cat_01_snapshot_diff", "ali_10_lookup_all", "bib_22_redundant_texts", "dat_12_day_codes", "join_05_relocated_few_rules", "src_08_excerpts", "str_02_progressive_search", "join_05_relocated_edge_rules", "cat_10_book_files", "bib_08_colophon_page", "txt_12_query_groups"]
 
 
 def test_every_check_belongs_to_a_query():
