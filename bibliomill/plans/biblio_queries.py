@@ -14,7 +14,9 @@ from bibliomill.plans.catalog_queries import EXT, STEM
 import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
 
-SURNAMES = "郑李王冯张邓"
+SINGLE_SURNAMES = "郑李王冯张邓"
+COMPOUND_SURNAMES = ("欧阳", "司马", "诸葛", "上官")
+SURNAMES = " ".join((SINGLE_SURNAMES, *COMPOUND_SURNAMES))
 WS = "[\\s\\p{Z}]"
 HAN = "[\\x{4E00}-\\x{9FA5}]"
 BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}\\x{2028}\\x{2029}]"
@@ -116,7 +118,7 @@ CASE WHEN regexp_extract({stem}, '{vol}', 1) <> '' THEN '第' || regexp_extract(
 regexp_extract({stem}, '(?:^|[^0-9])([0-9]{{6,10}})(?:[^0-9]|$)', 1) AS ssid,
 regexp_extract({stem}, '({HAN}{{2,18}}(?:大学出版社|出版社|印书馆|书局|书社|出版公司))', 1) AS publisher,
 coalesce(regexp_extract_all({stem}, '(?:^|[^0-9])(1[89][0-9]{{2}}|20[0-9]{{2}})(?:[^0-9]|$)', 1)[-1], '') AS year,
-CASE WHEN {author} <> '' AND contains('{SURNAMES}', substr({author}, 1, 1)) THEN {author} ELSE regexp_extract({core}, '{lead}', 1) END AS author,
+CASE WHEN {author} <> '' AND contains('{SINGLE_SURNAMES}', substr({author}, 1, 1)) THEN {author} ELSE regexp_extract({core}, '{lead}', 1) END AS author,
 {strip(sub(core, lead))} AS title, CASE WHEN contains({stem}, '繁转简') THEN '_【繁转简】' ELSE '' END AS tail"""
 
 
@@ -293,10 +295,10 @@ def _years(t: Tables) -> DataFrame:
 
 
 PARTY = B.AUTHORS.replace("(?U)", "").replace("\\s", WS)
-COMPOUND = ", ".join(f"'{c}'" for c in N.COMPOUND_SURNAMES)
+COMPOUND = ", ".join(f"'{c}'" for c in COMPOUND_SURNAMES)
 PERSON = (
     f"length(nm) BETWEEN 2 AND 4 AND regexp_matches(nm, '^[\\x{{4E00}}-\\x{{9FFF}}]+$') "
-    f"AND (substr(nm, 1, 2) IN ({COMPOUND}) OR contains('{SURNAMES}', substr(nm, 1, 1)))"
+    f"AND (substr(nm, 1, 2) IN ({COMPOUND}) OR contains('{SINGLE_SURNAMES}', substr(nm, 1, 1)))"
 )
 PARTIES = dict(
     ph=f"""SELECT doc_id, unnest(range(len(r))) AS i, len(r) AS n, unnest(r) AS raw, unnest(o) AS role, ends FROM (
