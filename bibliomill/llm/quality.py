@@ -47,6 +47,8 @@ LEAST_DEVIATION = 0.2
 CACHE_WORDS = 500_000
 # Bands of languages and classes are small; more rows than this are joined by shuffling.
 BROADCAST_BANDS = 100_000
+# So many rejected documents (16 bytes each) are sent to all executors; more are shuffled.
+BROADCAST_REJECTED = 1_000_000
 
 METRICS = T.StructType(
     [
@@ -213,7 +215,8 @@ def verdicts(measured: DataFrame, m: str, lang: str, out: str) -> DataFrame:
         )
     )
     k, b = free_name(measured, "band"), free_name(measured, "class_band")
-    per_language = by_language.join(spread, "language").select(F.struct("*").alias(k))
+    whole = broadcast_up_to(cut_lineage(by_language.join(spread, "language"), "bands"), BROADCAST_BANDS)
+    per_language = whole.select(F.struct("*").alias(k))
     per_class = by_class.select(F.struct("*").alias(b))
     judged = measured.join(per_language, language == F.col(f"{k}.language"), "left").join(
         per_class, (language == F.col(f"{b}.language")) & (classed == F.col(f"{b}.class")), "left"
@@ -224,26 +227,32 @@ def verdicts(measured: DataFrame, m: str, lang: str, out: str) -> DataFrame:
     return judged.withColumn(out, F.when(base_failed(col), False).otherwise(F.coalesce(usual, F.lit(True)))).drop(k, b)
 
 
-def quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[DataFrame, str, str]:
-    """``docs`` with a struct of measures and a boolean verdict, and the names of the two
-    columns.  The measured rows are written once to the shared folder, because the bands
-    need all of them before the first can be judged."""
-    m, kept = free_name(docs, "fertility"), free_name(docs, "kept")
-    measured = cut_lineage(docs.withColumn(m, metrics(F.col(text), F.col(lang))), "fertility")
-    return verdicts(measured, m, lang, kept), m, kept
+def judged(docs: DataFrame, *keys: Column) -> DataFrame:
+    """The keys of every document with its measures (``fertility``) and verdict (``kept``).
+    The measures, not the texts, are written to the shared folder, because the bands need all
+    of them before the first can be judged."""
+    m = "fertility"
+    narrow = docs.select(*keys, F.col("lang").alias("lang"), metrics(F.col("text"), F.col("lang")).alias(m))
+    return verdicts(cut_lineage(narrow, "fertility"), m, "lang", "kept")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document, without the texts."""
-    m = "fertility"
-    narrow = docs.select("doc_id", "lang", metrics(F.col("text"), F.col("lang")).alias(m))
-    judged = verdicts(cut_lineage(narrow, "fertility"), m, "lang", "kept")
-    base = [F.col(f"{m}.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    more = [F.col(f"{m}.{c}") for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")]
-    return judged.select("doc_id", *base, base_failed(F.col(m)).alias("base_failed"), "kept", *more)
+    m = F.col("fertility")
+    base = [m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    more = [m[c].alias(c) for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")]
+    return judged(docs, F.col("doc_id")).select("doc_id", *base, base_failed(m).alias("base_failed"), "kept", *more)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass the base rules and the bands, with their own columns only."""
-    judged, m, kept = quality(docs)
-    return judged.where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass the base rules and the bands.
+
+    Rejected rows are told by id and a hash of text and language, which is all the verdict
+    depends on; few of them travel to the texts, many are joined by shuffling.
+    """
+    rejected, print_ = free_name(docs, "rejected_id"), free_name(docs, "rejected_print")
+    content = F.xxhash64("text", "lang")
+    verdict = judged(docs, F.col("doc_id").alias(rejected), content.alias(print_))
+    bad = cut_lineage(verdict.where("NOT kept").select(rejected, print_).distinct(), "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col(rejected)) & (content == F.col(print_))
+    return docs.join(broadcast_up_to(bad, BROADCAST_REJECTED), same, "left_anti")
