@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bibliomill.functions.text import let
 from bibliomill.llm.common import WORD, broadcast_up_to, cut_lineage, shuffle_width
 
 WEIGHTS = (5, 2, 1)
@@ -174,17 +175,23 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     narrow = rows.select("row", "doc_id", "source", "source_key", "size", "digest", "slice")
     parts, _ = mix(narrow)
     plan = parts.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.struct("lo", "words", "uses"))).alias("plan"), F.max("uses").alias("times"), F.sum("words").alias("known")
-    )
+        F.sort_array(F.collect_list(F.struct("lo", "words", "uses"))).alias("plan"),
+        F.max("uses").alias("times"), F.min("uses").alias("least"), F.sum("words").alias("known"),
+    )
     own = {c.lower(): f"own_{i}" for i, c in enumerate(columns)}
     text = F.col(own["text"])
-    full = rows.select("row", "size", *[f"own_{i}" for i in range(len(columns))]).join(plan, "row")
-    times = full.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    taken = F.filter("plan", lambda p: p.uses >= F.col("time"))
-    complete = (F.size(taken) == F.size("plan")) & (F.col("known") == F.col("size"))
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform(taken, lambda p: F.slice(F.col("all_words"), (p.lo + 1).cast("int"), p.words.cast("int")))), " ")
-    times = times.withColumn("all_words", F.when(~complete, words)).withColumn("new_text", F.when(complete, text).otherwise(some))
+    full = rows.select("row", "size", *[f"own_{i}" for i in range(len(columns))]).join(plan.hint("merge"), "row")
+    # the first so many times take every block
+    complete = F.when(F.col("known") == F.col("size"), F.col("least")).otherwise(F.lit(0).cast("long"))
+    words = F.when(F.col("times") > complete, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+
+    def taken(all_words: Column, time: Column) -> Column:
+        slices = F.transform(F.filter("plan", lambda p: p.uses >= time), lambda p: F.slice(all_words, (p.lo + 1).cast("int"), p.words.cast("int")))
+        return F.when(time <= complete, text).otherwise(F.array_join(F.flatten(slices), " "))
+
+    every = F.sequence(F.lit(1).cast("long"), F.col("times"))
+    texts = let(words, lambda all_words: F.transform(every, lambda time: taken(all_words, time)))
+    times = full.withColumn("new_text", F.explode(texts))
     out = []
     for i, c in enumerate(columns):
         if c.lower() == "text":
