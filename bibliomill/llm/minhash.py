@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibliomill.llm.common import cut_lineage, group_edges, shuffle_width, whole_groups
+from bibliomill.llm.common import cut_lineage, free_name, group_edges, shuffle_width, whole_groups
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -160,69 +160,110 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 def _verified_forest(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the pairs whose shingle sets are alike enough, one text
     of each pair being at home and the other a guest."""
-    ids = rows["class"].to_numpy()
+    ids, node = np.unique(rows["class"].to_numpy(), return_inverse=True)
     sigs = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
     sets = [np.frombuffer(s, np.uint32) for s in rows["shingles"]]
     home, guest = np.flatnonzero(~rows["guest"].to_numpy()), np.flatnonzero(rows["guest"].to_numpy())
-    label = {int(i): int(i) for i in ids}
+    label = np.arange(len(ids))
     edges = []
     for h in home:
+        apart = guest[label[node[guest]] != label[node[h]]]
         # the estimate of a pair at the limit lies this low once in a million
-        near = guest[(sigs[guest] == sigs[h]).mean(axis=1) >= least - 0.2]
-        for g in near:
-            a, b = int(ids[h]), int(ids[g])
+        for g in apart[(sigs[apart] == sigs[h]).mean(axis=1) >= least - 0.2] if len(apart) else apart:
+            a, b = node[h], node[g]
             if label[a] == label[b]:
                 continue
             both = len(np.intersect1d(sets[h], sets[g], assume_unique=True))
             if both >= least * (len(sets[h]) + len(sets[g]) - both):
-                edges.append((a, b))
-                old, new = label[b], label[a]
-                label.update((k, new) for k, v in label.items() if v == old)
+                edges.append((int(ids[a]), int(ids[b])))
+                label[label == label[b]] = label[a]
     return edges
 
 
-def near_duplicates(docs: DataFrame, least: float = LIKENESS, tile: int = TILE) -> DataFrame:
-    """doc_id and class_id (the smallest id reachable by links of likeness ``least`` or more)
-    of every document."""
-    from bibliomill.llm.simhash import components
-
+def signed(text: Column) -> Column:
+    """Signature, class (a digest of the shingle set) and band keys of a text column."""
     hashes = permutations()
     per_band = PERMUTATIONS // BANDS
 
-    @F.pandas_udf("signature binary, shingles binary, class long, bands array<long>")
-    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("signature binary, class long, bands array<long>")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text in batch:
                 found = np.unique(shingles(text or ""))
                 sig = signature(found, hashes)
                 keys = [int.from_bytes(hashlib.blake2b(sig[i : i + per_band].tobytes(), digest_size=8, salt=b"%d" % i).digest(), "big", signed=True) for i in range(0, PERMUTATIONS, per_band)]
-                out.append((sig.tobytes(), found.tobytes(), int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True), keys))
-            yield pd.DataFrame(out, columns=["signature", "shingles", "class", "bands"])
+                out.append((sig.tobytes(), int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True), keys))
+            yield pd.DataFrame(out, columns=["signature", "class", "bands"])
 
-    signed_docs = cut_lineage(docs.select("doc_id", signed(F.col("text")).alias("s")).select("doc_id", "s.*"), "signatures")
-    of_class = cut_lineage(
-        signed_docs.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "classes"
-    )
+    return made(text)
+
+
+def _shingle_set(text: Column) -> Column:
+    @F.pandas_udf("binary")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(shingles(t or "")).tobytes() for t in batch], dtype=object)
+
+    return made(text)
+
+
+def class_roots(rows: DataFrame, least: float = LIKENESS, tile: int = TILE) -> DataFrame:
+    """``class`` and ``root``, the class that stands for all those reachable by links of
+    likeness ``least`` or more, of the classes that are not their own root; for a written table
+    of (row, text, signature, class, bands).
+
+    Bands whose texts are the same as another band's are compared once, and shingles are cut
+    again only for one text of each class that shares a band.
+    """
+    from bibliomill.llm.simhash import components
+
+    of_class = cut_lineage(rows.groupBy("class").agg(F.min("row").alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
     banded = of_class.select("class", F.explode("bands").alias("band"))
-    shared = cut_lineage(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
-    met = banded.join(shared.hint("merge"), "band").withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    members = [F.count(F.lit(1)).alias("n"), F.sum(F.col("class").cast("decimal(38,0)")).alias("total"), F.bit_xor("class").alias("odd")]
+    shared = cut_lineage(banded.groupBy("band").agg(*members).where("n > 1").groupBy("n", "total", "odd").agg(F.min("band").alias("band")).select("band", "n"), "bands")
+    met = cut_lineage(banded.join(shared.hint("merge"), "band"), "met")
+    met = met.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
+    standing = of_class.join(met.select("class").distinct().hint("merge"), "class").select("row", "class", "signature")
+    sets = rows.select("row", "text").join(standing.hint("merge"), "row").select("class", "signature", _shingle_set(F.col("text")).alias("shingles"))
+    sets = cut_lineage(sets, "shingles")
     # each unordered pair of tiles of a band once: a text is at home in its tile and a guest
     # in its own and the lower ones
     home = met.select("class", "band", F.col("own").alias("home"), F.explode(F.sequence(F.col("own"), F.col("tiles") - 1)).alias("visit"), F.lit(False).alias("guest"))
     guest = met.select("class", "band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("home"), F.col("own").alias("visit"), F.lit(True).alias("guest"))
     keys = ["band", "home", "visit"]
     dealt = (
-        home.unionByName(guest).join(of_class.select("class", "signature", "shingles").hint("merge"), "class")
-        .repartition(shuffle_width(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+        home.unionByName(guest).join(sets.hint("merge"), "class")
+        .repartition(shuffle_width(rows.sparkSession), *keys).sortWithinPartitions(*keys)
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches, keys):
-            edges = [e for lo, hi in group_edges(rows, keys) for e in _verified_forest(rows.iloc[lo:hi], least)]
+        for part in whole_groups(batches, keys):
+            edges = [e for lo, hi in group_edges(part, keys) for e in _verified_forest(part.iloc[lo:hi], least)]
             yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    roots = components(dealt.mapInPandas(verify, "a long, b long").distinct())
-    rooted = of_class.select("class", "least").join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    return components(dealt.mapInPandas(verify, "a long, b long").distinct()).select(F.col("node").alias("class"), "root")
+
+
+def near_duplicates(docs: DataFrame, least: float = LIKENESS, tile: int = TILE) -> DataFrame:
+    """doc_id and class_id (the smallest id reachable by links of likeness ``least`` or more)
+    of every document."""
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), signed(F.col("text")).alias("s"))
+    rows = cut_lineage(rows.select("doc_id", "text", "row", "s.*"), "signatures")
+    rooted = rows.groupBy("class").agg(F.min("doc_id").alias("least")).join(class_roots(rows, least, tile), "class", "left")
+    rooted = rooted.select("class", "least", F.coalesce("root", "class").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    return signed_docs.select("doc_id", "class").join(rooted.join(smallest, "root").select("class", "class_id"), "class").select("doc_id", "class_id")
+    return rows.select("doc_id", "class").join(rooted.join(smallest, "root").select("class", "class_id"), "class").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, least: float = LIKENESS, tile: int = TILE) -> DataFrame:
+    """One document of each class of near duplicates, words compared in lower case: the one
+    with the smallest id, nulls last; among rows with that id, the smallest by content."""
+    row, sign = free_name(docs, "row"), free_name(docs, "sign")
+    marked = cut_lineage(docs.withColumn(sign, signed(F.lower("text"))).withColumn(row, F.monotonically_increasing_id()), "signatures")
+    rows = marked.select(F.col(row).alias("row"), F.lower("text").alias("text"), *[F.col(f"{sign}.{c}").alias(c) for c in ("signature", "class", "bands")])
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("digest"), F.col(row).alias("row"))).alias("best")
+    of_class = marked.groupBy(F.col(f"{sign}.class").alias("class")).agg(best)
+    rooted = of_class.join(class_roots(rows, least, tile), "class", "left").select("best", F.coalesce("root", "class").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
+    return marked.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
