@@ -4,7 +4,9 @@ Word k-grams of the templates are winnowed (the smallest hash of each window) in
 inverted index hash -> (template, position).  A text's own winnowed hashes look candidates
 up there, and each candidate region is aligned with its template inside a band around the
 diagonal the hits agree on.  Any run of ``GRAM + WINDOW - 1`` words that a text shares with a
-template selects a common hash, so no such run is missed.  Reported are the share of the
+template selects a common hash, so no such run is missed; changed words that leave
+``COVERAGE`` of a long template leave a run of 4.  A template of fewer than ``SHORT`` words may keep a
+run of 2 only: all its grams of ``SHORT_GRAM`` words are indexed and looked up.  Reported are the share of the
 template's words that match and the span in code points.
 
 A match is reported when it covers ``COVERAGE`` of its template, or ``LONG_MATCH`` words of a
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from bibliomill.llm.license_texts import TEMPLATES
 
 GRAM = 3
-WINDOW = 3
+WINDOW = 2
+SHORT = 25
+SHORT_GRAM = 2
 # The band is a quarter of the template, up to this many words to each side.
 MOST_BAND = 12
 COVERAGE = 0.8
@@ -70,25 +74,33 @@ class Index:
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
         self.ids = [np.array([self.number[w] for w in ws], np.int64) for ws in self.words]
         self.bands = [min(MOST_BAND, max(1, len(ids) // 4)) for ids in self.ids]
-        self.gram, self.window = gram, window
-        self.places: dict[int, list[tuple[int, int]]] = {}
+        # by gram and window: hash -> (template, position)
+        self.places: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(self.ids):
-            hashes = gram_hashes(ids, gram)
-            for at in winnow(hashes, window):
-                self.places.setdefault(int(hashes[at]), []).append((t, int(at)))
-        self.sorted = np.array(sorted(self.places), np.uint64)
+            rule = (SHORT_GRAM, 1) if self.short(t) else (gram, window)
+            hashes = gram_hashes(ids, rule[0])
+            for at in winnow(hashes, rule[1]):
+                self.places.setdefault(rule, {}).setdefault(int(hashes[at]), []).append((t, int(at)))
+        self.sorted = {rule: np.array(sorted(places), np.uint64) for rule, places in self.places.items()}
+
+    def short(self, t: int) -> bool:
+        return len(self.ids[t]) < SHORT
 
     def hits(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, place in the text, place in the template) of common winnowed hashes."""
+        """(template, place in the text, place in the template) of common selected hashes."""
         known = ids > 0
         # words no template has can begin no common run
-        if not (known[: len(ids) - 2] & known[1 : len(ids) - 1] & known[2:]).any():
+        if not (known[:-1] & known[1:]).any():
             return []
-        hashes = gram_hashes(ids, self.gram)
-        chosen = winnow(hashes, self.window)
-        near = np.searchsorted(self.sorted, hashes[chosen])
-        found = chosen[self.sorted[np.minimum(near, len(self.sorted) - 1)] == hashes[chosen]]
-        return [(t, int(at), place) for at in found for t, place in self.places[int(hashes[at])]]
+        out = []
+        for (gram, window), places in self.places.items():
+            hashes, listed = gram_hashes(ids, gram), self.sorted[gram, window]
+            chosen = winnow(hashes, window)
+            chosen = chosen[known[chosen]]
+            near = np.searchsorted(listed, hashes[chosen])
+            found = chosen[listed[np.minimum(near, len(listed) - 1)] == hashes[chosen]]
+            out += [(t, int(at), place) for at in found for t, place in places[int(hashes[at])]]
+        return out
 
 
 def align(text: np.ndarray, template: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int]:
@@ -140,12 +152,13 @@ def find(text: str | None, index: Index) -> list[tuple[str, int, int, float]]:
         words = raw.split()
         ids = np.fromiter(map(index.number.get, words, repeat(0)), np.int64, len(words))
         hits = index.hits(ids)
-    regions: dict[tuple[int, int], list[int]] = {}
+    regions: dict[tuple[int, int], None] = {}
     for t, at, place in sorted(hits):
-        # hits of one copy of a template lie on diagonals less than a band apart
-        diagonal = at - place
-        known = [d for (u, d) in regions if u == t and abs(d - diagonal) <= index.bands[t]]
-        regions.setdefault((t, known[0] if known else diagonal), []).append(at)
+        # hits of one copy of a long template lie on diagonals less than a band apart; short
+        # ones have chance hits beside a copy, so each diagonal is aligned for itself
+        diagonal, band = at - place, 0 if index.short(t) else index.bands[t]
+        if not any((t, d) in regions for d in range(diagonal - band, diagonal + band + 1)):
+            regions[t, diagonal] = None
     found = []
     for t, diagonal in regions:
         band = index.bands[t]

@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from bibliomill.llm import licenses
 
 NEAR_DEDUP = dict(corpus_pipeline.STAGES)["near_dedup"]
 
@@ -32,3 +35,24 @@ def test_near_dedup_finds_copies_with_changed_words(spark):
     assert len(kept) < len(texts) - 100
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     assert sorted(r.doc_id for r in NEAR_DEDUP(spark, df, "").collect()) == kept
+
+
+def test_every_one_word_edit_of_a_short_licence_line():
+    index = licenses.Index(licenses.TEMPLATES, licenses.GRAM, licenses.WINDOW)
+    checked = 0
+    for t, words in enumerate(w.decode() for ws in index.words for w in [b" ".join(ws)]):
+        words = words.split()
+        if len(words) >= 25:
+            continue
+        edits = [words] + [words[:i] + new + words[i + cut :] for i in range(len(words)) for new, cut in (([], 1), (["zebra"], 1), (["zebra"], 0))]
+        for edit in edits:
+            ids = np.array([index.number.get(w.encode(), 0) for w in edit])
+            matches = {u: licenses.align(ids, index.ids[u], 0, len(ids) + len(index.ids[u]))[0] for u in range(len(index.ids))}
+            if matches[t] < licenses.COVERAGE * len(words):
+                continue
+            checked += 1
+            found = licenses.find(f"lorem ipsum. {' '.join(edit)} dolor sit", index)
+            assert any(name == index.names[t] or matches[index.names.index(name)] >= matches[t] for name, *_ in found), edit
+    assert checked > 100
+    (name, start, end, share), = licenses.find("Released under a MIT License.", index)
+    assert (name, start, end, share) == ("MIT/line", 0, 28, 0.8)
