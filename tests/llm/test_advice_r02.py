@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from bibliomill.llm import licenses
+from bibliomill.llm import licenses, packing
 
 NEAR_DEDUP = dict(corpus_pipeline.STAGES)["near_dedup"]
 
@@ -56,3 +57,12 @@ def test_every_one_word_edit_of_a_short_licence_line():
     assert checked > 100
     (name, start, end, share), = licenses.find("Released under a MIT License.", index)
     assert (name, start, end, share) == ("MIT/line", 0, 28, 0.8)
+
+
+@pytest.mark.parametrize("text", ["ab <|endoftext|> cd", "<|endoftext|>", "<|endoftext|><|endoftext|>x  y", "a  <|endoftext|>\n\n b <|endoftext", "<|ENDOFTEXT|> 's"])
+def test_added_tokens_have_their_ids(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.Chunks(packing.vocabulary_path()).ids(text), "<u4").tolist() == want
