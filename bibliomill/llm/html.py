@@ -12,7 +12,9 @@ bounded sample of the given pages (``SAMPLE_PAGES``) that mark their article by
 
 Defined cases: a null or empty page, and one without any text, has the empty text; a page cut
 off in the middle keeps what stands before the cut; unknown or unclosed tags are taken as
-they come; repeated rows get equal answers; an empty table gives no rows (and trains on
+they come (an unclosed script or style runs to the end of the page, as in browsers; of other
+elements without text, such as a select, only the tag itself is left out then); a head ends
+with the first tag or text that cannot be in it; repeated rows get equal answers; an empty table gives no rows (and trains on
 practice pages only); other columns play no part.  Pages of any length are read as a whole.
 """
 
@@ -44,7 +46,9 @@ LONGEST = 80  # blocks of a training sequence
 PAGES_AT_ONCE = 256
 
 # Element names of the HTML standard.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "select", "head", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "xmp", "noembed", "noframes"}
+# What a head may hold; any other tag or text ends it.
+IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "script", "style", "noscript", "template", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
@@ -77,6 +81,19 @@ def _labels(name: str, rest: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """End of each closed element of a name, by the end of its start tag."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    for m in re.finditer(f"<(/?){re.escape(name)}(?=[\\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\\Z))", page, re.I):
+        if not m[1]:
+            if not m[2].endswith("/>"):
+                stack.append(m.end())
+        elif stack:
+            out[stack.pop()] = m.end()
+    return out
+
+
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order."""
     page = page or ""
@@ -84,6 +101,8 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     texts: list[str] = []
     linked = 0
+    in_head = False
+    ends: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -94,7 +113,11 @@ def blocks(page: str | None) -> list[Block]:
         linked = 0
 
     def add(raw: str) -> None:
-        nonlocal linked
+        nonlocal linked, in_head
+        if in_head:
+            if raw.isspace():
+                return
+            in_head = False
         text = entities.unescape(raw) if "&" in raw else raw
         texts.append(text)
         if any(tag == "a" for tag, _ in stack):
@@ -113,6 +136,9 @@ def blocks(page: str | None) -> list[Block]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if name == "head":
+            in_head = not m[1]
+            continue
         if m[1]:
             if name in BLOCK:
                 flush()
@@ -122,9 +148,16 @@ def blocks(page: str | None) -> list[Block]:
             elif name == "br":
                 texts.append(" ")
             continue
+        if name not in IN_HEAD:
+            in_head = False
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name in ("script", "style"):
+                end = re.compile(f"</{name}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I).search(page, at)
+                at = end.end() if end else at if m[3].endswith("/>") else len(page)
+            elif not m[3].endswith("/>"):
+                if name not in ends:
+                    ends[name] = _ends(page, name)
+                at = ends[name].get(at, at)
             continue
         if name == "br":
             texts.append(" ")

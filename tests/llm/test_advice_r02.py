@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from bibliomill.llm import licenses, packing
+from bibliomill.llm import html, licenses, packing
 
 NEAR_DEDUP = dict(corpus_pipeline.STAGES)["near_dedup"]
 
@@ -66,3 +66,22 @@ def test_added_tokens_have_their_ids(text):
 
     want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(packing.Chunks(packing.vocabulary_path()).ids(text), "<u4").tolist() == want
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>t</title><meta x><body><p>one</p>", ["one"]),
+        ("<html><head><title>t</title><style>a</style><p>one</p>two", ["one", "two"]),
+        ("<html><head><title>t</title>\n one <p>two", ["one", "two"]),
+        ("<head><title>t</title><script>x</script> </head><p>one</p>", ["one"]),
+        *[(f"<p>one</p><{tag}/><p>two</p><{tag}>x</{tag}><p>three</p>", ["one", "two", "three"]) for tag in ("svg", "iframe")],
+        *[(f"<p>one</p><{tag} a='>'><p>two</p>", ["one", "two"]) for tag in ("select", "noscript", "object", "textarea", "iframe", "svg", "template", "title")],
+        *[(f"<p>one</p><{tag}><p>two</p><{tag}>x</{tag}><p>three</p>", ["one", "two", "three"]) for tag in ("select", "noscript", "object", "textarea")],
+        ("<svg><svg>x</svg>y</svg><p>one</p>", ["one"]),
+        ("<p>area <math><mi>r</mi><mn>2</mn></math> and <math/>more</p>", ["area r2 and more"]),
+        ("<p>one</p><script>var x = '<p>y</p>'", ["one"]),
+    ],
+)
+def test_elements_without_end_swallow_no_text(page, texts):
+    assert [b.text for b in html.blocks(page)] == texts
