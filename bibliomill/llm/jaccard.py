@@ -268,7 +268,7 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) ->
     seed = 0
     while True:
         hashed = cut_lineage(classes(docs, words, least, seed), "classes")
-        digests, nodes = hashed.groupBy("node", "digest").agg(F.lit(1)).groupBy("node").count().agg(F.sum("count"), F.count(F.lit(1))).first()
+        digests, nodes = hashed.groupBy("node", "digest").agg(F.lit(1)).groupBy("node").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
         if digests == nodes:
             break
         seed += 1  # two classes share a number: number them anew

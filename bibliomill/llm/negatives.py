@@ -78,7 +78,7 @@ def reference_directions(rows: DataFrame, size: int, count: int = REFERENCES) ->
     total = np.zeros(len(labels) * size)
     for r in found:
         total[r["at"]] = r["value"]
-    return _units(total.reshape(-1, size))[0]
+    return _units(total.reshape(len(labels), size))[0]
 
 
 def _units(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

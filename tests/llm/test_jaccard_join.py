@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from bibliomill.llm import jaccard, linking
 
@@ -124,4 +123,3 @@ def test_segments_cover_every_alike_pair():
     for low, high, segments in jaccard.bands(80)[:20]:
         assert segments > jaccard.difference(high, high * 100 // 80)
     assert [b[0] for b in jaccard.bands(80)[1:]] == [b[1] + 1 for b in jaccard.bands(80)[:-1]]
-    assert F is not None
