@@ -47,13 +47,25 @@ TOLD, ASKS, LEFT_OUT, WIDE, LOWER = 1, 2, 4, 8, 16
 FLAGS = 5
 
 
-def tokens(words: list[bytes], size: int = WORDS) -> np.ndarray:
-    """Rising distinct 64-bit hashes of the n-grams of words."""
-    from xxhash import xxh64_intdigest
+class WordHashes(dict):
+    """Hashes of the words met lately; texts repeat most of their words."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxh64_intdigest(word)
+        return value
+
+
+def tokens(words: list[bytes], size: int, hashed: WordHashes) -> np.ndarray:
+    """Rising distinct 64-bit hashes of the n-grams of words."""
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.array(list(map(xxh64_intdigest, words)), np.uint64)
+    hashes = np.array(list(map(hashed.__getitem__, words)), np.uint64)
     size = min(size, len(words))
     n = len(words) - size + 1
     total = np.full(n, size, np.uint64)
@@ -61,7 +73,8 @@ def tokens(words: list[bytes], size: int = WORDS) -> np.ndarray:
         for i in range(size):
             total = (total ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
-    return np.unique(total)
+    total.sort()
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def node_of(words: list[bytes], seed: int) -> bytes:
@@ -154,11 +167,12 @@ def classes(docs: DataFrame, words: int, least: int, seed: int) -> DataFrame:
     """(doc_id, node, digest, n_shingles, spare, spare_below) of every document."""
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = WordHashes()
         for batch in batches:
             out = []
             for text in batch["text"]:
                 parts = words_of(text)
-                digest, found = node_of(parts, seed), tokens(parts, words)
+                digest, found = node_of(parts, seed), tokens(parts, words, hashed)
                 spares = [c.spare for c in cuts(found, least)] + [0, 0]
                 out.append((int.from_bytes(digest[:8], "big", signed=True), digest, len(found), spares[0], spares[1]))
             frame = pd.DataFrame(out, columns=["node", "digest", "n_shingles", "spare", "spare_below"])
@@ -173,6 +187,7 @@ def index_rows(docs: DataFrame, words: int, least: int, seed: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        hashed = WordHashes()
         held, n = [], 0
         none = pd.DataFrame({"sig": np.empty(0, np.int64), "node": np.empty(0, np.int64), "info": np.empty(0, np.int64)})
 
@@ -190,7 +205,7 @@ def index_rows(docs: DataFrame, words: int, least: int, seed: int) -> DataFrame:
                 if node in seen:
                     continue
                 seen.add(node)
-                for part in cuts(tokens(parts, words), least):
+                for part in cuts(tokens(parts, words, hashed), least):
                     sig, info = part.keys()
                     held.append((sig, info, node))
                     n += len(sig)
@@ -213,8 +228,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFra
             yield pd.DataFrame({"node": np.array(numbers, np.int64)[new], "text": batch["text"].iloc[new].to_numpy()})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashed = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "set": [tokens(words_of(t), words).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"node": batch["node"], "set": [tokens(words_of(t), words, hashed).tobytes() for t in batch["text"]]})
 
     wanted = docs.select("text").mapInPandas(named, "node long, text string").join(broadcast_up_to(nodes, KNOWN), "node", "left_semi")
     return wanted.mapInPandas(cut, "node long, set binary").dropDuplicates(["node"])

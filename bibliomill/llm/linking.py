@@ -4,7 +4,7 @@ Rows that ask in a group are to be compared with the rows that are told of in it
 a group would grow with its square, so rounds go before them: each asking row is compared with
 one leader of its group, a row of another component, drawn anew each round.  What is linked
 becomes one component, and pairs inside a component need no comparison.  As soon as the pairs
-left are few for the rows that ask, or a round links nothing any more, all of them are
+left are few for the rows that ask, or a round links few of its pairs, all of them are
 compared.  Nothing is left out: only pairs that are already connected, or were compared
 before, are passed over.
 """
@@ -22,7 +22,9 @@ from bibliomill.llm.common import cut_lineage, shuffle_width
 
 GROUP = ["sig", "kind"]
 # Pairs left for each asking row below which they are compared at once.
-FEW = 4
+FEW = 16
+# A round that links less than this part of its pairs is the last one with leaders.
+USEFUL = 0.1
 # Members compared with one copy of a hub's set.
 STAR = 512
 
@@ -117,12 +119,10 @@ def connected(
         found = cut_lineage(links_of(pairs), "links")
         links = found if links is None else links.unionByName(found)
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        if found.isEmpty():
-            if last:
-                break
-            last = True
-            continue
-        roots = components(links)
+        n_found = found.count()
+        if n_found:
+            roots = components(links)
         if last:
             break
+        last = n_found <= USEFUL * pairs.count()
     return roots if roots is not None else rows.select("node", F.col("node").alias("root")).limit(0)
