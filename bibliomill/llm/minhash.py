@@ -4,7 +4,7 @@ A fingerprint holds, for each of ``PERMUTATIONS`` universal hash permutations of
 numbers, the smallest image of a text's word shingles; the share of equal places estimates
 the Jaccard likeness of two texts.  Signatures are computed in vectorised numpy.  Near
 duplicates are found by joining bands of the signature in Spark; pairs that share a band are
-verified on the shingles themselves, tile by tile, and a tile reports a spanning forest.
+verified on the shingles themselves, in rounds that pass over what is connected already.
 
 Defined cases: a null text is empty; a text without words has the fingerprint of the empty
 set, alike only to itself; a text of fewer words than a shingle is one shingle; texts of
@@ -23,14 +23,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibliomill.llm.common import cut_lineage, free_name, group_edges, shuffle_width, whole_groups
+from bibliomill.llm.common import cut_lineage, free_name, shuffle_width
+from bibliomill.llm.linking import connected, verified
 
 SHINGLE = 5
 PERMUTATIONS = 128
 BANDS = 32
 LIKENESS = 0.8
-# Texts of a tile when a band is shared by many.
-TILE = 256
 AT_ONCE = 2048
 EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -157,35 +156,13 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 # ---- near duplicates -----------------------------------------------------------------
 
 
-def _verified_forest(rows: pd.DataFrame, least: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs whose shingle sets are alike enough, one text
-    of each pair being at home and the other a guest."""
-    ids, node = np.unique(rows["class"].to_numpy(), return_inverse=True)
-    sigs = np.stack([np.frombuffer(s, np.uint32) for s in rows["signature"]])
-    sets = [np.frombuffer(s, np.uint32) for s in rows["shingles"]]
-    home, guest = np.flatnonzero(~rows["guest"].to_numpy()), np.flatnonzero(rows["guest"].to_numpy())
-    label = np.arange(len(ids))
-    edges = []
-    for h in home:
-        apart = guest[label[node[guest]] != label[node[h]]]
-        # the estimate of a pair at the limit lies this low once in a million
-        for g in apart[(sigs[apart] == sigs[h]).mean(axis=1) >= least - 0.2] if len(apart) else apart:
-            a, b = node[h], node[g]
-            if label[a] == label[b]:
-                continue
-            both = len(np.intersect1d(sets[h], sets[g], assume_unique=True))
-            if both >= least * (len(sets[h]) + len(sets[g]) - both):
-                edges.append((int(ids[a]), int(ids[b])))
-                label[label == label[b]] = label[a]
-    return edges
-
-
-def signed(text: Column) -> Column:
-    """Signature, class (a digest of the shingle set) and band keys of a text column."""
+def signed(text: Column, seed: int = 0) -> Column:
+    """Digest of the shingle set, its first half as the class, size, signature and band keys of
+    a text column."""
     hashes = permutations()
     per_band = PERMUTATIONS // BANDS
 
-    @F.pandas_udf("signature binary, class long, bands array<long>")
+    @F.pandas_udf("signature binary, digest binary, class long, size long, bands array<long>")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -193,12 +170,26 @@ def signed(text: Column) -> Column:
                 found = np.unique(shingles(text or ""))
                 sig = signature(found, hashes)
                 keys = [int.from_bytes(hashlib.blake2b(sig[i : i + per_band].tobytes(), digest_size=8, salt=b"%d" % i).digest(), "big", signed=True) for i in range(0, PERMUTATIONS, per_band)]
-                out.append((sig.tobytes(), int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True), keys))
-            yield pd.DataFrame(out, columns=["signature", "class", "bands"])
+                digest = hashlib.blake2b(found.tobytes(), digest_size=16, salt=b"%d" % seed).digest()
+                out.append((sig.tobytes(), digest, int.from_bytes(digest[:8], "big", signed=True), len(found), keys))
+            yield pd.DataFrame(out, columns=["signature", "digest", "class", "size", "bands"])
 
     return made(text)
 
 
+def with_signatures(docs: DataFrame, text: Column, column: str, row: str) -> DataFrame:
+    """The documents with their signatures and a row number, written; two classes never share
+    a number."""
+    seed = 0
+    while True:
+        marked = cut_lineage(docs.withColumn(column, signed(text, seed)).withColumn(row, F.monotonically_increasing_id()), "signatures")
+        per_class = marked.groupBy(f"{column}.class", f"{column}.digest").agg(F.lit(1)).groupBy("class").count()
+        digests, classes = per_class.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
+        if digests == classes:
+            return marked
+        seed += 1
+
+
 def _shingle_set(text: Column) -> Column:
     @F.pandas_udf("binary")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -208,62 +199,55 @@ def _shingle_set(text: Column) -> Column:
     return made(text)
 
 
-def class_roots(rows: DataFrame, least: float = LIKENESS, tile: int = TILE) -> DataFrame:
+def class_roots(rows: DataFrame, least: float = LIKENESS) -> DataFrame:
     """``class`` and ``root``, the class that stands for all those reachable by links of
     likeness ``least`` or more, of the classes that are not their own root; for a written table
-    of (row, text, signature, class, bands).
+    of (row, text, class, size, bands).
 
     Bands whose texts are the same as another band's are compared once, and shingles are cut
-    again only for one text of each class that shares a band.
+    again only for one text of each class that shares a band.  A band of many classes is joined
+    by rounds with leaders (``linking``), so the pairs of a group of near copies grow with its
+    size and not with its square.
     """
-    from bibliomill.llm.simhash import components
-
-    of_class = cut_lineage(rows.groupBy("class").agg(F.min("row").alias("row"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "classes")
-    banded = of_class.select("class", F.explode("bands").alias("band"))
+    of_class = cut_lineage(rows.groupBy("class").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
+    banded = of_class.select("class", "size", F.explode("bands").alias("band"))
     members = [F.count(F.lit(1)).alias("n"), F.sum(F.col("class").cast("decimal(38,0)")).alias("total"), F.bit_xor("class").alias("odd")]
-    shared = cut_lineage(banded.groupBy("band").agg(*members).where("n > 1").groupBy("n", "total", "odd").agg(F.min("band").alias("band")).select("band", "n"), "bands")
-    met = cut_lineage(banded.join(shared.hint("merge"), "band"), "met")
-    met = met.withColumn("tiles", F.ceil(F.col("n") / F.lit(tile)).cast("int")).withColumn("own", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int"))
-    standing = of_class.join(met.select("class").distinct().hint("merge"), "class").select("row", "class", "signature")
-    sets = rows.select("row", "text").join(standing.hint("merge"), "row").select("class", "signature", _shingle_set(F.col("text")).alias("shingles"))
+    shared = banded.groupBy("band").agg(*members).where("n > 1").groupBy("n", "total", "odd").agg(F.min("band").alias("band")).select("band")
+    met = banded.join(cut_lineage(shared, "bands").hint("merge"), "band")
+    met = cut_lineage(met.select(F.col("band").alias("sig"), F.lit(0).alias("kind"), F.col("class").alias("node"), "size", F.lit(True).alias("asks"), F.lit(True).alias("told")), "met")
+    standing = of_class.join(met.select(F.col("node").alias("class")).distinct().hint("merge"), "class").select("row", F.col("class").alias("node"))
+    sets = rows.select("row", "text").join(standing.hint("merge"), "row").select("node", _shingle_set(F.col("text")).alias("set"))
     sets = cut_lineage(sets, "shingles")
-    # each unordered pair of tiles of a band once: a text is at home in its tile and a guest
-    # in its own and the lower ones
-    home = met.select("class", "band", F.col("own").alias("home"), F.explode(F.sequence(F.col("own"), F.col("tiles") - 1)).alias("visit"), F.lit(False).alias("guest"))
-    guest = met.select("class", "band", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("home"), F.col("own").alias("visit"), F.lit(True).alias("guest"))
-    keys = ["band", "home", "visit"]
-    dealt = (
-        home.unionByName(guest).join(sets.hint("merge"), "class")
-        .repartition(shuffle_width(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-    )
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in whole_groups(batches, keys):
-            edges = [e for lo, hi in group_edges(part, keys) for e in _verified_forest(part.iloc[lo:hi], least)]
-            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+    def alike(a: int, b: int, both: int) -> bool:
+        return both >= least * (a + b - both)
+
+    def fits(a: Column, b: Column) -> Column:
+        return F.least(a, b) >= least * F.greatest(a, b)
 
-    return components(dealt.mapInPandas(verify, "a long, b long").distinct()).select(F.col("node").alias("class"), "root")
+    roots = connected(met, lambda pairs: verified(pairs, sets, alike, "uint32"), fits)
+    return roots.select(F.col("node").alias("class"), "root")
 
 
-def near_duplicates(docs: DataFrame, least: float = LIKENESS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """doc_id and class_id (the smallest id reachable by links of likeness ``least`` or more)
     of every document."""
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), signed(F.col("text")).alias("s"))
-    rows = cut_lineage(rows.select("doc_id", "text", "row", "s.*"), "signatures")
-    rooted = rows.groupBy("class").agg(F.min("doc_id").alias("least")).join(class_roots(rows, least, tile), "class", "left")
+    marked = with_signatures(docs.select("doc_id", "text"), F.col("text"), "s", "row")
+    rows = marked.select("doc_id", "text", "row", "s.class", "s.size", "s.bands")
+    rooted = rows.groupBy("class").agg(F.min("doc_id").alias("least")).join(class_roots(rows, least), "class", "left")
     rooted = rooted.select("class", "least", F.coalesce("root", "class").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     return rows.select("doc_id", "class").join(rooted.join(smallest, "root").select("class", "class_id"), "class").select("doc_id", "class_id")
 
 
-def one_of_each(docs: DataFrame, least: float = LIKENESS, tile: int = TILE) -> DataFrame:
+def one_of_each(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """One document of each class of near duplicates, words compared in lower case: the one
     with the smallest id, nulls last; among rows with that id, the smallest by content."""
     row, sign = free_name(docs, "row"), free_name(docs, "sign")
-    marked = cut_lineage(docs.withColumn(sign, signed(F.lower("text"))).withColumn(row, F.monotonically_increasing_id()), "signatures")
-    rows = marked.select(F.col(row).alias("row"), F.lower("text").alias("text"), *[F.col(f"{sign}.{c}").alias(c) for c in ("signature", "class", "bands")])
+    marked = with_signatures(docs, F.lower("text"), sign, row)
+    rows = marked.select(F.col(row).alias("row"), F.lower("text").alias("text"), *[F.col(f"{sign}.{c}").alias(c) for c in ("class", "size", "bands")])
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("digest"), F.col(row).alias("row"))).alias("best")
     of_class = marked.groupBy(F.col(f"{sign}.class").alias("class")).agg(best)
-    rooted = of_class.join(class_roots(rows, least, tile), "class", "left").select("best", F.coalesce("root", "class").alias("root"))
+    rooted = of_class.join(class_roots(rows, least), "class", "left").select("best", F.coalesce("root", "class").alias("root"))
     first = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
     return marked.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
