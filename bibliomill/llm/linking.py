@@ -5,8 +5,9 @@ a group would grow with its square, so rounds go before them: each asking row is
 one leader of its group, a row of another component, drawn anew each round.  What is linked
 becomes one component, and pairs inside a component need no comparison.  As soon as the pairs
 left are few for the rows that ask, or a round links few of its pairs, all of them are
-compared.  Nothing is left out: only pairs that are already connected, or were compared
-before, are passed over.
+compared.  Where very many are left, as in a crowd that shares one passage and is not alike,
+the caller may give finer groups that still bring every alike pair together.  Nothing is left
+out: only pairs that are already connected, or were compared before, are passed over.
 """
 
 from __future__ import annotations
@@ -71,13 +72,14 @@ def connected(
     links_of: Callable[[DataFrame], DataFrame],
     fits: Callable,
     chosen: Callable[[DataFrame], DataFrame] | None = None,
+    finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, of the nodes with a smaller one.
 
     ``rows(sig, kind, node, size, asks, told, ...)`` is a written table; ``fits(size, size)``
     tells as a column whether two nodes are worth comparing, ``links_of`` gives the links among
     pairs (a, b, hub), and ``chosen`` may pass over asking rows by their cost (``foreign``, the
-    rows of other components that they meet).
+    rows of other components that they meet).  ``finer`` makes such rows of the nodes of crowds.
     """
     from bibliomill.llm.simhash import components
 
@@ -99,6 +101,9 @@ def connected(
         n, left = asking.agg(F.count(F.lit(1)), F.coalesce(F.sum("foreign"), F.lit(0))).first()
         if not n:
             break
+        if last and left > FEW * n and finer:
+            rows, finer, last = cut_lineage(finer(asking.select("node").distinct()), "finer"), None, False
+            continue
         last = last or left <= FEW * n
         mine = [*GROUP, "node", "size", "root"]
         if last:

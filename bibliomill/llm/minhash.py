@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.llm.common import cut_lineage, free_name, shuffle_width
@@ -31,6 +31,9 @@ PERMUTATIONS = 128
 BANDS = 32
 LIKENESS = 0.8
 AT_ONCE = 2048
+# Shingles put last by frequency when a crowd is compared by its rarest ones; any number gives
+# the same links.
+COMMON = 50_000
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -225,10 +228,47 @@ def class_roots(rows: DataFrame, least: float = LIKENESS) -> DataFrame:
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) >= least * F.greatest(a, b)
 
-    roots = connected(met, lambda pairs: verified(pairs, sets, alike, "uint32"), fits)
+    roots = connected(met, lambda pairs: verified(pairs, sets, alike, "uint32"), fits, finer=lambda nodes: rare_shingles(sets.join(nodes, "node"), least))
     return roots.select(F.col("node").alias("class"), "root")
 
 
+def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
+    """Groups of the classes that share one of their rarest shingles.
+
+    In any one order of all shingles two alike sets share one of the first of each, as many as
+    may differ and one more.  The order puts the ``COMMON`` most frequent shingles of these
+    sets last, so a passage that many of them share brings nobody together.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            met, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in batch["set"]] or [np.empty(0, np.uint32)]), return_counts=True)
+            yield pd.DataFrame({"shingle": met.astype(np.int64), "n": n})
+
+    counts = sets.select("set").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    common = np.array([r[0] for r in counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()], np.uint32)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_number = np.argsort(common)
+        for batch in batches:
+            out = []
+            for node, numbers in zip(batch["node"], batch["set"]):
+                mine = np.frombuffer(numbers, np.uint32)
+                place = np.searchsorted(common, mine, sorter=by_number)
+                place[place == len(common)] = 0
+                known = common[by_number[place]] == mine if len(common) else np.zeros(len(mine), bool)
+                # the most frequent come last of all
+                rank = np.where(known, len(common) - by_number[place] if len(common) else 0, 0)
+                take = len(mine) - int(np.ceil(least * len(mine) - 1e-9)) + 1
+                rarest = mine[np.lexsort((mine, rank))[:take]]
+                out.append(pd.DataFrame({"sig": rarest.astype(np.int64), "node": node, "size": len(mine)}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sig": [], "node": [], "size": []}, dtype="int64")
+
+    rows = sets.mapInPandas(first, "sig long, node long, size long")
+    shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1")
+    return shared.select("sig", F.lit(0).alias("kind"), "node", "size", F.lit(True).alias("asks"), F.lit(True).alias("told"))
+
+
 def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
     """doc_id and class_id (the smallest id reachable by links of likeness ``least`` or more)
     of every document."""

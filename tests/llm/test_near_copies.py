@@ -38,3 +38,21 @@ def test_pairs_of_a_group_grow_with_its_size(spark, monkeypatch, n):
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == links(rows)
     assert sum(made) <= 16 * n
+
+
+def test_a_crowd_that_shares_a_passage_is_compared_by_rare_shingles(spark, monkeypatch):
+    made = []
+    plain = linking.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(130):
+        own = " ".join(f"o{rng.randrange(10**6)}" for _ in range(30))
+        rows.append((2 * i, f"{own} {passage}"))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, f"{own} {passage} end"))
+    monkeypatch.setattr(linking, "FEW", 4)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == links(rows)
+    assert sum(made) < 8 * len(rows)
