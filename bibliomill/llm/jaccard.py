@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.llm.common import broadcast_up_to, cut_lineage
-from bibliomill.llm.linking import connected, verified
+from bibliomill.llm.linking import connected
 
 WORDS = 5
 LEAST = 80
@@ -298,15 +298,10 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) ->
     def alike(a: int, b: int, shared: int) -> bool:
         return 100 * shared >= least * (a + b - shared)
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = cut_lineage(sets_of(docs, cut_lineage(nodes, "nodes"), words, seed), "sets")
-        return verified(pairs, sets, alike, "uint64")
+    def sets_for(nodes: DataFrame) -> DataFrame:
+        return cut_lineage(sets_of(docs, nodes, words, seed), "sets")
 
-    def fits(a: Column, b: Column) -> Column:
-        return 100 * F.least(a, b) >= least * F.greatest(a, b)
-
-    return hashed, connected(met, links_of, fits, allotted)
+    return hashed, connected(met, sets_for, alike, "uint64", least / 100, allotted)
 
 
 def join_report(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:

@@ -2,11 +2,15 @@
 
 Rows that ask in a group are to be compared with the rows that are told of in it.  All pairs of
 a group would grow with its square, so rounds go before them: each asking row is compared with
-one leader of its group, a row of another component, drawn anew each round.  What is linked
-becomes one component, and pairs inside a component need no comparison.  As soon as the pairs
+one leader of its group, a row of another component.  The first leaders are the nodes that
+meet most others, as the text does that the others of a group were copied from; later ones are
+drawn anew each round.  What is linked becomes one component, and pairs inside a component need no comparison.  As soon as the pairs
 left are few for the rows that ask, or a round links few of its pairs, all of them are
-compared.  Where very many are left, as in a crowd that shares one passage and is not alike,
-the caller may give finer groups that still bring every alike pair together.  Nothing is left
+compared.  The neighbours of a first leader, within twice the greatest distance of a link, are compared
+with each other at once, in tiles of bounded size that hold each set once; tiles whose
+distances to the leader are too far apart are passed over, as likeness distance is a metric.
+Where very many pairs are left even so, as in a crowd that shares one passage and is not
+alike, the caller may give finer groups that still bring every alike pair together.  Nothing is left
 out: only pairs that are already connected, or were compared before, are passed over.
 """
 
@@ -16,10 +20,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibliomill.llm.common import cut_lineage, shuffle_width
+from bibliomill.llm.common import cut_lineage, group_edges, shuffle_width, whole_groups
 
 GROUP = ["sig", "kind"]
 # Pairs left for each asking row below which they are compared at once.
@@ -28,11 +32,16 @@ FEW = 16
 USEFUL = 0.1
 # Members compared with one copy of a hub's set.
 STAR = 512
+# Sets of a tile of neighbours, numbers compared at once, and holders up to which a number is
+# counted by itself.
+TILE = 1024
+COLUMNS = 1024
+RARE = 24
 
 
 def verified(pairs: DataFrame, sets: DataFrame, alike: Callable[[int, int, int], bool], dtype: str) -> DataFrame:
-    """The pairs (a, b, hub) whose sets (node, set: sorted numbers of ``dtype`` as bytes) are
-    alike by ``alike(size, size, shared)``.
+    """Likeness of the pairs (a, b, hub), and whether their sets (node, set: sorted numbers of
+    ``dtype`` as bytes) are alike by ``alike(size, size, shared)``.
 
     The set of a hub is sent once for every ``STAR`` of its partners, and these follow it as a
     stream, so that a hub of any number of partners fills many tasks and is held once.
@@ -60,43 +69,123 @@ def verified(pairs: DataFrame, sets: DataFrame, alike: Callable[[int, int, int],
                     at = np.searchsorted(large, small)
                     at[at == len(large)] = 0
                     shared = int((large[at] == small).sum()) if len(large) else 0
-                    if alike(len(mine), len(held), shared):
-                        out.append((min(of, node), max(of, node)))
+                    out.append((min(of, node), max(of, node), of, alike(len(mine), len(held), shared), shared / max(1, len(mine) + len(held) - shared)))
+            yield pd.DataFrame(out, columns=["a", "b", "hub", "linked", "likeness"])
+
+    return rows.mapInPandas(compare, "a long, b long, hub long, linked boolean, likeness double")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers that each pair of sets has in common."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    numbers, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = np.cumsum(n > RARE) - 1
+    for lo in range(0, int((n > RARE).sum()), COLUMNS):
+        here = (n[place] > RARE) & (often[place] >= lo) & (often[place] < lo + COLUMNS)
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[here], often[place[here]] - lo] = 1
+        out += has @ has.T
+    few = (n[place] > 1) & (n[place] <= RARE)
+    order = np.argsort(place[few], kind="stable")
+    holders, of = owner[few][order], place[few][order]
+    edges = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+    for lo, hi in zip(edges, np.append(edges[1:], len(of))):
+        out[np.ix_(holders[lo:hi], holders[lo:hi])] += 1
+    return out
+
+
+def star_links(members: DataFrame, sets: DataFrame, alike: Callable[[int, int, int], bool], dtype: str, least: float) -> DataFrame:
+    """Links (a, b) that join the components of the members (star, node, root, distance), as far
+    as those of one star are linked with each other."""
+    order = Window.partitionBy("star").orderBy("distance", "node")
+    placed = members.withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE))
+    near, far = F.min("distance").alias("near"), F.max("distance").alias("far")
+    tiles = placed.groupBy("star", "tile").agg(near, far)
+    other = tiles.select("star", F.col("tile").alias("visit"), F.col("near").alias("from"))
+    # each pair of tiles once, the farther one visiting
+    meeting = tiles.join(other, "star").where((F.col("visit") >= F.col("tile")) & (F.col("from") - F.col("far") <= 1 - least + 1e-9)).select("star", F.col("tile").alias("home"), "visit")
+    both = [placed.join(meeting.withColumnRenamed("home", "tile"), ["star", "tile"]).select("star", F.col("tile").alias("home"), "visit", "node", "root")]
+    both.append(placed.withColumnRenamed("tile", "visit").join(meeting.where("home <> visit"), ["star", "visit"]).select("star", "home", "visit", "node", "root"))
+    keys = ["star", "home", "visit"]
+    dealt = both[0].unionByName(both[1]).join(sets, "node").repartition(shuffle_width(members.sparkSession), *keys).sortWithinPartitions(*keys)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches, keys):
+            out = []
+            for lo, hi in group_edges(part, keys):
+                rows = part.iloc[lo:hi]
+                label, node = np.unique(rows["root"], return_inverse=True)[1], rows["node"].to_numpy()
+                if label.max() == 0:
+                    continue
+                held = [np.frombuffer(b, dtype) for b in rows["set"]]
+                shared, size = shared_counts(held), np.array([len(h) for h in held])
+                for i in range(len(held)):
+                    likely = shared[i] >= (least - 1e-3) * (size + size[i] - shared[i])
+                    for j in np.flatnonzero(likely & (label != label[i])):
+                        if label[j] != label[i] and alike(int(size[i]), int(size[j]), int(shared[i, j])):
+                            out.append((int(node[i]), int(node[j])))
+                            label[label == label[j]] = label[i]
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return rows.mapInPandas(compare, "a long, b long")
+    return dealt.mapInPandas(compare, "a long, b long")
 
 
 def connected(
     rows: DataFrame,
-    links_of: Callable[[DataFrame], DataFrame],
-    fits: Callable,
+    sets_for: Callable[[DataFrame], DataFrame],
+    alike: Callable[[int, int, int], bool],
+    dtype: str,
+    least: float,
     chosen: Callable[[DataFrame], DataFrame] | None = None,
     finer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, of the nodes with a smaller one.
 
-    ``rows(sig, kind, node, size, asks, told, ...)`` is a written table; ``fits(size, size)``
-    tells as a column whether two nodes are worth comparing, ``links_of`` gives the links among
-    pairs (a, b, hub), and ``chosen`` may pass over asking rows by their cost (``foreign``, the
+    ``rows(sig, kind, node, size, asks, told, ...)`` is a written table; ``sets_for(nodes)`` gives
+    the sets (node, set) of nodes, ``alike(size, size, shared)`` the links, of Jaccard likeness
+    ``least`` or more, and ``chosen`` may pass over asking rows by their cost (``foreign``, the
     rows of other components that they meet).  ``finer`` makes such rows of the nodes of crowds.
     """
     from bibliomill.llm.simhash import components
 
-    roots, links, tested = None, None, None
+    roots, links, tested, stars = None, None, None, None
     last, turn = False, 0
+
+    def fits(a: Column, b: Column) -> Column:
+        return F.least(a, b) >= (least - 1e-9) * F.greatest(a, b)
+
+    def of_star(frame: DataFrame) -> DataFrame:
+        """Pairs of one star are compared, as those of one component need not be."""
+        if stars is None:
+            return frame.withColumn("star", F.col("node"))
+        return frame.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node"))
+
     while True:
         turn += 1
         if roots is None:
             labelled = rows.withColumn("root", F.col("node"))
         else:
             labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        drawn = F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "root", "node", "size")
+        labelled = of_star(labelled)
+        if turn == 1:
+            crowd = labelled.where("told").groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+            central = labelled.where("told").join(crowd, GROUP).groupBy("node").agg(F.sum("n").alias("met"))
+            labelled = labelled.join(central, "node", "left")
+            draw = -F.coalesce("met", F.lit(0))
+        else:
+            draw = F.xxhash64("node", F.lit(turn))
+        drawn = F.struct(draw.alias("draw"), "root", "node", "size")
         told = labelled.where("told").groupBy(*GROUP, "root").agg(F.count(F.lit(1)).alias("own"), F.min(drawn).alias("leader"))
         told = cut_lineage(told, "told")
         whole = told.groupBy(*GROUP).agg(F.sum("own").alias("all"), F.min("leader").alias("leader"))
         asking = labelled.where("asks").join(whole, GROUP).join(told.select(*GROUP, "root", "own"), [*GROUP, "root"], "left")
-        asking = asking.withColumn("foreign", F.col("all") - F.coalesce("own", F.lit(0))).drop("own", "all").where("foreign > 0")
+        foreign = F.col("all") - F.coalesce("own", F.lit(0))
+        if stars is not None:
+            compared = labelled.where("told").groupBy(*GROUP, "star").agg(F.count(F.lit(1)).alias("of_star"))
+            asking = asking.join(compared, [*GROUP, "star"], "left")
+            foreign = F.least(foreign, F.col("all") - F.coalesce("of_star", F.lit(0)))
+        asking = asking.withColumn("foreign", foreign).drop("own", "all", "met", "of_star").where("foreign > 0")
         asking = cut_lineage(chosen(asking) if chosen else asking, "asking")
         n, left = asking.agg(F.count(F.lit(1)), F.coalesce(F.sum("foreign"), F.lit(0))).first()
         if not n:
@@ -105,10 +194,10 @@ def connected(
             rows, finer, last = cut_lineage(finer(asking.select("node").distinct()), "finer"), None, False
             continue
         last = last or left <= FEW * n
-        mine = [*GROUP, "node", "size", "root"]
+        mine = [*GROUP, "node", "size", "root", "star"]
         if last:
-            others = labelled.where("told").select(*GROUP, F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"))
-            met = asking.select(*mine).join(others, GROUP).where("hub_root <> root")
+            others = labelled.where("told").select(*GROUP, F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"), F.col("star").alias("hub_star"))
+            met = asking.select(*mine).join(others, GROUP).where("hub_root <> root AND hub_star <> star")
         else:
             # a row of the first leader's component takes the first leader of another one
             firsts = whole.select(*GROUP, F.col("leader.root").alias("first"))
@@ -121,13 +210,35 @@ def connected(
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
-        found = cut_lineage(links_of(pairs), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        n_found = found.count()
+        ends = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+        found = cut_lineage(verified(pairs, sets_for(ends), alike, dtype), "links")
+        linked = found.where("linked").select("a", "b")
+        links = linked if links is None else links.unionByName(linked)
+        tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
+        n_pairs, n_found = found.agg(F.count(F.lit(1)), F.count_if("linked")).first()
         if n_found:
             roots = components(links)
         if last:
             break
-        last = n_found <= USEFUL * pairs.count()
+        last = n_found <= USEFUL * n_pairs
+        if turn == 1 and n_found and stars is None:
+            stars, members = neighbourhoods(found, roots, 2 * least - 1)
+            joined = cut_lineage(star_links(members, sets_for(members.select("node").distinct()), alike, dtype, least), "star_links")
+            if not joined.isEmpty():
+                links = links.unionByName(joined)
+                roots = components(links)
     return roots if roots is not None else rows.select("node", F.col("node").alias("root")).limit(0)
+
+
+def neighbourhoods(found: DataFrame, roots: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The star (a leader) of every node that is within reach of one, that of most nodes, and
+    the members (star, node, root, distance) of the stars of several components."""
+    near = found.where(F.col("likeness") >= least - 1e-9)
+    reached = near.select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), (1 - F.col("likeness")).alias("distance"))
+    reached = reached.unionByName(reached.select("hub", F.col("hub").alias("node"), F.lit(0.0).alias("distance")).distinct())
+    ranked = reached.join(reached.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "hub")
+    best = ranked.groupBy("node").agg(F.max(F.struct("n", "hub", "distance")).alias("s")).select("node", F.col("s.hub").alias("star"), F.col("s.distance").alias("distance"))
+    best = cut_lineage(best, "stars")
+    rooted = best.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("star").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("star")
+    return best.select("node", "star"), cut_lineage(rooted.join(several, "star"), "members")

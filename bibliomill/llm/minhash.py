@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.llm.common import cut_lineage, free_name, shuffle_width
-from bibliomill.llm.linking import connected, verified
+from bibliomill.llm.linking import connected
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -225,10 +225,7 @@ def class_roots(rows: DataFrame, least: float = LIKENESS) -> DataFrame:
     def alike(a: int, b: int, both: int) -> bool:
         return both >= least * (a + b - both)
 
-    def fits(a: Column, b: Column) -> Column:
-        return F.least(a, b) >= least * F.greatest(a, b)
-
-    roots = connected(met, lambda pairs: verified(pairs, sets, alike, "uint32"), fits, finer=lambda nodes: rare_shingles(sets.join(nodes, "node"), least))
+    roots = connected(met, lambda nodes: sets.join(nodes, "node"), alike, "uint32", least, finer=lambda nodes: rare_shingles(sets.join(nodes, "node"), least))
     return roots.select(F.col("node").alias("class"), "root")
 
 

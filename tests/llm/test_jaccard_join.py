@@ -106,7 +106,7 @@ def test_pairs_of_a_group_of_near_copies_do_not_grow_with_its_square(spark, monk
         compared.append(pairs.count())
         return plain(pairs, *rest)
 
-    monkeypatch.setattr(jaccard, "verified", counted)
+    monkeypatch.setattr(linking, "verified", counted)
     made = {}
     for n in (80, 320):
         rng = random.Random(n)

@@ -31,7 +31,7 @@ def links(rows):
 def test_pairs_of_a_group_grow_with_its_size(spark, monkeypatch, n):
     made = []
     plain = linking.verified
-    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
+    monkeypatch.setattr(linking, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
     rng = random.Random(1)
     words = [f"w{i}" for i in range(200)]
     rows = [(i, near(rng, words, 2)) for i in range(n)] + [(n + i, near(rng, words, 60)) for i in range(20)]
@@ -43,7 +43,7 @@ def test_pairs_of_a_group_grow_with_its_size(spark, monkeypatch, n):
 def test_a_crowd_that_shares_a_passage_is_compared_by_rare_shingles(spark, monkeypatch):
     made = []
     plain = linking.verified
-    monkeypatch.setattr(minhash, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
+    monkeypatch.setattr(linking, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
     rng = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(60))
     rows = []
