@@ -9,18 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.functions import text as X
-from bibliomill.functions.dims import SMALL, TERMS, broadcast_if_small, is_small, small_rows, struct_array
+from bibliomill.functions.automaton import located
+from bibliomill.functions.dims import SMALL, TERMS, broadcast_if_small, small_rows, struct_array
 from bibliomill.functions.ranking import first_wins, top_per_key
 
 
-GRAM = 4
-
-
-def _grams(c: Column, size: int) -> Column:
-    """All runs of ``size`` neighbouring characters."""
-    return F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % size), F.lit(1))
-
-
 def contained_terms(
     rows: DataFrame,
     key: Sequence[str],
@@ -28,47 +21,27 @@ def contained_terms(
     terms: DataFrame,
     term: str = "term",
     limit: int = TERMS,
+    counted: str | None = None,
 ) -> DataFrame:
-    """Every row of ``rows`` once per term its text contains, with the term's columns.
-
-    Up to ``limit`` terms are carried into the scan as a constant, so that the texts are
-    read once and stay where they are.  A larger vocabulary is looked up: each term stands
-    under the run of up to four characters that fewest terms share, the runs of a text meet
-    them in an equi-join, and each candidate is verified.  While the table of runs is small
-    enough to broadcast, the text stays with its runs and nothing is shuffled, in a stream as
-    in a batch; beyond that the candidates' keys are joined first and the texts once.
+    """Every row of ``rows`` once per term its text contains, with the term's columns, and with
+    the number of its occurrences as the column ``counted``.
+
+    The texts are read once and stay where they are.  Up to ``limit`` terms are a constant of
+    the scan; a larger vocabulary is an automaton that finds all its terms in one pass
+    (``functions.automaton``), in a stream as in a batch.  Only the terms found are joined with
+    the other columns of ``terms``.
     """
     terms = terms.filter(F.length(term) > 0)
     few = small_rows(terms, limit)
     if few is not None:
         table = struct_array(few, terms.schema)
         found = F.filter(table, lambda t: F.contains(F.col(text), t[term]))
-        return rows.withColumn("_t", F.explode(found)).select(*rows.columns, "_t.*")
-
-    size = F.least(F.length(term), F.lit(GRAM))
-    sizes = sorted(r[0] for r in terms.select(size).distinct().collect())
-    own = F.coalesce(*[F.when(size == n, _grams(F.col(term), n)) for n in sizes])
-    vocabulary = terms.select(term).distinct().withColumn("_gram", F.explode(F.array_distinct(own)))
-    shared = vocabulary.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = (
-        vocabulary.join(shared, "_gram")
-        .groupBy(term)
-        .agg(F.min(F.struct("_n", "_gram")).alias("_g"))
-        .select(term, F.col("_g._gram").alias("_gram"))
-    )
-    row_grams = F.array_distinct(F.concat(*[_grams(F.col(text), n) for n in sizes]))
-    if is_small(rarest):
-        met = rows.withColumn("_gram", F.explode(row_grams)).join(F.broadcast(rarest.withColumnRenamed(term, "_term")), "_gram")
-        sure = met.filter(F.contains(F.col(text), F.col("_term"))).drop("_gram")
-        return sure.join(broadcast_if_small(terms), F.col("_term") == F.col(term)).select(*rows.columns, *terms.columns)
-    spread = rows.select(*key, F.explode(row_grams).alias("_gram"))
-    candidates = spread.join(rarest, "_gram").select(*key, term)
-    return (
-        rows.join(candidates, list(key))
-        .filter(F.contains(F.col(text), F.col(term)))
-        .join(terms, term)
-        .select(*rows.columns, *terms.columns)
-    )
+        hits = rows.withColumn("_t", F.explode(found)).select(*rows.columns, "_t.*")
+        return hits.withColumn(counted, X.count_literal(F.col(text), F.col(term))) if counted else hits
+    met = located(rows, text, terms, term)
+    number = [F.col("_n").alias(counted)] if counted else []
+    joined = met.join(broadcast_if_small(terms), F.col("_term") == F.col(term))
+    return joined.select(*rows.columns, *terms.columns, *number)
 
 
 def documents_with_any(docs: DataFrame, terms: DataFrame, text: str = "text", limit: int = SMALL) -> DataFrame:
@@ -96,8 +69,7 @@ def page_hits(
         pages = pages.withColumn("text", F.lower("text"))
         # terms that differ in case only are one term
         terms = first_wins(terms.withColumn("term", F.lower("term")), ["term"], ["pos"]).select(*terms.columns)
-    hits = contained_terms(pages, [*key, "ord"], "text", terms, limit=limit)
-    hits = hits.withColumn("count", X.count_literal(F.col("text"), F.col("term")))
+    hits = contained_terms(pages, [*key, "ord"], "text", terms, limit=limit, counted="count")
     if with_snippet:
         hits = hits.withColumn("snippet", X.snippet(F.col("text"), F.col("term")))
     return hits.drop("text")

@@ -201,6 +201,28 @@ def _large_vocabulary_joined(t: Tables) -> DataFrame:
     return vocabulary_counts(t, limit=64)
 
 
+# Every word of every script and length; most of them occur inside others.
+WORDS = "SELECT DISTINCT unnest(string_split_regex(text, '\\s+')) AS term FROM documents"
+
+
+@query(
+    "txt_04_every_word",
+    oracle(
+        "SELECT term, CAST(count(*) AS BIGINT) AS pages, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs, "
+        "CAST(sum((length(t) - length(replace(t, term, ''))) / length(term)) AS BIGINT) AS n FROM ("
+        "SELECT s.doc_id, p.t, s.sub AS term FROM s JOIN p ON p.doc_id = s.doc_id AND p.ord = s.ord WHERE s.sub IN (SELECT term FROM v)) GROUP BY term",
+        v="SELECT term FROM (" + WORDS + ") WHERE term <> ''",
+        p=PAGES_SQL,
+        s="SELECT DISTINCT doc_id, ord, substr(t, CAST(i AS BIGINT), CAST(n AS BIGINT)) AS sub FROM (SELECT doc_id, ord, t, unnest(range(1, length(t) + 1)) AS i FROM p), (SELECT DISTINCT length(term) AS n FROM v) WHERE i + n <= length(t) + 1",
+    ),
+)
+def _every_word(t: Tables) -> DataFrame:
+    words = t.documents.select(F.explode(F.split("text", r"\s+")).alias("term")).where("term <> ''").distinct().withColumn("pos", F.lit(0))
+    hits = S.page_hits(doc_pages(t), words)
+    by_doc = hits.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("pages"), F.sum("count").alias("n"))
+    return by_doc.groupBy("term").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+
+
 @query(
     "txt_05_snippets",
     hits_oracle(
