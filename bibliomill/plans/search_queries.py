@@ -183,10 +183,13 @@ VOCABULARY_SQL = oracle(
 )
 
 
-def vocabulary_counts(t: Tables, **options: int) -> DataFrame:
+def vocabulary(t: Tables) -> DataFrame:
     found = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,9}"), F.lit(0)))
-    words = t.documents.select(found.alias("w")).select(F.lower("w").alias("term")).distinct().withColumn("pos", F.lit(0))
-    hits = S.page_hits(doc_pages(t), words, **options)
+    return t.documents.select(found.alias("w")).select(F.lower("w").alias("term")).distinct().withColumn("pos", F.lit(0))
+
+
+def vocabulary_counts(t: Tables, **options: int) -> DataFrame:
+    hits = S.page_hits(doc_pages(t), vocabulary(t), **options)
     by_doc = hits.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("term").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("docs"))
 

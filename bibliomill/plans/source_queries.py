@@ -11,7 +11,7 @@ from bibliomill.operators import search as S
 from bibliomill.plans.biblio_queries import strip
 import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
-from bibliomill.plans.search_queries import BYWORD, hits1, hits_oracle, terms1
+from bibliomill.plans.search_queries import BYWORD, VOCABULARY_SQL, hits1, hits_oracle, terms1, vocabulary
 from bibliomill.session import shared_dir
 from bibliomill.sources import files as L
 from bibliomill.sources.publish import current, publish
@@ -250,6 +250,96 @@ def _streamed_refresh(t: Tables) -> DataFrame:
     return current(t.spark, base).select("dir", "name", "size")
 
 
+@query(
+    "str_01_change_rows",
+    oracle(
+        """SELECT coalesce(n.dir, o.dir) AS dir, coalesce(n.name, o.name) AS name,
+        CASE WHEN n.name IS NULL OR (o.size = n.size AND abs(o.mtime - n.mtime) < 1) THEN o.size ELSE n.size END AS size
+        FROM {v_old} o FULL JOIN {v_new} n ON o.dir = n.dir AND o.name = n.name"""
+    ),
+)
+def _change_rows(t: Tables) -> DataFrame:
+    base, inbox = shared_dir(t.spark, "catalog"), shared_dir(t.spark, "inbox")
+    publish(t.v_old.select(*J.CATALOG), base)
+    offsets = shared_dir(t.spark, "offsets")
+    # a compaction between the runs of one stream
+    for part in range(2):
+        t.v_new.select(*J.CATALOG).where(F.pmod(F.xxhash64("dir", "name"), F.lit(2)) == part).repartition(2, "dir", "name").write.mode("append").parquet(inbox)
+        changes = t.spark.readStream.schema(t.v_new.select(*J.CATALOG).schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        J.refresh_changes(changes, base, offsets).awaitTermination()
+        if part == 0:
+            J.compact_catalog(t.spark, base)
+    return J.catalog_now(t.spark, base).select("dir", "name", "size")
+
+
+@query(
+    "str_02_large_vocabulary",
+    VOCABULARY_SQL,
+)
+def _large_vocabulary_stream(t: Tables) -> DataFrame:
+    found = J.standing_search(stream(t, "documents"), vocabulary(t)).select("doc_id", "term")
+    out = shared_dir(t.spark, "hits")
+    q = found.writeStream.format("parquet").option("checkpointLocation", shared_dir(t.spark, "offsets"))
+    q.trigger(availableNow=True).start(out).awaitTermination()
+    by_doc = t.spark.read.schema(found.schema).parquet(out).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_doc.groupBy("term").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("docs"))
+
+
+@query(
+    "str_02_changing_terms",
+    hits_oracle(
+        "SELECT doc_id, CAST(page AS BIGINT) AS page, term, n AS count, CAST(1 + doc_id % 2 AS BIGINT) AS terms_version FROM h1 WHERE pos % 2 = 1 OR doc_id % 2 = 1"
+    ),
+)
+def _changing_terms(t: Tables) -> DataFrame:
+    terms, inbox, out = (shared_dir(t.spark, p) for p in ("terms", "inbox", "hits"))
+    offsets = shared_dir(t.spark, "offsets")
+    # the first version knows every other term; documents of odd id come after the second
+    for part, known in enumerate(["pos % 2 = 1", "true"]):
+        publish(terms1(t).where(known), terms)
+        t.documents.where(F.pmod("doc_id", F.lit(2)) == part).write.mode("append").parquet(inbox)
+        docs = t.spark.readStream.schema(t.documents.schema).parquet(inbox)
+        J.search_by_version(docs, terms, out, offsets).awaitTermination()
+    return t.spark.read.parquet(out).select("doc_id", "page", "term", "count", "terms_version")
+
+
+FOLDERS = ["a", "a/b", "a/.git/x", "B/$RECYCLE.BIN", "c d/ü/e", "a/node_modules"]
+
+
+# Folder and name of the file of a document.
+PLACE = [
+    f"element_at(array({', '.join(repr(f) for f in FOLDERS)}), CAST(1 + doc_id % {len(FOLDERS)} AS INT)) AS dir",
+    "'n ä' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' WHEN 3 THEN '.exe' ELSE '' END AS name",
+]
+
+
+@query(
+    "src_01_inventory",
+    "SELECT dir, name, regexp_replace(name, '\\.[^.]*$', '') AS stem, lower(regexp_extract(name, '(\\.[^.]*)$', 1)) AS ext, strlen(coalesce(text, ''))::bigint AS size "
+    + f"FROM (SELECT {PLACE[0].replace('element_at(array(', 'list_extract(list_value(')}, {PLACE[1]}, text FROM documents) "
+    + "WHERE dir IN ('a', 'a/b', 'c d/ü/e') AND regexp_matches(lower(name), '[.](pdf|txt)$')",
+)
+def _inventory(t: Tables) -> DataFrame:
+    root = shared_dir(t.spark, "tree")
+    top = L._mounted(root)
+
+    def put(batches):
+        import os
+
+        import pandas as pd
+
+        for batch in batches:
+            for folder, name, text in zip(batch["dir"], batch["name"], batch["text"]):
+                os.makedirs(f"{top}/{folder}", exist_ok=True)
+                with open(f"{top}/{folder}/{name}", "wb") as out:
+                    out.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    t.documents.selectExpr(*PLACE, "text").mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    files = L.inventory(t.spark, [root, f"{root}-absent"])
+    return files.select(F.substring("dir", len(top) + 2, 10_000).alias("dir"), "name", "stem", "ext", "size")
+
+
 @query(
     "str_02_progressive_search",
     hits_oracle("SELECT doc_id, CAST(page AS BIGINT) AS page, term, n AS count FROM h1"),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -14,32 +15,88 @@ from pyspark.sql import types as T
 
 from bibliomill.functions import text as X
 from bibliomill.functions.ranking import first_wins
-from bibliomill.operators.catalog import EXTS, kept_files
+from bibliomill.operators.catalog import EXTS, SKIP_DIRS, kept_files
+from bibliomill.session import cut_lineage
 
 # Encodings tried in order, and image formats of a snapshot folder.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "big5")
+# Entries of a folder handed on at once.
+LISTED_AT_ONCE = 10_000
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".webp")
 
 
+LISTED = "root string, path string, folder boolean, size long, mtime timestamp"
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of folders, some at a time; a folder that cannot be read has none."""
+    import os
+
+    columns = ["root", "path", "folder", "size", "mtime"]
+    for batch in batches:
+        for root, path in zip(batch["root"], batch["path"]):
+            out = []
+            try:
+                with os.scandir(path) as entries:
+                    for e in entries:
+                        try:
+                            folder, stat = e.is_dir(follow_symlinks=False), e.stat()
+                        except OSError:
+                            continue
+                        out.append((root, e.path, folder, stat.st_size, stat.st_mtime_ns // 1000))
+                        if len(out) >= LISTED_AT_ONCE:
+                            yield _stamped(pd.DataFrame(out, columns=columns))
+                            out = []
+            except OSError:
+                pass
+            yield _stamped(pd.DataFrame(out, columns=columns))
+
+
+def _stamped(frame: pd.DataFrame) -> pd.DataFrame:
+    frame["mtime"] = pd.to_datetime(frame["mtime"].astype("int64"), unit="us")
+    return frame
+
+
+def walked(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Files below mounted folders (``root, path, size, mtime``), listed by the executors.
+
+    The folders of a level are dealt out to tasks; those to be skipped are dropped before
+    anyone descends into them, and the next level starts from the rest.  Neither files nor
+    folders pass the driver.  Links to folders are not followed.
+    """
+    level = spark.createDataFrame([(r, _mounted(r)) for r in roots], "root string, path string")
+    found = None
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    while True:
+        listing = cut_lineage(level.repartition(width, "path").mapInPandas(_listed, LISTED), "listing")
+        files = listing.where("NOT folder").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        name = F.lower(X.basename(F.col("path")))
+        level = listing.where(F.col("folder") & ~name.isin(*SKIP_DIRS) & ~F.startswith(name, F.lit("."))).select("root", "path")
+        if level.isEmpty():
+            return found
+
+
+def _mounted(root: str) -> str:
+    return re.sub(r"^file:(?://[^/]*)?(?=/)", "", root)
+
+
 def inventory(spark: SparkSession, roots: Sequence[str], exts: Sequence[str] = EXTS) -> DataFrame:
     """Files below the roots with ``root, dir, name, stem, ext, size, mtime``.
 
-    Contents are never read, and a root that does not exist contributes nothing.
+    Contents are never read, and a root that does not exist contributes nothing.  Folders that
+    executors have mounted are walked by them; other stores are listed by Spark's reader.
     """
-    listing = None
-    for root in roots:
+    mounted = [r for r in roots if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", _mounted(r))]
+    listing = walked(spark, mounted) if mounted else None
+    for root in [r for r in roots if r not in mounted]:
         try:
             one = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
-        one = one.select(
-            F.lit(root).alias("root"),
-            F.regexp_replace("path", "^file:(?://)?(?=/)", "").alias("path"),
-            F.col("length").alias("size"),
-            F.col("modificationTime").alias("mtime"),
-        )
+        one = one.select(F.lit(root).alias("root"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
         listing = one if listing is None else listing.unionByName(one)
     if listing is None:
         listing = spark.createDataFrame([], "root string, path string, size long, mtime timestamp")

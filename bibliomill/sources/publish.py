@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "_versions"
@@ -66,7 +66,8 @@ def versions(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(f"{base.rstrip('/')}/{MANIFEST}")
 
 
-def _latest(spark: SparkSession, base: str):
+def latest(spark: SparkSession, base: str) -> Row | None:
+    """The manifest's entry of the current version, None before the first publication."""
     try:
         return versions(spark, base).orderBy(F.desc("number"), F.desc("version")).first()
     except AnalysisException as e:
@@ -76,11 +77,11 @@ def _latest(spark: SparkSession, base: str):
 
 
 def _last(spark: SparkSession, base: str) -> int | None:
-    row = _latest(spark, base)
+    row = latest(spark, base)
     return row["number"] if row else None
 
 
 def current(spark: SparkSession, base: str) -> DataFrame | None:
     """The version with the highest number, None before the first publication."""
-    row = _latest(spark, base)
+    row = latest(spark, base)
     return spark.read.parquet(row["target"]) if row else None

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -15,13 +16,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from bibliomill.operators import catalog as C
 from bibliomill.operators import paging as P
 from bibliomill.operators import search as S
-from bibliomill.sources.publish import current, publish
+from bibliomill.sources.publish import current, latest, publish
 
 # Functions run by Python workers travel by value: no executor needs this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HISTORY_CAP = 30
 MAX_REFRESH_MINUTES = 1440
+CATALOG = ["root", "dir", "name", "size", "mtime"]
 
 
 def refresh_catalog(changes: DataFrame, base: str, checkpoint: str, minutes: int = 0) -> StreamingQuery:
@@ -51,6 +53,88 @@ def refresh_catalog(changes: DataFrame, base: str, checkpoint: str, minutes: int
     return writer.start()
 
 
+def _upserts(batch: DataFrame) -> DataFrame:
+    """The last state of each file in a batch."""
+    latest = batch.groupBy("dir", "name").agg(F.max(F.struct("mtime", "size", "root")).alias("_l"))
+    return latest.select("_l.root", "dir", "name", "_l.size", "_l.mtime")
+
+
+def _changes_dir(base: str, version: str) -> str:
+    return f"{base.rstrip('/')}/changes-{version}"
+
+
+def refresh_changes(changes: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
+    """Keep the catalog published at ``base`` up to date by change rows.
+
+    A micro-batch writes nothing but the last state of its own files, below the version that is
+    current; :func:`catalog_now` reads them on top of that version, and :func:`compact_catalog`
+    makes a new version of both.  A batch that runs again overwrites its own rows, or, after a
+    compaction, adds rows that change nothing.
+    """
+    spark = changes.sparkSession
+    if latest(spark, base) is None:
+        publish(spark.createDataFrame([], changes.select(*CATALOG).schema), base)
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        version = latest(batch.sparkSession, base)["version"]
+        _upserts(batch).withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{_changes_dir(base, version)}/part={batch_id}")
+
+    writer = changes.select(*CATALOG).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def catalog_now(spark: SparkSession, base: str) -> DataFrame:
+    """The catalog with the change rows since its version.
+
+    Batches are taken in order: a file whose size is the same and whose time is less than a
+    second away keeps the row it has.
+    """
+    entry = latest(spark, base)
+    old = spark.read.parquet(entry["target"]).select(*CATALOG)
+    try:
+        new = spark.read.parquet(_changes_dir(base, entry["version"])).select(*CATALOG, "batch")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return old
+    state = F.struct("root", "size", "mtime")
+    steps = new.groupBy("dir", "name").agg(F.array_sort(F.collect_list(F.struct("batch", state.alias("state")))).alias("_steps"))
+    held = old.select("dir", "name", state.alias("_state"))
+
+    def step(now: Column, change: Column) -> Column:
+        to = change["state"]
+        close = F.abs(to["mtime"].cast("double") - now["mtime"].cast("double")) < 1
+        return F.when((now["size"] == to["size"]) & close, now).otherwise(to)
+
+    both = held.join(steps, ["dir", "name"], "full_outer")
+    folded = F.aggregate(F.coalesce("_steps", F.array()), F.col("_state"), step)
+    return both.withColumn("_now", folded).select("_now.root", "dir", "name", "_now.size", "_now.mtime")
+
+
+def compact_catalog(spark: SparkSession, base: str) -> str:
+    """Publish the catalog with its change rows as a new version, which has none."""
+    return publish(catalog_now(spark, base), base)
+
+
+def search_by_version(docs: DataFrame, terms: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Page hits of a document stream for the term table published at ``terms``, whose versions
+    may change while the stream runs.
+
+    Each micro-batch is matched as a batch with the version that is current when it starts, so
+    there is no state and no join of streams, however many terms there are; its hits name the
+    version and replace those of the same batch, should it run again.
+    """
+
+    def match(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entry = latest(spark, terms)
+        wanted = spark.read.parquet(entry["target"])
+        hits = standing_search(batch, wanted).withColumn("terms_version", F.lit(entry["number"]).cast("long"))
+        hits.write.mode("overwrite").parquet(f"{out.rstrip('/')}/part={batch_id}")
+
+    return docs.writeStream.foreachBatch(match).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def standing_search(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Page hits of a document stream, in append mode: what arrives is cut into pages and
     matched as a batch would be, so all results together equal the batch result."""
