@@ -220,8 +220,8 @@ def base_name(name: Column) -> Column:
 
 
 def originals(files: DataFrame) -> DataFrame:
-    """For every converted text the file to open instead: the PDF of the same base name,
-    else the text itself, else the unconverted text; and how terms are to be converted."""
+    """For every converted text the file to open instead: the PDF of the same base name, else
+    the text itself; the unconverted text, if there is one; and how terms are to be converted."""
     f = files.select("dir", "name", X.ext(F.col("name")).alias("_ext"), base_name(F.col("name")).alias("base"))
     f = f.withColumn("ending", converted_ending(F.col("name")))
     plain = f.filter(F.col("ending") == "").groupBy("dir", "base").agg(
@@ -232,7 +232,7 @@ def originals(files: DataFrame) -> DataFrame:
     to = F.when(F.col("ending") == "_【简转繁】", "t2s").otherwise("s2t")
     return texts.join(plain, ["dir", "base"], "left").select(
         "dir", "name", "base", "pdf", "txt",
-        F.coalesce("pdf", "name", "txt").alias("open_file"), to.alias("terms_to"),
+        F.coalesce("pdf", "name").alias("open_file"), to.alias("terms_to"),
     )
 
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bibliomill.functions import text as X
 from bibliomill.functions.dims import SMALL, broadcast_if_small, small_rows, struct_array
+from bibliomill.session import cut_lineage
+
+# Functions run by Python workers travel by value: no executor needs this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def active_rules(rules: DataFrame) -> DataFrame:
@@ -93,6 +102,58 @@ def path_map_entries(moves: DataFrame) -> DataFrame:
     return rows.groupBy("map_key").agg(F.max_by("new_path", F.struct("moved_at", "new_path")).alias("new_path"))
 
 
+def first_beginning_with(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """(title, found): the smallest ``found`` among the names (``name, found``) that begin with a
+    title.
+
+    Titles and names are laid in one order, dealt out by ranges.  The names that begin with a
+    title follow it directly, so a task walks its range once and keeps the titles that are
+    still open, each a beginning of the next.  A range starts with the titles open at its
+    border, which are beginnings of its first entry.  What is shuffled are the titles and the
+    names themselves and, per range, the beginnings of one entry.
+    """
+    width = max(1, int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = titles.select(F.col("title").alias("entry"), F.lit(False).alias("named"), F.lit(None).cast("string").alias("found")).distinct()
+    unique = names.groupBy(F.col("name").alias("entry")).agg(F.min("found").alias("found")).select("entry", F.lit(True).alias("named"), "found")
+    laid = wanted.unionByName(unique).repartitionByRange(width, "entry", "named").withColumn("part", F.spark_partition_id())
+    laid = cut_lineage(laid, "prefixes")
+    border = laid.groupBy("part").agg(F.min("entry").alias("first"))
+    beginnings = border.select("part", F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda n: F.substring("first", F.lit(1), n))).alias("entry"))
+    carried = laid.where("NOT named").select("entry", "named", "found").join(beginnings, "entry").select("entry", "named", "found", "part")
+    order = ["part", "entry", "named"]
+    dealt = laid.unionByName(carried).distinct().repartition(width, "part").sortWithinPartitions(*order)
+    met = dealt.mapInPandas(_walk_beginnings, "title string, found string")
+    return met.groupBy("title").agg(F.min("found").alias("found"))
+
+
+def _walk_beginnings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    part, open_titles = None, []  # [title, smallest found so far], each a beginning of the next
+
+    def close(until: str | None) -> list[tuple[str, str]]:
+        done = []
+        while open_titles and (until is None or not until.startswith(open_titles[-1][0])):
+            title, found = open_titles.pop()
+            if found is not None:
+                done.append((title, found))
+                if open_titles and (open_titles[-1][1] is None or found < open_titles[-1][1]):
+                    open_titles[-1][1] = found
+        return done
+
+    for batch in batches:
+        out = []
+        for of, entry, named, found in zip(batch["part"], batch["entry"], batch["named"], batch["found"]):
+            if of != part:
+                out += close(None)
+                part = of
+            out += close(entry)
+            if not named:
+                open_titles.append([entry, None])
+            elif open_titles and (open_titles[-1][1] is None or found < open_titles[-1][1]):
+                open_titles[-1][1] = found
+        yield pd.DataFrame(out, columns=["title", "found"])
+    yield pd.DataFrame(close(None), columns=["title", "found"])
+
+
 def find_moved(wanted: DataFrame, moves: DataFrame, catalog: DataFrame) -> DataFrame:
     """Present path of recorded files, by falling certainty, tagged ``matched_by``.
 
@@ -121,10 +182,9 @@ def find_moved(wanted: DataFrame, moves: DataFrame, catalog: DataFrame) -> DataF
     by_tail = wanted.select("id", tail(F.col("path")).alias("_tail")).join(tails, "_tail")
 
     titled = wanted.select("id", F.lower(X.stem(name)).alias("_title")).filter(F.length("_title") >= 2)
-    names = cat.select("_to", F.lower(X.stem(F.col("name"))).alias("_s")).filter(F.length("_s") >= 2)
-    cut = F.transform(F.sequence(F.lit(2), F.length("_s")), lambda i: F.substring(F.col("_s"), F.lit(1), i))
-    begins = names.select("_to", F.explode(cut).alias("_title")).groupBy("_title").agg(F.min("_to").alias("found"))
-    by_title = titled.join(begins, "_title")
+    names = cat.select(F.lower(X.stem(F.col("name"))).alias("name"), F.col("_to").alias("found")).filter(F.length("name") >= 2)
+    begins = first_beginning_with(titled.select(F.col("_title").alias("title")), names)
+    by_title = titled.join(begins, F.col("_title") == F.col("title")).select("id", "found")
 
     ways = by_map.select("id", F.struct("_o", "found").alias("b"))
     for rank, found in ((3, by_print), (4, by_tail), (5, by_title)):

@@ -12,6 +12,7 @@ from bibliomill.functions import text as X
 from bibliomill.functions.automaton import located
 from bibliomill.functions.dims import SMALL, TERMS, broadcast_if_small, small_rows, struct_array
 from bibliomill.functions.ranking import first_wins, top_per_key
+from bibliomill.functions.variants import Variants
 
 
 def contained_terms(
@@ -75,6 +76,22 @@ def page_hits(
     return hits.drop("text")
 
 
+def converted_hits(pages: DataFrame, originals: DataFrame, terms: DataFrame, variants: Variants) -> DataFrame:
+    """Page hits in the originals of converted texts, each searched in its own script.
+
+    ``pages(dir, name, ord, page, text)``; ``originals(dir, open_file, terms_to)`` says in which
+    direction terms go for a file.  The terms are converted once per direction, before the
+    search, and keep the term they were ``asked`` as.
+    """
+    wanted = None
+    for direction in ("t2s", "s2t"):
+        one = terms.withColumn("asked", F.col("term")).withColumn("term", variants.convert(F.col("term"), direction)).withColumn("_to", F.lit(direction))
+        wanted = one if wanted is None else wanted.unionByName(one)
+    opened = originals.select("dir", F.col("open_file").alias("name"), "terms_to").distinct()
+    hits = page_hits(pages.join(broadcast_if_small(opened), ["dir", "name"]), wanted, key=("dir", "name", "terms_to"))
+    return hits.where(F.col("_to") == F.col("terms_to")).drop("_to")
+
+
 def first_page(hits: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
     """First page with a hit, pages before terms."""
     return hits.groupBy(*key).agg(

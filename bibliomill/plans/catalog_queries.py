@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bibliomill.functions.variants import Variants
 from bibliomill.operators import catalog as C
+from bibliomill.operators import paging as P
 from bibliomill.operators import relocate as R
+from bibliomill.operators import search as S
 import bibliomill.plans.inputs  # noqa: F401  the derived inputs
 from bibliomill.plans.registry import Tables, oracle, query
-from bibliomill.plans.search_queries import hits1, hits_oracle
+from bibliomill.plans.search_queries import PAGES_SQL, hits1, hits_oracle
 
 EXT = "lower(regexp_extract(name, '^\\.*[^.].*(\\.[^.]*)$', 1))"
 STEM = "substr(name, 1, length(name) - length(regexp_extract(name, '^\\.*[^.].*(\\.[^.]*)$', 1)))"
@@ -406,6 +409,37 @@ def _originals(t: Tables) -> DataFrame:
     return C.originals(t.v_catalog)
 
 
+# A dictionary with phrases; the longest that fits goes first.
+PHRASES = [("t2s", "the", "que"), ("t2s", "th", "zz"), ("s2t", "der", "the"), ("s2t", "d", "x")]
+ASKED = ["the", "der", "and", "with"]
+CONVERTED = """SELECT * FROM (VALUES ('t2s', 'the', 'que'), ('t2s', 'der', 'der'), ('t2s', 'and', 'and'), ('t2s', 'with', 'wizz'),
+  ('s2t', 'the', 'the'), ('s2t', 'der', 'the'), ('s2t', 'and', 'anx'), ('s2t', 'with', 'with')) AS w(terms_to, asked, term)"""
+
+
+@query(
+    "txt_23_converted_hits",
+    oracle(
+        """SELECT o.dir, o.open_file AS name, o.terms_to, w.asked, w.term, CAST(p.page AS BIGINT) AS page,
+          CAST((length(p.t) - length(replace(p.t, w.term, ''))) / length(w.term) AS BIGINT) AS count
+        FROM (SELECT DISTINCT b.dir, coalesce(f.pdf, b.name) AS open_file, CASE ending WHEN '_【简转繁】' THEN 't2s' ELSE 's2t' END AS terms_to
+          FROM b LEFT JOIN (SELECT dir, base, min(name) FILTER (WHERE ext = '.pdf') AS pdf FROM b WHERE ending = '' GROUP BY 1, 2) f USING (dir, base)
+          WHERE b.ending <> '' AND b.ext = '.txt') o
+        JOIN {v_catalog} c ON c.dir = o.dir AND c.name = o.open_file
+        JOIN p ON p.doc_id = c.doc_id JOIN w ON w.terms_to = o.terms_to AND contains(p.t, w.term)""",
+        b=BASES,
+        p=PAGES_SQL,
+        w=CONVERTED,
+    ),
+)
+def _converted_hits(t: Tables) -> DataFrame:
+    files = t.v_catalog.select("doc_id", "dir", "name")
+    pages = P.text_pages(t.documents.select("doc_id", "lang", "source", "text")).join(files, "doc_id").select("dir", "name", "ord", "page", "text")
+    terms = t.spark.createDataFrame([(w, i) for i, w in enumerate(ASKED)], "term string, pos int")
+    phrases = Variants.of(t.spark.createDataFrame(PHRASES, "config string, src string, dst string"))
+    hits = S.converted_hits(pages, C.originals(t.v_catalog), terms, phrases)
+    return hits.select("dir", "name", "terms_to", "asked", "term", F.col("page").cast("long").alias("page"), "count")
+
+
 FEW_RULES = """
 SELECT * FROM (VALUES
   ('a', 'blog', 'X:/flat', true), ('b', 'm.', 'never', true),

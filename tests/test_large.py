@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from bibliomill.functions import automaton
+from bibliomill.operators import relocate as R
 from bibliomill.operators import search as S
 from bibliomill.sources import files as L
 from bibliomill.sources.publish import current, publish, versions
@@ -104,3 +105,15 @@ def test_folders_are_walked_by_tasks_and_pruned_before_descent(spark, tmp_path):
     assert rows == [("", "/a", "x.PDF", 5), ("", "/a/b/c", "z.txt", 5), ("/a/b", "/a/b/c", "z.txt", 5)]
     listed = {r["path"] for r in L.walked(spark, [str(tmp_path)]).select("path").collect()}
     assert not any(".git" in p or "Node_Modules" in p for p in listed)
+
+
+def test_titles_find_the_first_name_that_begins_with_them(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ab吴") for _ in range(rng.randrange(0, 7)))
+    titles, names = [word() for _ in range(60)] + ["ab", "ab"], [(word(), f"{rng.randrange(500):03d}") for _ in range(300)]
+    titles = [x for x in titles if x]
+    got = R.first_beginning_with(spark.createDataFrame([(x,) for x in titles], "title string"), spark.createDataFrame(names, "name string, found string"))
+    want = {t: min((f for n, f in names if n.startswith(t)), default=None) for t in set(titles)}
+    assert {r["title"]: r["found"] for r in got.collect()} == {t: f for t, f in want.items() if f is not None}
+    nothing = spark.createDataFrame([], "name string, found string")
+    assert R.first_beginning_with(spark.createDataFrame([("a",)], "title string"), nothing).collect() == []
