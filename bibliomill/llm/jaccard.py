@@ -36,8 +36,9 @@ from bibliomill.llm.linking import connected
 
 WORDS = 5
 LEAST = 80
-# Segments, from the first, that are also indexed with one member left out.
-RESERVE = 8
+# Segments, from the first, that are also indexed with one member left out: all of small sets,
+# few of others, whose spare segments do for most.
+RESERVE, RESERVE_OF_MANY, MANY = 8, 2, 16
 # One segment more for so many, to pass over what many sets share.
 SPARE = 16
 # Rows handed on at once, and nodes whose texts are found by a broadcast of their keys.
@@ -122,7 +123,8 @@ class Cut:
         # rising members lie in rising segments
         self.of = ((members >> np.uint64(32)) * np.uint64(self.segments) >> np.uint64(32)).astype(np.int64)
         self.sizes = np.bincount(self.of, minlength=self.segments)
-        self.wide = (self.sizes >= 2) & (np.arange(self.segments) < RESERVE)
+        self.reserve = RESERVE if self.segments <= MANY else RESERVE_OF_MANY
+        self.wide = (self.sizes >= 2) & (np.arange(self.segments) < self.reserve)
         need = difference(min(len(members), high), len(members), least) + 1
         units = int((self.sizes > 0).sum() + self.wide.sum())
         # too few segments hold anything: the empty ones are looked up too
@@ -138,7 +140,7 @@ class Cut:
             full = np.flatnonzero(self.sizes)
             starts = (np.cumsum(self.sizes) - self.sizes)[full]
             signature[full] += np.add.reduceat(mixed, starts)
-            left = np.flatnonzero(self.wide[self.of[: int(self.sizes[:RESERVE].sum())]])
+            left = np.flatnonzero(self.wide[self.of[: int(self.sizes[: self.reserve].sum())]])
             without = signature[self.of[left]] - mixed[left]
         exact = np.where(self.sizes > 0, TOLD | ASKS, TOLD | (ASKS if self.all_asked else 0)) | np.where(self.wide, WIDE, 0)
         flags = np.concatenate([exact, np.full(len(left), TOLD | ASKS | LEFT_OUT | WIDE)])

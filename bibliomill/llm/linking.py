@@ -17,6 +17,7 @@ out: only pairs that are already connected, or were compared before, are passed
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -155,26 +156,19 @@ def connected(
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) >= (least - 1e-9) * F.greatest(a, b)
 
-    def of_star(frame: DataFrame) -> DataFrame:
-        """Pairs of one star are compared, as those of one component need not be."""
-        if stars is None:
-            return frame.withColumn("star", F.col("node"))
-        return frame.join(stars, "node", "left").withColumn("star", F.coalesce("star", "node"))
-
     while True:
         turn += 1
-        if roots is None:
-            labelled = rows.withColumn("root", F.col("node"))
-        else:
-            labelled = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        labelled = of_star(labelled)
+        # what is known of the nodes: component, star, and in a first round how central they are
+        labels = [frame for frame in (roots, stars) if frame is not None]
         if turn == 1:
-            crowd = labelled.where("told").groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
-            central = labelled.where("told").join(crowd, GROUP).groupBy("node").agg(F.sum("n").alias("met"))
-            labelled = labelled.join(central, "node", "left")
-            draw = -F.coalesce("met", F.lit(0))
-        else:
-            draw = F.xxhash64("node", F.lit(turn))
+            crowd = rows.where("told").groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
+            labels.append(rows.where("told").join(crowd, GROUP).groupBy("node").agg(F.sum("n").alias("met")))
+        known = reduce(lambda x, y: x.join(y, "node", "full_outer"), labels) if labels else None
+        labelled = rows if known is None else rows.join(known, "node", "left")
+        for label in ("root", "star"):
+            labelled = labelled.withColumn(label, F.coalesce(label, "node") if label in labelled.columns else F.col("node"))
+        labelled = cut_lineage(labelled, "labelled")
+        draw = -F.coalesce("met", F.lit(0)) if turn == 1 else F.xxhash64("node", F.lit(turn))
         drawn = F.struct(draw.alias("draw"), "root", "node", "size")
         told = labelled.where("told").groupBy(*GROUP, "root").agg(F.count(F.lit(1)).alias("own"), F.min(drawn).alias("leader"))
         told = cut_lineage(told, "told")
@@ -194,6 +188,8 @@ def connected(
             rows, finer, last = cut_lineage(finer(asking.select("node").distinct()), "finer"), None, False
             continue
         last = last or left <= FEW * n
+        if turn == 1 and not last:
+            rows = cut_lineage(still_asking(labelled.select(*rows.columns), asking.select("node").distinct()), "rows")
         mine = [*GROUP, "node", "size", "root", "star"]
         if last:
             others = labelled.where("told").select(*GROUP, F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"), F.col("star").alias("hub_star"))
@@ -230,6 +226,15 @@ def connected(
     return roots if roots is not None else rows.select("node", F.col("node").alias("root")).limit(0)
 
 
+def still_asking(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows without those of nodes that need not ask, and without groups nobody asks in.
+    What a node meets only grows fewer by rounds, so it never has to ask again."""
+    no = F.lit(False)
+    both = rows.where("told").withColumn("asks", no).unionByName(rows.where("asks").join(nodes, "node", "left_semi").withColumn("told", no).select(*rows.columns))
+    asked = F.max("asks").over(Window.partitionBy(*GROUP))
+    return both.withColumn("_asked", asked).where("_asked").drop("_asked")
+
+
 def neighbourhoods(found: DataFrame, roots: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The star (a leader) of every node that is within reach of one, that of most nodes, and
     the members (star, node, root, distance) of the stars of several components."""

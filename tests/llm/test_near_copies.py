@@ -56,3 +56,12 @@ def test_a_crowd_that_shares_a_passage_is_compared_by_rare_shingles(spark, monke
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == links(rows)
     assert sum(made) < 8 * len(rows)
+
+
+def test_a_crowd_without_any_link(spark, monkeypatch):
+    monkeypatch.setattr(linking, "FEW", 1)
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"o{rng.randrange(10**6)}" for _ in range(20)) + " " + passage) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == links(rows)
