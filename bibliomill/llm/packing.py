@@ -230,12 +230,14 @@ def place(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
 
 def packed_pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, path: str | None = None) -> DataFrame:
     """One row per piece with its sequence and its place there; with ``keep_ids`` also the
-    token ids (little-endian 32-bit)."""
-    cut_up = docs.select("doc_id", F.explode(pieces(F.col("text"), capacity, CLOSING_ID, path, keep_ids)).alias("p"))
+    token ids (little-endian 32-bit).  ``copy_id`` numbers the rows of ``docs``, so the pieces
+    of rows with equal ``doc_id`` can be told apart: (copy_id, piece) is unique."""
+    numbered = docs.select(F.monotonically_increasing_id().alias("copy_id"), "doc_id", "text")
+    cut_up = numbered.select("copy_id", "doc_id", F.explode(pieces(F.col("text"), capacity, CLOSING_ID, path, keep_ids)).alias("p"))
     columns = ["piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    table = cut_lineage(cut_up.select(F.monotonically_increasing_id().alias("item"), "doc_id", *[f"p.{c}" for c in columns]), "pieces")
+    table = cut_lineage(cut_up.select(F.monotonically_increasing_id().alias("item"), "copy_id", "doc_id", *[f"p.{c}" for c in columns]), "pieces")
     placed = place(table, capacity)
-    return table.join(placed, "item").select("doc_id", *columns[:4], "sequence_id", "offset", *columns[4:])
+    return table.join(placed, "item").select("doc_id", *columns[:4], "sequence_id", "offset", *columns[4:], "copy_id")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -159,7 +159,6 @@ def test_packing(spark, documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows_of(spark, "op9_best_fit_packing"):
         pieces[r.doc_id].append(r)

@@ -135,6 +135,7 @@ def test_long_chain_is_one_component(spark):
 
 def test_packing(docs, empty):
     rows = packing.packed_pieces(docs).collect()
+    assert len({(r.copy_id, r.piece) for r in rows}) == len(rows) and len({r.copy_id for r in rows}) == len(ROWS)
     lengths = {}
     for r in rows:
         lengths.setdefault(r.doc_id, []).append(r.length)
