@@ -46,7 +46,7 @@ def strip(c: Column) -> Column:
 
 def rstrip(c: Column) -> Column:
     plain = F.rtrim(c)
-    return F.when(F.rlike(plain, F.lit(r"(?U)\s\z")), F.regexp_replace(plain, r"(?U)\s+\z", "")).otherwise(plain)
+    return F.when(F.rlike(F.right(plain, F.lit(1)), F.lit(r"(?U)\s")), F.regexp_replace(plain, r"(?U)\s+\z", "")).otherwise(plain)
 
 
 def strip_chars(c: Column, chars: str) -> Column:
@@ -64,8 +64,8 @@ def unix_lines(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Array of lines; a final line break opens no further line."""
-    body = F.regexp_replace(c, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+    parts = F.split(c, LINE_BREAK, -1)
+    return let(parts, lambda ls: F.when(F.element_at(ls, -1) == "", F.slice(ls, 1, F.size(ls) - 1)).otherwise(ls))
 
 
 def half_width(c: Column) -> Column:

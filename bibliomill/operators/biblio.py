@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from bibliomill.functions import names as N
 from bibliomill.functions import text as X
 from bibliomill.functions.dims import TERMS
+from bibliomill.operators.paging import chosen_pages
 from bibliomill.operators.search import contained_terms
 from bibliomill.session import cut_lineage
 
@@ -30,6 +34,7 @@ CIP = (
     r"([\x{4E00}-\x{9FA5}]{2,4}?)\s*[:：]?\s*"
     r"([\x{4E00}-\x{9FA5}]{2,20}?(?:出版社|印书馆|书局|书社|出版公司))[，,]?\s*((?:19|20)\d{2})"
 )
+CIP_END = r"(?U)(?:出版社|印书馆|书局|书社|出版公司)[，,]?\s*(?:19|20)\d{2}"
 NOT_AN_AUTHOR = "出版社|印书馆|书局|书社|出版公司|书店"
 LIGHT_TRAD = "書館學報廣東藝齋華務國義語經點叢屬歸讀寫爲與對輯廠業這圖錄發會"
 LIGHT_SIMP = "书馆学报广东艺斋华务国义语经点丛属归读写为与对辑厂业这图录发会"
@@ -81,6 +86,11 @@ SAMPLE_KEYS = ("ISBN", "出版", "定价", "印刷")
 # Characters one of which every key word of a colophon contains: a cheap first test.
 ANY_KEY = "[图CI书書定第出發发印开開字插]"
 
+# What a told line holds at least, in a text as it stands: literals are looked for much faster
+# than expressions.  Capital letters may be of either width.
+KEY_LITERALS = ("图书在版编目", "数据", "ISBN", "书号", "書號", "定价", "定價", "第", "出版", "發行", "发行", "印", "书局", "書局", "书社", "書社",
+    "开本", "開本", "字数", "字數", "插页", "插頁")
+
 FIELDS = ("title", "volume", "author", "publisher", "year", "ssid", "city")
 
 
@@ -125,25 +135,30 @@ def colophon(text: Column) -> Column:
         )
         return F.array_max(windows)
 
+    def head_and_tail(lines: Column) -> Column:
+        tail = F.slice(lines, F.greatest(F.size(lines) - TAIL_LINES, F.lit(0)) + 1, TAIL_LINES)
+        return F.concat(F.slice(lines, 1, HEAD_LINES), F.array(F.lit("…")), tail)
+
     def cut(lines: Column, b: Column) -> Column:
         start = F.greatest(-b["i"] - BEFORE, F.lit(0))
         around = F.slice(lines, start + 1, -b["i"] + AFTER - start)
-        rest = F.concat(
-            F.slice(lines, 1, HEAD_LINES), F.array(F.lit("…")),
-            F.slice(lines, F.greatest(F.size(lines) - TAIL_LINES, F.lit(0)) + 1, TAIL_LINES),
-        )
         found = F.coalesce(b["w"] > 0, F.lit(False))
         return F.struct(
-            F.array_join(F.when(found, around).otherwise(rest), "\n").alias("block"),
+            F.array_join(F.when(found, around).otherwise(head_and_tail(lines)), "\n").alias("block"),
             F.when(found, -b["i"]).cast("long").alias("at_line"),
         )
 
-    ends = F.transform(X.lines(X.half_width(text)), X.rstrip)
-    none = F.lit(None).cast(kind)
-    # the key words are looked for in the half-width lines, as the rating does
-    told = lambda ls: F.exists(ls, lambda l: _match(l, ANY_KEY))
-    chosen = lambda ls: F.when(told(ls), X.let(_rated_lines(ls), best)).otherwise(none)
-    return X.let(ends, lambda ls: X.let(chosen(ls), lambda b: cut(ls, b)))
+    def beginning_and_end(lines: Column) -> Column:
+        ends = X.let(lines, lambda ls: F.transform(F.transform(head_and_tail(ls), X.half_width), X.rstrip))
+        return F.struct(F.array_join(ends, "\n").alias("block"), F.lit(None).cast("long").alias("at_line"))
+
+    # Without a key word in either width no line is told and only the ends are read.  Characters
+    # that half width drops could stand inside a word or between lines: such texts are read whole.
+    literals = [F.contains(text, F.lit(k)) for k in KEY_LITERALS]
+    worth = reduce(or_, literals) | _match(text, f"[ＩＳＢＮ]|{X.OCR_JUNK}")
+    lines = X.let(X.half_width(text), lambda narrow: F.transform(X.lines(narrow), X.rstrip))
+    dense = X.let(lines, lambda ls: X.let(X.let(_rated_lines(ls), best), lambda b: cut(ls, b)))
+    return F.when(worth, dense).otherwise(beginning_and_end(X.lines(text)))
 
 
 def colophons(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -156,7 +171,7 @@ def page_scores(pages: DataFrame) -> DataFrame:
     """Strong lines and weight of every page."""
     zero = F.struct(F.lit(0).cast("long").alias("strong"), F.lit(0).cast("long").alias("total"))
     sums = F.aggregate(
-        _rated_lines(X.lines(X.half_width(F.col("text")))),
+        X.let(X.half_width(F.col("text")), lambda narrow: _rated_lines(X.lines(narrow))),
         zero,
         lambda a, r: F.struct((a["strong"] + r["s"]).alias("strong"), (a["total"] + r["w"]).alias("total")),
     )
@@ -202,16 +217,40 @@ def sampled_pages(pages: DataFrame, key: str = "doc_id", whole: int = 400) -> Da
     return pages.filter(short | wide).join(telling, key).filter(short | ~F.col("_telling")).drop("_telling")
 
 
+def sampled_text_pages(docs: DataFrame, text: str = "text", whole: int = 400) -> DataFrame:
+    """The pages :func:`sampled_pages` reads, chosen where a document is cut: the ends of its
+    page array tell whether they hold a key word, and only chosen pages become rows."""
+
+    def choose(pages: Column) -> Column:
+        n = F.size(pages)
+        ends = F.concat(F.slice(pages, 1, 16), F.slice(pages, F.greatest(n - 16, F.lit(0)) + 1, 16))
+        telling = F.exists(ends, lambda s: _match(s["text"], "|".join(SAMPLE_KEYS)))
+        short = lambda s: (s["ord"] < 16) | (n - s["ord"] <= 16)
+        wide = lambda s: (n <= whole) | (s["ord"] < 60) | (n - s["ord"] <= 30)
+        return X.let(telling, lambda told: F.filter(pages, lambda s: short(s) | (~told & wide(s))))
+
+    return chosen_pages(docs, choose, text)
+
+
 # ---- fields of one colophon block -----------------------------------------------------
 
 
 def cip(block: Column) -> Column:
-    """Fields of a cataloguing line as a struct (empty strings without one)."""
-    g = [X.strip(F.regexp_extract(block, CIP, i)) for i in range(1, 6)]
-    author = F.when(
-        F.length(g[1]).between(2, 12) & ~_match(g[1], NOT_AN_AUTHOR) & _match(g[1], r"(?U)^[\x{4E00}-\x{9FA5}·\s]{2,12}$"), g[1]
-    ).otherwise("")
-    return F.struct(g[0].alias("title"), author.alias("author"), g[2].alias("city"), g[3].alias("publisher"), g[4].alias("year"))
+    """Fields of a cataloguing line as a struct (empty strings without one).
+
+    The line is looked for once, and only where its end stands; its fields are then read from
+    the line alone.
+    """
+    worth = _match(block, "[／/]") & _match(block, CIP_END)
+    line = F.when(worth, F.regexp_extract(block, CIP, 0)).otherwise("")
+
+    def fields(g: Column) -> Column:
+        plain = F.length(g[1]).between(2, 12) & ~_match(g[1], NOT_AN_AUTHOR) & _match(g[1], r"(?U)^[\x{4E00}-\x{9FA5}·\s]{2,12}$")
+        return F.struct(
+            g[0].alias("title"), F.when(plain, g[1]).otherwise("").alias("author"), g[2].alias("city"), g[3].alias("publisher"), g[4].alias("year")
+        )
+
+    return X.let(line, lambda l: X.let(F.array(*[X.strip(F.regexp_extract(l, CIP, i)) for i in range(1, 6)]), fields))
 
 
 def year_of(block: Column, cip_year: Column) -> Column:
@@ -332,8 +371,11 @@ def title_of(block: Column) -> Column:
 
 def repeated_line(text: Column, at_least: int = 3) -> Column:
     """Title-like line that a text repeats most, the first one on a tie: equal lines are
-    neighbours after sorting, and runs are counted in one pass."""
-    lines = F.transform(X.lines(X.half_width(text)), X.strip)
+    neighbours after sorting, and runs are counted in one pass.  Only lines with such
+    characters as a title needs are brought to half width."""
+    clean = F.regexp_replace(text, X.OCR_JUNK, "")
+    written = X.let(clean, lambda c: F.filter(X.lines(c), lambda l: _match(l, N.CJK)))
+    lines = F.transform(written, lambda l: X.strip(X.half_width(l)))
     titles = F.filter(F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda r: is_title_line(r["l"]))
     run = T.StructType.fromDDL("l string, n int, i int, best struct<n int, i int, l string>")
 
@@ -351,7 +393,8 @@ def repeated_line(text: Column, at_least: int = 3) -> Column:
         ).cast(run)
 
     start = F.struct(F.lit("").alias("l"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(None).alias("best")).cast(run)
-    return F.aggregate(F.array_sort(titles), start, step, lambda a: close(a)["l"])
+    # two equal titles are needed at least, and most texts have none
+    return F.when(_match(text, N.CJK), F.aggregate(F.array_sort(titles), start, step, lambda a: close(a)["l"]))
 
 
 def trad_share(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,17 @@ def text_pages(docs: DataFrame, text: str = "text", with_total: bool = False) ->
     )
 
 
+def chosen_pages(docs: DataFrame, choose: Callable[[Column], Column], text: str = "text") -> DataFrame:
+    """Pages like those of :func:`text_pages`, but only those that ``choose`` keeps of a
+    document's array of ``struct<ord, page, text>``; the others never become rows."""
+    keep = [c for c in docs.columns if c != text]
+    kept = F.filter(F.col("_segments"), lambda s: s["keep"])
+    numbered = F.transform(kept, lambda s, i: F.struct(i.cast("long").alias("ord"), s["page"].alias("page"), s["text"].alias("text")))
+    cut = _with_segments(docs, text).select(*keep, X.let(numbered, choose).alias("_chosen"))
+    rows = cut.select(*keep, F.explode_outer("_chosen").alias("_s")).filter("_s is not null")
+    return rows.select(*keep, "_s.ord", "_s.page", "_s.text")
+
+
 def page_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ord, page, start, end``: character ranges, without the text itself.
 

@@ -363,7 +363,7 @@ def _script_share(t: Tables) -> DataFrame:
     ),
 )
 def _sampled(t: Tables) -> DataFrame:
-    return B.sampled_pages(colophon_pages(t), whole=40).select("doc_id", "ord")
+    return B.sampled_text_pages(t.v_colophon.select("doc_id", "text"), whole=40).select("doc_id", "ord")
 
 
 RIGHTS_TEXT = """
