@@ -24,14 +24,19 @@ VIEWS: dict[str, str] = {}
 
 
 def spread(df: DataFrame, key: str | None) -> DataFrame:
-    """Hash-partition a scan of a single split by its key.
+    """Hash-partition a scan of at most ``spark.sql.files.maxPartitionBytes`` by its key.
 
-    One split is no larger than ``spark.sql.files.maxPartitionBytes``, so what is dealt out
-    here is bounded; a table of more splits is left as it is.
+    Such a table is often one row group, which a single task reads however many splits the
+    file is cut into.  What is dealt out here is bounded; a larger table is left as it is.
     """
-    if key is None or df.rdd.getNumPartitions() > 1:
+    if key is None:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    spark = df.sparkSession
+    scanned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    one_split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if scanned > one_split:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key)
 
 
 class Tables:
