@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from bibliomill.functions import names as N
 from bibliomill.functions import text as X
 from bibliomill.functions.dims import TERMS
+from bibliomill.operators.editions import LOOSE_LIMIT
 from bibliomill.operators.paging import chosen_pages
 from bibliomill.operators.search import contained_terms
 from bibliomill.session import cut_lineage
@@ -467,42 +468,52 @@ def merged_record(sources: list[tuple[str, dict[str, Column]]], fields: tuple[st
 
 
 def deep_records(
-    files: DataFrame, text_fields: DataFrame, pdf_fields: DataFrame, dictionary: DataFrame, surnames: str
+    files: DataFrame, text_fields: DataFrame, pdf_fields: DataFrame | None, dictionary: DataFrame, surnames: str
 ) -> DataFrame:
     """Record of each file from four sources: its name, its folders, the colophon of a
     sibling text, that of a sibling PDF; the city may still come from the dictionary.
 
-    ``text_fields`` and ``pdf_fields`` are :func:`colophon_fields` results keyed by
-    ``dir, name`` of the file the text belongs to.
+    Both frames are :func:`colophon_fields` results keyed by ``dir, name`` of the file the text
+    belongs to, one row a file; they may come as one, as the name tells the format.  Siblings
+    are chosen as :func:`editions.sibling` does, but their fields travel with them: each
+    family and each loose family is reduced once, for both formats, to the fields of its best
+    member.
     """
-    from bibliomill.operators.editions import sibling
-
-    f = N.parse_names(files.select("dir", "name"), surnames)
-    f = f.withColumn("fk", N.family_key(F.col("name")))
-    folder = folder_fields(files, surnames)
-    pick = ["title", "author", "publisher", "city", "year", "block"]
-
-    def from_sibling(base: DataFrame, fields: DataFrame, tag: str, exts: tuple[str, ...]) -> DataFrame:
-        # Extraction is costly and four branches read its result: written once.
-        fields = cut_lineage(fields.select("dir", "name", *pick), f"{tag}-fields")
-        telling = fields.filter(F.coalesce(*[F.col(c) for c in pick[:-1]]).isNotNull())
-        listed = f.filter(F.col("ext").isin(*exts)).select("dir", "name")
-        at = sibling(base.select("dir", "name", "fk"), telling.select("dir", "name"), listed).select("dir", "name", F.col("peer").alias(f"{tag}_file"))
-        got = telling.select("dir", F.col("name").alias(f"{tag}_file"), *[F.col(c).alias(f"{tag}_{c}") for c in pick])
-        return base.join(at, ["dir", "name"], "left").join(got, ["dir", f"{tag}_file"], "left")
-
-    d = from_sibling(from_sibling(f, text_fields, "txt", (".txt", ".text")), pdf_fields, "pdf", (".pdf",))
-    d = d.join(folder.select("dir", *[F.col(c).alias(f"folder_{c}") for c in ("title", "author", "publisher", "year", "volume")]), "dir", "left")
+    told = [c for c in FIELDS if c not in ("volume", "ssid")]
+    formats = {"txt": (".txt", ".text"), "pdf": (".pdf",)}
+    fields = text_fields if pdf_fields is None else text_fields.unionByName(pdf_fields, allowMissingColumns=True)
+    # Of a colophon only its fields and its script are kept.  Extraction is costly and three
+    # branches read these narrow rows: written once.
+    read = fields.filter(F.coalesce(*[F.col(c) for c in told]).isNotNull()).select(
+        "dir", "name", F.struct("name", *told, (trad_share(F.col("block")) >= 0.5).alias("trad")).alias("_told")
+    )
+    conv = F.when(F.rlike("name", F.lit("[繁简]转[繁简]")), 1).otherwise(0)
+    f = N.parse_names(files.select("dir", "name"), surnames).withColumn("fk", N.family_key(F.col("name")))
+    f = f.withColumn("lk", N.loose_key(F.col("fk"))).withColumn("_conv", conv)
+    f = f.join(cut_lineage(read, "colophon-fields"), ["dir", "name"], "left")
+
+    telling = {tag: F.when(F.col("ext").isin(*exts) & F.col("_told").isNotNull(), F.struct("_conv", "_told")) for tag, exts in formats.items()}
+    named = f.filter("fk <> ''")
+    family = named.groupBy("dir", "fk").agg(*[F.min(t).alias(f"_{tag}_best") for tag, t in telling.items()])
+    few = {tag: F.count_if(F.col("ext").isin(*exts)) <= LOOSE_LIMIT for tag, exts in formats.items()}
+    loose = named.filter("lk <> ''").groupBy("dir", "lk").agg(*[F.when(few[tag], F.min(t)).alias(f"_{tag}_loose") for tag, t in telling.items()])
+    d = f.join(family, ["dir", "fk"], "left").join(loose, ["dir", "lk"], "left")
+    for tag, own in telling.items():
+        best = F.col(f"_{tag}_best")
+        chosen = F.when((F.col("fk") != "") & (own["_conv"] <= best["_conv"]), own).otherwise(best)
+        d = d.withColumn(tag, F.coalesce(chosen, F.col(f"_{tag}_loose"))["_told"])
+
+    folder = folder_fields(files, surnames).select("dir", F.struct("title", "author", "publisher", "year", "volume").alias("_folder"))
+    d = d.join(folder, "dir", "left")
     col = F.col
     sources = [
         ("file", {c: col(c) for c in ("title", "volume", "author", "publisher", "year", "ssid")}),
-        ("folder", {c: col(f"folder_{c}") for c in ("title", "volume", "author", "publisher", "year")}),
-        ("txt", {c: col(f"txt_{c}") for c in pick[:-1]}),
-        ("pdf", {c: col(f"pdf_{c}") for c in pick[:-1]}),
+        ("folder", {c: col(f"_folder.{c}") for c in ("title", "volume", "author", "publisher", "year")}),
+        ("txt", {c: col(f"txt.{c}") for c in told}),
+        ("pdf", {c: col(f"pdf.{c}") for c in told}),
     ]
-    block = F.coalesce("txt_block", "pdf_block")
-    trad = col("trad") | _match(col("dir"), "繁[体體]") | (F.coalesce(trad_share(block), F.lit(0.0)) >= 0.5)
-    d = d.select("dir", "name", "ext", "tail", trad.alias("trad"), block.alias("block"), col("txt_file"), *merged_record(sources))
+    trad = col("trad") | _match(col("dir"), "繁[体體]") | F.coalesce("txt.trad", "pdf.trad", F.lit(False))
+    d = d.select("dir", "name", "ext", "tail", trad.alias("trad"), col("txt.name").alias("txt_file"), *merged_record(sources))
     cities = dictionary.groupBy("publisher").agg(F.min_by("city", "pos").alias("_city"))
     d = d.join(cities, "publisher", "left")
     known = col("city").isNotNull() | col("_city").isNull()

@@ -559,9 +559,9 @@ def _provenance(t: Tables) -> DataFrame:
     return r.select("dir", "name", *line)
 
 
-def text_fields(t: Tables, ext: str) -> DataFrame:
-    """Colophon fields of the catalog's own files of one format."""
-    files = t.v_catalog.filter(X.ext(F.col("name")) == ext).select("doc_id", "dir", "name")
+def text_fields(t: Tables, *exts: str) -> DataFrame:
+    """Colophon fields of the catalog's own files of some formats."""
+    files = t.v_catalog.filter(X.ext(F.col("name")).isin(*exts)).select("doc_id", "dir", "name")
     texts = t.v_colophon.select("doc_id", "text").join(files, "doc_id", "left_semi")
     return B.colophon_fields(texts, t.v_publishers, SURNAMES).join(files, "doc_id")
 
@@ -625,5 +625,5 @@ FROM bl JOIN cp USING (doc_id) JOIN pb USING (doc_id) JOIN tt USING (doc_id) JOI
     ),
 )
 def _deep(t: Tables) -> DataFrame:
-    d = B.deep_records(t.v_catalog, text_fields(t, ".txt"), text_fields(t, ".pdf"), t.v_publishers, SURNAMES)
+    d = B.deep_records(t.v_catalog, text_fields(t, ".txt", ".pdf"), None, t.v_publishers, SURNAMES)
     return d.select(*DEEP_COLUMNS, "city", "city_src", "trad")
