@@ -251,14 +251,23 @@ def canonical_all(terms: DataFrame, merged: DataFrame) -> DataFrame:
 
 def expand_all(terms: DataFrame, merged: DataFrame, limit: int | None = None) -> DataFrame:
     """Other names to search along, over all people of that name; with ``limit`` the first so
-    many of each term, numbered."""
+    many of each term, numbered.
+
+    People come by canonical name, and each brings that name at least, so the first ``limit``
+    names are told by ``limit + 1`` people of a term (one may be called by the term itself) and
+    by ``limit + 1`` names of each.  Both tables are cut to that before they are joined: a name
+    of any number of people, or a person of any number of names, pairs no more than that.
+    """
     heads = merged.select(F.col("canon").alias("term"), "canon")
     index = heads.unionByName(merged.select(F.col("alias").alias("term"), "canon")).distinct()
+    if limit is not None:
+        index = top_per_key(index, ["term"], [F.col("canon")], limit + 1).drop("rank")
+        merged = top_per_key(merged, ["canon"], [F.col(c) for c in ("source_rank", "line_no", "pos", "alias")], limit + 1).drop("rank")
     found = terms.select("term").distinct().join(index, "term")
     own = found.select("term", F.col("canon").alias("value"), "canon", F.lit(0).alias("r"), F.lit(0).cast("long").alias("l"), F.lit(0).alias("p"))
     names = found.join(merged, "canon").select("term", F.col("alias").alias("value"), "canon", (F.col("source_rank") + 1).alias("r"), F.col("line_no").alias("l"), F.col("pos").alias("p"))
     rows = first_wins(own.unionByName(names).filter("value <> term"), ["term", "value"], ["canon", "r", "l", "p"])
-    order = [F.col(c) for c in ("canon", "r", "l", "p")]
+    order = [F.col(c) for c in ("canon", "r", "l", "p", "value")]
     if limit is None:
         return rows.select("term", "value")
     return top_per_key(rows, ["term"], order, limit, "ord").select("term", "value", F.col("ord").cast("long").alias("ord"))

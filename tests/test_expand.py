@@ -1,5 +1,7 @@
 """Spellings, alias dictionaries and expansion."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from bibliomill.functions.variants import Variants
@@ -95,3 +97,26 @@ def test_shadows_follow_their_source(spark):
     assert got == {("吳佩孚", "吴佩孚"), ("吳玉帅", "吴玉帅"), ("啟", "启"), ("啓", "启")}
     gone = {r["value"] for r in A.shadow_variants(t.filter("term <> '启'"), seed, V).collect()}
     assert "啟" not in gone
+
+
+def test_first_names_of_hot_names_and_people(spark):
+    """The cut before the join changes no row, however many people share a name."""
+    rows = [(f"P{i:04d}", "shared", 0, i, 1) for i in range(1500)] + [("P0003", f"n{j:04d}", 0, 3, j + 2) for j in range(1200)]
+    dice = random.Random(5)
+    words = [f"w{i}" for i in range(14)]
+    for i in range(160):
+        rows.append((dice.choice(words), dice.choice(words), dice.randrange(3), 5000 + i, dice.randrange(4)))
+    alias = spark.createDataFrame(rows, "canon string, alias string, source_rank int, line_no long, pos int")
+    merged = A.merge_layers(alias)
+    terms = ["shared", "P0003", "n0007", *words, "unknown"]
+    asked = spark.createDataFrame([(t,) for t in terms + terms[:2]], "term string")
+    kept = [tuple(r) for r in merged.select("canon", "alias", "source_rank", "line_no", "pos").collect()]
+    for limit in (1, 4, 16):
+        want = set()
+        for term in terms:
+            people = {c for c, a, *_ in kept if term in (c, a)}
+            places = [((c, 0, 0, 0), c) for c in people] + [((c, r + 1, l, p), a) for c, a, r, l, p in kept if c in people]
+            values = list(dict.fromkeys(v for _, v in sorted(places) if v != term))
+            want |= {(term, v, i + 1) for i, v in enumerate(values[:limit])}
+        got = [tuple(r) for r in A.expand_all(asked, merged, limit).select("term", "value", "ord").collect()]
+        assert len(got) == len(want) and set(got) == want
