@@ -120,3 +120,47 @@ def test_first_names_of_hot_names_and_people(spark):
             want |= {(term, v, i + 1) for i, v in enumerate(values[:limit])}
         got = [tuple(r) for r in A.expand_all(asked, merged, limit).select("term", "value", "ord").collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_names_of_a_group_arise_after_the_last_shuffle(spark):
+    lines = [("main", 0, f"head{i % 2},shared,name{i},head{(i + 1) % 2}") for i in range(12)]
+    table = alias(spark, *lines, ("org", 1, "org,name1,shared,other"))
+    asked = terms(spark, "shared", "head0", "name1", "name2", "none")
+    grouped = A.group_aliases(asked, table, V)
+    everyone = A.expand_all(asked, A.merge_layers(table))
+    for df in (grouped, everyone):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert 0 <= plan.find("Generate posexplode") < plan.find("Exchange")
+    got = {}
+    for r in grouped.orderBy("term", "ord").collect():
+        got.setdefault(r["term"], []).append((r["ord"], r["alias"]))
+    evens = ["shared", *[x for i in range(0, 12, 2) for x in (f"name{i}", "head1")]]
+    evens = list(dict.fromkeys(evens))
+    # the supplement knows both as names of its own entity and replaces the main source
+    assert got["shared"] == got["name1"] == [(1, "name1"), (2, "shared"), (3, "other")]
+    assert got["head0"] == got["name2"] == list(enumerate(evens, 1))
+    assert "none" not in got
+    found = sorted((r["term"], r["value"]) for r in everyone.collect())
+    people = {"head0": {0, 2, 4, 6, 8, 10}, "head1": {1, 3, 5, 7, 9, 11}}
+    names_of = {h: {"shared", "head0", "head1", *[f"name{i}" for i in n]} for h, n in people.items()}
+    names_of["org"] = {"org", "name1", "shared", "other"}
+    want = sorted({(t, v) for t in ("shared", "head0", "name1", "name2") for h in names_of if t in names_of[h] for v in names_of[h] if v != t})
+    assert found == want
+
+
+def test_tiles_and_parts_of_a_group_keep_order_and_gaps(spark, monkeypatch):
+    from bibliomill.operators import groups
+
+    monkeypatch.setattr(groups, "TILE", 4)
+    monkeypatch.setattr(groups, "TERMS", 2)
+    lists = groups.name_lists(spark.createDataFrame([(b, f"{b}{i}" if i % 3 else f"x{i}", i) for b in "ab" for i in range(11)], "block string, value string, i int"), ["i"])
+    members = spark.createDataFrame([(t, b) for t in ("p", "q", "r", "s", "t") for b in "ab"], "term string, block string")
+    taken = [("q", "a1"), ("q", "b10"), ("r", "a4"), ("r", "a5"), ("s", "zz")]
+    start = spark.createDataFrame([("p", 5)], "term string, start long")
+    got = groups.names_of_terms(members, lists, spark.createDataFrame(taken, "term string, value string"), start)
+    rows = sorted((r["term"], r["ord"], r["value"]) for r in got.collect())
+    want = []
+    for t in "pqrst":
+        values = dict.fromkeys(f"{b}{i}" if i % 3 else f"x{i}" for b in "ab" for i in range(11))
+        want += [(t, n, v) for n, v in enumerate([v for v in values if (t, v) not in taken], 6 if t == "p" else 1)]
+    assert rows == want
