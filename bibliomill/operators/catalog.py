@@ -381,7 +381,9 @@ def target_stats(files: DataFrame, target: str = "root") -> DataFrame:
 def resolve_targets(asked: DataFrame, groups: DataFrame) -> DataFrame:
     """Chosen names with own groups replaced by their members; the first mention counts."""
     g = groups.select(F.col("group").alias("name"), "member", "member_pos")
-    flat = asked.join(g, "name", "left").select(
+    # a name asked for again comes later with all its members
+    first = asked.groupBy("name").agg(F.min(F.struct("pos")).alias("_first")).select("name", "_first.pos")
+    flat = first.join(g, "name", "left").select(
         "pos", F.coalesce("member_pos", F.lit(0)).alias("member_pos"), F.coalesce("member", "name").alias("target")
     )
     return first_wins(flat.filter("target <> ''"), ["target"], ["pos", "member_pos"])

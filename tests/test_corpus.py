@@ -231,3 +231,15 @@ def test_terms_that_differ_in_case_are_one(spark):
     pages = spark.createDataFrame([(1, 0, "The the THE")], "doc_id int, ord int, text string")
     terms = spark.createDataFrame([("The", 1), ("the", 2)], "term string, pos int")
     assert [(r["term"], r["pos"], r["count"]) for r in S.page_hits(pages, terms, case_insensitive=True).collect()] == [("the", 1, 3)]
+
+
+def test_names_asked_again_meet_their_group_once(spark):
+    from bibliomill.operators import catalog as C
+
+    asked = spark.createDataFrame([(i, "group" if i % 2 else f"t{i}") for i in range(20)], "pos long, name string")
+    members = spark.createDataFrame([("group", f"t{i}", i) for i in range(6)], "group string, member string, member_pos int")
+    df = C.resolve_targets(asked, members)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [name" in plan[plan.find("Join") :]
+    got = {r["target"]: r["pos"] for r in df.collect()}
+    assert got == {**{f"t{i}": i for i in range(8, 20, 2)}, **{f"t{i}": 0 if i == 0 else 1 for i in range(6)}, "t6": 6}
