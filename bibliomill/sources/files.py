@@ -7,6 +7,7 @@ import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from bibliomill.session import cut_lineage
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "big5")
 # Entries of a folder handed on at once.
 LISTED_AT_ONCE = 10_000
+# Characters of decoded texts a worker holds before it hands them on.
+DECODED_BYTES = 4 << 20
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".webp")
 
 
@@ -124,9 +127,19 @@ def _decode(data: bytes | None, hint: str | None) -> str | None:
     return data.decode("utf-8", "replace")
 
 
-@F.pandas_udf(T.StringType())
-def _decode_batch(data: pd.Series, hint: pd.Series) -> pd.Series:
-    return pd.Series([_decode(d, h) for d, h in zip(data, hint)])
+@F.arrow_udf(T.StringType())
+def _decode_batch(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The bytes of a batch stay where Arrow put them; one text at a time becomes an object, and
+    texts are handed on before ``DECODED_BYTES`` of them gather."""
+    for data, hint in batches:
+        out, size = [], 0
+        for d, h in zip(data, hint):
+            out.append(_decode(d.as_py(), h.as_py()))
+            size += len(out[-1] or "")
+            if size >= DECODED_BYTES:
+                yield pa.array(out, pa.string())
+                out, size = [], 0
+        yield pa.array(out, pa.string())
 
 
 def decoded(content: Column, charset_hint: Column | None = None) -> Column:
