@@ -22,6 +22,7 @@ from bibliomill.sources.publish import current, latest, publish
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HISTORY_CAP = 30
+NEVER = -(1 << 63) - 1
 MAX_REFRESH_MINUTES = 1440
 CATALOG = ["root", "dir", "name", "size", "mtime"]
 
@@ -142,26 +143,26 @@ def standing_search(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 class _History(StatefulProcessor):
-    """Latest search per term of one user; emits the list after each batch."""
+    """Latest search per term of one user; emits the list after each batch.  The list is one
+    value, read once and written once a batch, however many terms come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "kw string", "ts timestamp")
+        self.seen = handle.getValueState("list", "kw array<string>, at array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        held = self.seen.get()
+        latest = dict(zip(held[0], held[1])) if held is not None else {}
         for batch in rows:
-            for kw, ts in batch.groupby("kw")["ts"].max().items():
-                held = self.seen.getValue((kw,)) if self.seen.containsKey((kw,)) else None
-                if held is None or pd.Timestamp(held[0]) < ts:
-                    self.seen.updateValue((kw,), (ts.to_pydatetime(),))
-        entries = [(k[0], pd.Timestamp(v[0])) for k, v in self.seen.iterator()]
-        entries.sort(key=lambda e: (-e[1].value, e[0]))
+            # nanoseconds; a missing time is the smallest number
+            for kw, at in zip(batch["kw"], batch["ts"].astype("datetime64[ns]").astype("int64").tolist()):
+                if kw is not None and at > latest.get(kw, NEVER):
+                    latest[kw] = at
         # Older terms can never return to the list by age alone: state stays at the cap.
-        for kw, _ in entries[HISTORY_CAP:]:
-            self.seen.removeKey((kw,))
-        kept = entries[:HISTORY_CAP]
+        kept = sorted(latest.items(), key=lambda e: (-e[1], e[0]))[:HISTORY_CAP]
+        self.seen.update(([k for k, _ in kept], [t for _, t in kept]))
         yield pd.DataFrame(
             {
-                "user_id": [key[0]] * len(kept), "kw": [k for k, _ in kept], "ts": [t for _, t in kept],
+                "user_id": [key[0]] * len(kept), "kw": [k for k, _ in kept], "ts": pd.to_datetime([t for _, t in kept]),
                 "pos": range(1, len(kept) + 1),
             }
         )
