@@ -80,6 +80,11 @@ RIGHTS = (
     ("pub_date", r"(?U)((?:19|20)\d{2})\s*年\s*([0-9]{1,2})?\s*月?"),
     ("rights_holder", r"(?U)(?:出版發行|出版发行|出版者|印刷發行|印刷发行)\s*[:：]?\s*([\x{4E00}-\x{9FA5}]{2,25})"),
 )
+# Strings one of which every match of a pattern contains: where none is, the pattern is not tried.
+RIGHTS_LITERALS = {
+    "authorization": ("授權", "授权"), "copyright_holder": ("權", "权"), "copyright_line": ("©", "(C)"), "isbn": ("ISBN",),
+    "edition": ("版",), "printing": ("次印刷",), "pub_date": ("年",), "rights_holder": ("出版", "印刷"),
+}
 TOC_STRONG, TOC_WEAK = ("版权页", "版權頁"), ("版权", "版權")
 SAMPLE_KEYS = ("ISBN", "出版", "定价", "印刷")
 # ---------------------------------------------------------------------------------------
@@ -284,6 +289,8 @@ def shaped_publisher(block: Column) -> Column:
 def publishers(blocks: DataFrame, dictionary: DataFrame, key: str = "doc_id", limit: int = TERMS) -> DataFrame:
     """Publisher of each block: a dictionary name filling a line, else the longest
     dictionary name inside (the one starting last on a tie), else the most frequent shape."""
+    # Two branches read the blocks, which are costly to find: written once.
+    blocks = cut_lineage(blocks, "blocks")
     b = blocks.select(key, F.translate("block", LIGHT_TRAD, LIGHT_SIMP).alias("nb"))
     names = dictionary.filter("publisher <> ''").groupBy("publisher").agg(F.min_by("city", "pos").alias("city"))
     hits = contained_terms(b, [key], "nb", names, "publisher", limit)
@@ -520,12 +527,12 @@ def deep_records(
     return d.withColumn("city_src", F.when(known, col("city_src")).otherwise("dict")).withColumn("city", F.coalesce("city", "_city")).drop("_city")
 
 
-def rights_columns(text: Column) -> list[Column]:
-    """The eight rights fields of one text; NULL where it does not tell."""
-    t = X.half_width(text)
+def rights_columns(t: Column) -> list[Column]:
+    """The eight rights fields of one text in half width; NULL where it does not tell."""
     out = []
     for field, pattern in RIGHTS:
-        v = F.regexp_extract(t, pattern, 1)
+        told = reduce(or_, [F.contains(t, F.lit(k)) for k in RIGHTS_LITERALS[field]])
+        v = F.when(told, F.regexp_extract(t, pattern, 1))
         if field == "isbn":
             v = F.upper(v)
             v = F.when(F.length(v) >= 10, v)
@@ -542,7 +549,9 @@ def rights_columns(text: Column) -> list[Column]:
 def rights(texts: DataFrame, key: list[str]) -> DataFrame:
     """Rights fields per item from ``(key, source_rank, source, text)`` rows: the name, the
     folders from near to far, the colophon; with the source of every field."""
-    d = texts.select(*key, "source_rank", "source", *rights_columns(F.col("text")))
+    # the text is brought to half width once, not once for every field
+    read = X.let(X.half_width(F.col("text")), lambda t: F.struct(*rights_columns(t)))
+    d = texts.select(*key, "source_rank", "source", read.alias("_r")).select(*key, "source_rank", "source", *[f"_r.{f}" for f, _ in RIGHTS])
     aggs = []
     for field, _ in RIGHTS:
         rank = F.when(F.col(field).isNotNull(), F.col("source_rank"))
