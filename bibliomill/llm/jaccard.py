@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.llm.common import broadcast_up_to, cut_lineage
-from bibliomill.llm.linking import connected
+from bibliomill.llm.linking import KNOWN, connected, rare_members
 
 WORDS = 5
 LEAST = 80
@@ -41,9 +41,8 @@ LEAST = 80
 RESERVE, RESERVE_OF_MANY, MANY = 8, 2, 16
 # One segment more for so many, to pass over what many sets share.
 SPARE = 16
-# Rows handed on at once, and nodes whose texts are found by a broadcast of their keys.
+# Rows handed on at once.
 ROWS_AT_ONCE = 500_000
-KNOWN = 2_000_000
 TOLD, ASKS, LEFT_OUT, WIDE, LOWER = 1, 2, 4, 8, 16
 FLAGS = 5
 
@@ -275,9 +274,9 @@ def lookups(met: DataFrame) -> DataFrame:
     one_more = row(F.lit(1), F.lit(2), yes, no, asks & wide & ~left_out)
     lower = flag(LOWER)
     return met.select(
-        "sig", "node", "size", lower.alias("lower"), F.shiftright("info", FLAGS).alias("segment"), wide.alias("wide"),
+        "sig", "node", "size", "crowd", lower.alias("lower"), F.shiftright("info", FLAGS).alias("segment"), wide.alias("wide"),
         F.when(lower, F.col("spare_below")).otherwise(F.col("spare")).alias("spare"), F.explode(F.array_compact(F.array(as_written, one_less, one_more))).alias("r"),
-    ).select("sig", "r.kind", "node", "size", "lower", "segment", "wide", "spare", "r.unit", "r.asks", "r.told")
+    ).select("sig", "r.kind", "node", "size", "crowd", "lower", "segment", "wide", "spare", "r.unit", "r.asks", "r.told")
 
 
 def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -293,8 +292,8 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) ->
     of_node = hashed.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("spare").alias("spare"), F.first("spare_below").alias("spare_below"))
     same = Window.partitionBy("sig")
     rows = index_rows(docs, words, least, seed)
-    rows = rows.select("*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"), F.max(F.col("info").bitwiseAND(F.lit(ASKS))).over(same).alias("asked"))
-    met = rows.where("low < high AND asked > 0").select("sig", "node", "info").distinct()
+    rows = rows.select("*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"), F.max(F.col("info").bitwiseAND(F.lit(ASKS))).over(same).alias("asked"), F.count(F.lit(1)).over(same).alias("crowd"))
+    met = rows.where("low < high AND asked > 0").select("sig", "node", "info", "crowd").distinct()
     met = cut_lineage(lookups(met.join(of_node, "node")), "met")
 
     def alike(a: int, b: int, shared: int) -> bool:
@@ -303,7 +302,7 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) ->
     def sets_for(nodes: DataFrame) -> DataFrame:
         return cut_lineage(sets_of(docs, nodes, words, seed), "sets")
 
-    return hashed, connected(met, sets_for, alike, "uint64", least / 100, allotted)
+    return hashed, connected(met, sets_for, alike, "uint64", least / 100, allotted, lambda crowd: rare_members(crowd, "uint64", least / 100))
 
 
 def join_report(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:

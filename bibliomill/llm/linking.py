@@ -1,8 +1,9 @@
 """Components of links that are found through shared groups and verified pair by pair.
 
 Rows that ask in a group are to be compared with the rows that are told of in it.  All pairs of
-a group would grow with its square, so rounds go before them: each asking row is compared with
-one leader of its group, a row of another component.  The first leaders are the nodes that
+a group would grow with its square, so rounds go before them: each asking node is
+compared with two leaders of its groups, rows of other components: of all leaders it may take, the
+one that meets most others and the one that meets fewest.  The first leaders are the nodes that
 meet most others, as the text does that the others of a group were copied from; later ones are
 drawn anew each round.  What is linked becomes one component, and pairs inside a component need no comparison.  As soon as the pairs
 left are few for the rows that ask, or a round links few of its pairs, all of them are
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibliomill.llm.common import cut_lineage, group_edges, shuffle_width, whole_groups
+from bibliomill.llm.common import broadcast_up_to, cut_lineage, group_edges, shuffle_width, whole_groups
 
 GROUP = ["sig", "kind"]
 # Pairs left for each asking row below which they are compared at once.
@@ -38,6 +39,11 @@ STAR = 512
 TILE = 1024
 COLUMNS = 1024
 RARE = 24
+# Nodes whose sets are found by a broadcast of their keys.
+KNOWN = 2_000_000
+# Numbers put last by frequency when a crowd is compared by its rarest ones; any number gives
+# the same links.
+COMMON = 50_000
 
 
 def verified(pairs: DataFrame, sets: DataFrame, alike: Callable[[int, int, int], bool], dtype: str) -> DataFrame:
@@ -140,18 +146,25 @@ def connected(
     least: float,
     chosen: Callable[[DataFrame], DataFrame] | None = None,
     finer: Callable[[DataFrame], DataFrame] | None = None,
+    sharing: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, of the nodes with a smaller one.
 
-    ``rows(sig, kind, node, size, asks, told, ...)`` is a written table; ``sets_for(nodes)`` gives
-    the sets (node, set) of nodes, ``alike(size, size, shared)`` the links, of Jaccard likeness
+    ``rows(sig, kind, node, size, asks, told, crowd, ...)`` is a written table, ``crowd`` about the
+    number of rows of the group, from which first leaders are drawn; ``sets_for(nodes)``, called
+    once, gives the sets (node, set) of all nodes that may be compared, ``alike(size, size, shared)`` the links, of Jaccard likeness
     ``least`` or more, and ``chosen`` may pass over asking rows by their cost (``foreign``, the
-    rows of other components that they meet).  ``finer`` makes such rows of the nodes of crowds.
+    rows of other components that they meet); what it chose is asked in all later rounds.
+    ``finer`` makes such rows of the sets of crowds, and ``sharing`` keeps those of their pairs
+    (a, b, hub) that ``rows`` bring together too.
     """
     from bibliomill.llm.simhash import components
 
-    roots, links, tested, stars = None, None, None, None
-    last, turn = False, 0
+    roots, links, tested, stars, sets = None, None, None, None, None
+    last, refined, turn = False, False, 0
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return sets.join(broadcast_up_to(nodes, KNOWN), "node", "left_semi")
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) >= (least - 1e-9) * F.greatest(a, b)
@@ -161,8 +174,7 @@ def connected(
         # what is known of the nodes: component, star, and in a first round how central they are
         labels = [frame for frame in (roots, stars) if frame is not None]
         if turn == 1:
-            crowd = rows.where("told").groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
-            labels.append(rows.where("told").join(crowd, GROUP).groupBy("node").agg(F.sum("n").alias("met")))
+            labels.append(rows.where("told").groupBy("node").agg(F.sum("crowd").alias("met")))
         known = reduce(lambda x, y: x.join(y, "node", "full_outer"), labels) if labels else None
         labelled = rows if known is None else rows.join(known, "node", "left")
         for label in ("root", "star"):
@@ -170,10 +182,16 @@ def connected(
         labelled = cut_lineage(labelled, "labelled")
         draw = -F.coalesce("met", F.lit(0)) if turn == 1 else F.xxhash64("node", F.lit(turn))
         drawn = F.struct(draw.alias("draw"), "root", "node", "size")
-        told = labelled.where("told").groupBy(*GROUP, "root").agg(F.count(F.lit(1)).alias("own"), F.min(drawn).alias("leader"))
-        told = cut_lineage(told, "told")
-        whole = told.groupBy(*GROUP).agg(F.sum("own").alias("all"), F.min("leader").alias("leader"))
-        asking = labelled.where("asks").join(whole, GROUP).join(told.select(*GROUP, "root", "own"), [*GROUP, "root"], "left")
+        if turn == 1:
+            # every node is a component of its own
+            whole = labelled.where("told").groupBy(*GROUP).agg(F.count(F.lit(1)).alias("all"), F.min(drawn).alias("leader"))
+            asking = labelled.where("asks").join(whole, GROUP).withColumn("own", F.col("told").cast("long"))
+        else:
+            told = labelled.where("told").groupBy(*GROUP, "root").agg(F.count(F.lit(1)).alias("own"), F.min(drawn).alias("leader"))
+            told = cut_lineage(told, "told")
+            whole = told.groupBy(*GROUP).agg(F.sum("own").alias("all"), F.min("leader").alias("leader"), F.min("root").alias("low"), F.max("root").alias("high"))
+            asking = labelled.where("asks").join(whole, GROUP).where("low < high OR low <> root").drop("low", "high")
+            asking = asking.join(told.select(*GROUP, "root", "own"), [*GROUP, "root"], "left")
         foreign = F.col("all") - F.coalesce("own", F.lit(0))
         if stars is not None:
             compared = labelled.where("told").groupBy(*GROUP, "star").agg(F.count(F.lit(1)).alias("of_star"))
@@ -184,30 +202,40 @@ def connected(
         n, left = asking.agg(F.count(F.lit(1)), F.coalesce(F.sum("foreign"), F.lit(0))).first()
         if not n:
             break
-        if last and left > FEW * n and finer:
-            rows, finer, last = cut_lineage(finer(asking.select("node").distinct()), "finer"), None, False
+        if turn > 1 and left > FEW * n and finer:
+            # those asked of need not ask themselves
+            met = labelled.where("told").join(asking.select(*GROUP).distinct(), GROUP, "left_semi").select("node")
+            crowd = cut_lineage(met.unionByName(asking.select("node")).distinct(), "crowd")
+            rows, finer, last, refined = cut_lineage(finer(sets_of(crowd)), "finer"), None, False, True
             continue
         last = last or left <= FEW * n
-        if turn == 1 and not last:
-            rows = cut_lineage(still_asking(labelled.select(*rows.columns), asking.select("node").distinct()), "rows")
+        if chosen and not last:
+            rows, chosen = cut_lineage(still_asking(rows, asking.select(*rows.columns)), "rows"), None
         mine = [*GROUP, "node", "size", "root", "star"]
         if last:
             others = labelled.where("told").select(*GROUP, F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"), F.col("star").alias("hub_star"))
             met = asking.select(*mine).join(others, GROUP).where("hub_root <> root AND hub_star <> star")
         else:
-            # a row of the first leader's component takes the first leader of another one
-            firsts = whole.select(*GROUP, F.col("leader.root").alias("first"))
-            second = told.join(firsts, GROUP).where("root <> first").groupBy(*GROUP).agg(F.min("leader").alias("second"))
-            led = asking.select(*mine, "leader").join(second, GROUP, "left")
-            hub = F.when(F.col("leader.root") == F.col("root"), F.col("second")).otherwise(F.col("leader"))
-            met = led.withColumn("lead", hub).select(*mine, F.col("lead.node").alias("hub"), F.col("lead.size").alias("hub_size")).where("hub IS NOT NULL")
+            led, hub = asking.select(*mine, "leader"), F.when(F.col("leader.root") != F.col("root"), F.col("leader"))
+            if turn > 1:
+                # a row of the first leader's component takes the first leader of another one
+                firsts = whole.where("low < high").select(*GROUP, F.col("leader.root").alias("first"))
+                second = told.join(firsts, GROUP).where("root <> first").groupBy(*GROUP).agg(F.min("leader").alias("second"))
+                led, hub = led.join(second, GROUP, "left"), F.coalesce(hub, F.col("second"))
+            led = led.withColumn("lead", hub).where("lead IS NOT NULL").where(fits(F.col("size"), F.col("lead.size")))
+            both = led.groupBy("node", "size").agg(F.array(F.min("lead"), F.max("lead")).alias("leads")).select("node", "size", F.explode(F.array_distinct("leads")).alias("lead"))
+            met = both.select("node", "size", F.col("lead.node").alias("hub"), F.col("lead.size").alias("hub_size"))
         ends = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
         pairs = met.where(fits(F.col("size"), F.col("hub_size"))).select(*ends, "hub").groupBy("a", "b").agg(F.min("hub").alias("hub"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if refined and sharing:
+            pairs = sharing(pairs)
         pairs = cut_lineage(pairs, "pairs")
         ends = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        found = cut_lineage(verified(pairs, sets_for(ends), alike, dtype), "links")
+        if sets is None:
+            sets = sets_for(ends if last else rows.select("node").distinct())
+        found = cut_lineage(verified(pairs, sets_of(ends), alike, dtype), "links")
         linked = found.where("linked").select("a", "b")
         links = linked if links is None else links.unionByName(linked)
         tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
@@ -219,22 +247,59 @@ def connected(
         last = n_found <= USEFUL * n_pairs
         if turn == 1 and n_found and stars is None:
             stars, members = neighbourhoods(found, roots, 2 * least - 1)
-            joined = cut_lineage(star_links(members, sets_for(members.select("node").distinct()), alike, dtype, least), "star_links")
+            joined = cut_lineage(star_links(members, sets_of(members.select("node").distinct()), alike, dtype, least), "star_links")
             if not joined.isEmpty():
                 links = links.unionByName(joined)
                 roots = components(links)
     return roots if roots is not None else rows.select("node", F.col("node").alias("root")).limit(0)
 
 
-def still_asking(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows without those of nodes that need not ask, and without groups nobody asks in.
-    What a node meets only grows fewer by rounds, so it never has to ask again."""
+def still_asking(rows: DataFrame, asking: DataFrame) -> DataFrame:
+    """The chosen asking rows, and those told of in their groups.  What a node meets only grows
+    fewer by rounds, so nothing else ever has to be asked."""
     no = F.lit(False)
-    both = rows.where("told").withColumn("asks", no).unionByName(rows.where("asks").join(nodes, "node", "left_semi").withColumn("told", no).select(*rows.columns))
+    both = rows.where("told").withColumn("asks", no).unionByName(asking.withColumn("told", no))
     asked = F.max("asks").over(Window.partitionBy(*GROUP))
     return both.withColumn("_asked", asked).where("_asked").drop("_asked")
 
 
+def rare_members(sets: DataFrame, dtype: str, least: float) -> DataFrame:
+    """Groups of the sets (node, set) that share one of their rarest numbers.
+
+    In any one order of all numbers two alike sets share one of the first of each, as many as
+    may differ and one more.  The order puts the ``COMMON`` most frequent numbers of these
+    sets last, so a passage that many of them share brings nobody together.
+    """
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            met, n = np.unique(np.concatenate([np.frombuffer(b, dtype) for b in batch["set"]] or [np.empty(0, dtype)]), return_counts=True)
+            yield pd.DataFrame({"number": met.astype(np.int64), "n": n})
+
+    counts = sets.select("set").mapInPandas(counted, "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+    common = np.array([r[0] for r in counts.where("n > 1").orderBy(F.desc("n"), "number").limit(COMMON).select("number").collect()], np.int64).astype(dtype)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_number = np.argsort(common)
+        for batch in batches:
+            out = []
+            for node, numbers in zip(batch["node"], batch["set"]):
+                mine = np.frombuffer(numbers, dtype)
+                place = np.searchsorted(common, mine, sorter=by_number)
+                place[place == len(common)] = 0
+                known = common[by_number[place]] == mine if len(common) else np.zeros(len(mine), bool)
+                # the most frequent come last of all
+                rank = np.where(known, len(common) - by_number[place] if len(common) else 0, 0)
+                take = len(mine) - int(np.ceil(least * len(mine) - 1e-9)) + 1
+                rarest = mine[np.lexsort((mine, rank))[:take]]
+                out.append(pd.DataFrame({"sig": rarest.astype(np.int64), "node": node, "size": len(mine)}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sig": [], "node": [], "size": []}, dtype="int64")
+
+    rows = sets.mapInPandas(first, "sig long, node long, size long")
+    shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1")
+    return shared.select("sig", F.lit(0).alias("kind"), "node", "size", F.lit(True).alias("asks"), F.lit(True).alias("told"), F.col("n").alias("crowd"))
+
+
 def neighbourhoods(found: DataFrame, roots: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """The star (a leader) of every node that is within reach of one, that of most nodes, and
     the members (star, node, root, distance) of the stars of several components."""

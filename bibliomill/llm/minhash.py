@@ -24,16 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibliomill.llm.common import cut_lineage, free_name, shuffle_width
-from bibliomill.llm.linking import connected
+from bibliomill.llm.linking import connected, rare_members
 
 SHINGLE = 5
 PERMUTATIONS = 128
 BANDS = 32
 LIKENESS = 0.8
 AT_ONCE = 2048
-# Shingles put last by frequency when a crowd is compared by its rarest ones; any number gives
-# the same links.
-COMMON = 50_000
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -210,14 +207,15 @@ def class_roots(rows: DataFrame, least: float = LIKENESS) -> DataFrame:
     Bands whose texts are the same as another band's are compared once, and shingles are cut
     again only for one text of each class that shares a band.  A band of many classes is joined
     by rounds with leaders (``linking``), so the pairs of a group of near copies grow with its
-    size and not with its square.
+    size and not with its square.  Rare shingles only thin out the pairs of crowded bands:
+    classes without a common band are never compared.
     """
     of_class = cut_lineage(rows.groupBy("class").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("bands").alias("bands")), "classes")
     banded = of_class.select("class", "size", F.explode("bands").alias("band"))
     members = [F.count(F.lit(1)).alias("n"), F.sum(F.col("class").cast("decimal(38,0)")).alias("total"), F.bit_xor("class").alias("odd")]
-    shared = banded.groupBy("band").agg(*members).where("n > 1").groupBy("n", "total", "odd").agg(F.min("band").alias("band")).select("band")
+    shared = banded.groupBy("band").agg(*members).where("n > 1").groupBy("n", "total", "odd").agg(F.min("band").alias("band")).select("band", "n")
     met = banded.join(cut_lineage(shared, "bands").hint("merge"), "band")
-    met = cut_lineage(met.select(F.col("band").alias("sig"), F.lit(0).alias("kind"), F.col("class").alias("node"), "size", F.lit(True).alias("asks"), F.lit(True).alias("told")), "met")
+    met = cut_lineage(met.select(F.col("band").alias("sig"), F.lit(0).alias("kind"), F.col("class").alias("node"), "size", F.lit(True).alias("asks"), F.lit(True).alias("told"), F.col("n").alias("crowd")), "met")
     standing = of_class.join(met.select(F.col("node").alias("class")).distinct().hint("merge"), "class").select("row", F.col("class").alias("node"))
     sets = rows.select("row", "text").join(standing.hint("merge"), "row").select("node", _shingle_set(F.col("text")).alias("set"))
     sets = cut_lineage(sets, "shingles")
@@ -225,45 +223,18 @@ def class_roots(rows: DataFrame, least: float = LIKENESS) -> DataFrame:
     def alike(a: int, b: int, both: int) -> bool:
         return both >= least * (a + b - both)
 
-    roots = connected(met, lambda nodes: sets.join(nodes, "node"), alike, "uint32", least, finer=lambda nodes: rare_shingles(sets.join(nodes, "node"), least))
-    return roots.select(F.col("node").alias("class"), "root")
-
-
-def rare_shingles(sets: DataFrame, least: float) -> DataFrame:
-    """Groups of the classes that share one of their rarest shingles.
-
-    In any one order of all shingles two alike sets share one of the first of each, as many as
-    may differ and one more.  The order puts the ``COMMON`` most frequent shingles of these
-    sets last, so a passage that many of them share brings nobody together.
-    """
+    of_node = met.groupBy("node").agg(F.collect_set("sig").alias("bands"))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            met, n = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in batch["set"]] or [np.empty(0, np.uint32)]), return_counts=True)
-            yield pd.DataFrame({"shingle": met.astype(np.int64), "n": n})
-
-    counts = sets.select("set").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    common = np.array([r[0] for r in counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).select("shingle").collect()], np.uint32)
+    def share_a_band(pairs: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(of_node.select(F.col("node").alias(end), F.col("bands").alias(f"bands_{end}")), end)
+        return pairs.where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b", "hub")
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_number = np.argsort(common)
-        for batch in batches:
-            out = []
-            for node, numbers in zip(batch["node"], batch["set"]):
-                mine = np.frombuffer(numbers, np.uint32)
-                place = np.searchsorted(common, mine, sorter=by_number)
-                place[place == len(common)] = 0
-                known = common[by_number[place]] == mine if len(common) else np.zeros(len(mine), bool)
-                # the most frequent come last of all
-                rank = np.where(known, len(common) - by_number[place] if len(common) else 0, 0)
-                take = len(mine) - int(np.ceil(least * len(mine) - 1e-9)) + 1
-                rarest = mine[np.lexsort((mine, rank))[:take]]
-                out.append(pd.DataFrame({"sig": rarest.astype(np.int64), "node": node, "size": len(mine)}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sig": [], "node": [], "size": []}, dtype="int64")
-
-    rows = sets.mapInPandas(first, "sig long, node long, size long")
-    shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1")
-    return shared.select("sig", F.lit(0).alias("kind"), "node", "size", F.lit(True).alias("asks"), F.lit(True).alias("told"))
+    roots = connected(
+        met, lambda nodes: sets, alike, "uint32", least,
+        finer=lambda crowd: rare_members(crowd, "uint32", least), sharing=share_a_band,
+    )
+    return roots.select(F.col("node").alias("class"), "root")
 
 
 def near_duplicates(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
