@@ -56,10 +56,13 @@ class Variants:
         if not self.by_char:
             steps = [_longest_match(self.table[k]) for k in CONFIGS]
             return F.pandas_udf(lambda s: s.map(lambda w: _closure(w, steps)), T.ArrayType(T.StringType()))(c)
+        def more(found: Column) -> Column:
+            return F.array_distinct(F.concat(found, F.flatten(F.transform(found, lambda w: F.array(*[self.convert(w, k) for k in CONFIGS])))))
+
         found = F.array(c)
         for _ in range(ROUNDS):
-            more = F.flatten(F.transform(found, lambda w: F.array(*[self.convert(w, k) for k in CONFIGS])))
-            found = F.array_distinct(F.concat(found, more))
+            # bound once: a round names the one before twice
+            found = X.let(found, more)
         return F.filter(found, lambda w: (w != c) & (w != ""))
 
     def forms(self, c: Column) -> Column:

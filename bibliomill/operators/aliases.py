@@ -381,9 +381,12 @@ def audit(extra: DataFrame, main: DataFrame, variants: Variants) -> DataFrame:
     """Findings ``rule, source, canon, detail`` on supplementary sources.
 
     Rules: ``repeated_canon``, ``one_char``, ``repeated_in_group``, ``redundant``,
-    ``addition`` (a name the main source lacks), ``other_owner``, ``spelling_only``.
+    ``addition`` (a name the main source lacks), ``other_owner``, ``spelling_only``.  Names,
+    owners and additions are used by several rules and written once; the spellings of a name
+    are looked up once for each owner.
     """
     line = ["source", "source_rank", "line_no", "canon"]
+    extra = cut_lineage(extra.select(*line, "alias"), "audited")
     groups = extra.select(*line).distinct()
     again = first_wins(groups.select("canon", "source_rank", "line_no", "source"), ["canon"], ["source_rank", "line_no"])
     repeated = groups.join(again, ["canon", "source_rank", "line_no"], "left_anti").select(
@@ -395,18 +398,19 @@ def audit(extra: DataFrame, main: DataFrame, variants: Variants) -> DataFrame:
 
     lookup = to_canon(main).select(F.col("term").alias("form"), F.col("canon").alias("owner"))
     words = extra.select(F.col("canon").alias("w")).union(extra.select("alias")).distinct()
-    owners = (
+    owners = cut_lineage(
         words.select("w", F.explode(variants.forms(F.col("w"))).alias("form"))
         .join(lookup, "form")
         .groupBy("w")
-        .agg(F.min_by("owner", "form").alias("owner"))
+        .agg(F.min_by("owner", "form").alias("owner")),
+        "owners",
     )
     have = alias_lists(main).select(F.col("canon").alias("owner"), F.explode(variants.forms(F.col("alias"))).alias("form")).distinct()
     owned = groups.join(owners.withColumnRenamed("w", "canon"), "canon")
     named = owned.join(extra.select(*line, "alias").distinct(), line)
-    spelled = named.select(*line, "owner", "alias", F.explode(variants.forms(F.col("alias"))).alias("form"))
-    covered = spelled.join(have, ["owner", "form"], "left_semi").select(*line, "alias").distinct()
-    new = named.join(covered, [*line, "alias"], "left_anti")
+    spelled = named.select("owner", "alias").distinct().select("owner", "alias", F.explode(variants.forms(F.col("alias"))).alias("form"))
+    covered = spelled.join(have, ["owner", "form"], "left_semi").select("owner", "alias").distinct()
+    new = cut_lineage(named.join(covered, ["owner", "alias"], "left_anti"), "additions")
     addition = new.select(F.lit("addition").alias("rule"), "source", "canon", F.col("alias").alias("detail"))
     redundant = owned.join(new, line, "left_anti").select(F.lit("redundant").alias("rule"), "source", "canon", F.col("owner").alias("detail"))
 
