@@ -213,8 +213,13 @@ def connected(
             rows, chosen = cut_lineage(still_asking(rows, asking.select(*rows.columns)), "rows"), None
         mine = [*GROUP, "node", "size", "root", "star"]
         if last:
-            others = labelled.where("told").select(*GROUP, F.col("node").alias("hub"), F.col("size").alias("hub_size"), F.col("root").alias("hub_root"), F.col("star").alias("hub_star"))
-            met = asking.select(*mine).join(others, GROUP).where("hub_root <> root AND hub_star <> star")
+            own = [*mine[len(GROUP) :], "place"] if refined else mine[len(GROUP) :]
+            others = labelled.where("told").select(*GROUP, *[F.col(c).alias("hub" if c == "node" else f"hub_{c}") for c in own])
+            met = asking.select(*GROUP, *own).join(others, GROUP).where("hub_root <> root AND hub_star <> star")
+            if refined:
+                # what follows the first number in common must be enough for a link
+                most = F.least(F.col("size") - F.col("place"), F.col("hub_size") - F.col("hub_place"))
+                met = met.where(most >= least / (1 + least) * (F.col("size") + F.col("hub_size")) - 1e-6)
         else:
             led, hub = asking.select(*mine, "leader"), F.when(F.col("leader.root") != F.col("root"), F.col("leader"))
             if turn > 1:
@@ -264,7 +269,8 @@ def still_asking(rows: DataFrame, asking: DataFrame) -> DataFrame:
 
 
 def rare_members(sets: DataFrame, dtype: str, least: float) -> DataFrame:
-    """Groups of the sets (node, set) that share one of their rarest numbers.
+    """Groups of the sets (node, set) that share one of their rarest numbers, and the place
+    of that number among all of the set, the rarest first.
 
     In any one order of all numbers two alike sets share one of the first of each, as many as
     may differ and one more.  The order puts the ``COMMON`` most frequent numbers of these
@@ -292,12 +298,12 @@ def rare_members(sets: DataFrame, dtype: str, least: float) -> DataFrame:
                 rank = np.where(known, len(common) - by_number[place] if len(common) else 0, 0)
                 take = len(mine) - int(np.ceil(least * len(mine) - 1e-9)) + 1
                 rarest = mine[np.lexsort((mine, rank))[:take]]
-                out.append(pd.DataFrame({"sig": rarest.astype(np.int64), "node": node, "size": len(mine)}))
-            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sig": [], "node": [], "size": []}, dtype="int64")
+                out.append(pd.DataFrame({"sig": rarest.astype(np.int64), "node": node, "size": len(mine), "place": np.arange(len(rarest))}))
+            yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sig": [], "node": [], "size": [], "place": []}, dtype="int64")
 
-    rows = sets.mapInPandas(first, "sig long, node long, size long")
+    rows = sets.mapInPandas(first, "sig long, node long, size long, place long")
     shared = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1")
-    return shared.select("sig", F.lit(0).alias("kind"), "node", "size", F.lit(True).alias("asks"), F.lit(True).alias("told"), F.col("n").alias("crowd"))
+    return shared.select("sig", F.lit(0).alias("kind"), "node", "size", "place", F.lit(True).alias("asks"), F.lit(True).alias("told"), F.col("n").alias("crowd"))
 
 
 def neighbourhoods(found: DataFrame, roots: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:

@@ -85,3 +85,18 @@ def test_told_texts_of_a_crowd_are_found_by_rare_members(spark, monkeypatch):
     from test_jaccard_join import brute, got
 
     assert got(spark, rows) == brute(rows) and asked
+
+
+def test_a_passage_too_long_for_rare_members_makes_no_pairs(spark, monkeypatch):
+    # 56 shared n-grams of 74: not alike, but the rarest of a set reach into the passage
+    made = []
+    plain = linking.verified
+    monkeypatch.setattr(linking, "verified", lambda pairs, *rest: made.append(pairs.count()) or plain(pairs, *rest))
+    monkeypatch.setattr(linking, "FEW", 0)
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{words(rng, 9)} {passage}") for i in range(60)]
+    from test_jaccard_join import brute, got
+
+    assert got(spark, rows) == brute(rows)
+    assert sum(made) <= 4 * len(rows)
