@@ -27,63 +27,109 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bibliomill.llm.common import broadcast_up_to, cut_lineage
+from bibliomill.llm.common import broadcast_up_to, cut_lineage, shuffle_width
 from bibliomill.llm.linking import KNOWN, connected, rare_members
 
 WORDS = 5
 LEAST = 80
 # Segments, from the first, that are also indexed with one member left out: all of small sets,
-# few of others, whose spare segments do for most.
-RESERVE, RESERVE_OF_MANY, MANY = 8, 2, 16
+# one of others, whose spare segments do for most and cost fewer keys.
+RESERVE, RESERVE_OF_MANY, MANY = 8, 1, 16
 # One segment more for so many, to pass over what many sets share.
-SPARE = 16
-# Rows handed on at once.
+SPARE = 12
+# Rows handed on at once, and bytes of text hashed at once.
 ROWS_AT_ONCE = 500_000
-TOLD, ASKS, LEFT_OUT, WIDE, LOWER = 1, 2, 4, 8, 16
-FLAGS = 5
-
-
-class WordHashes(dict):
-    """Hashes of the words met lately; texts repeat most of their words."""
-
-    LIMIT = 200_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+BYTES_AT_ONCE = 2 << 20
+# Words of more bytes are hashed one by one.
+LONG_WORD = 256
+LOWERED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+IN_WORD = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+KEPT_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+TOLD, ASKS, LEFT_OUT, WIDE, LOWER, PLAIN = 1, 2, 4, 8, 16, 32
+# Bits of the flags, and of segment and flags; the spare units follow.
+FLAGS, PLACED = 6, 38
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and where each text begins
+    and the last one ends among them.
+
+    A word is hashed by blocks of 8 bytes, its length first; very long ones by xxHash.
+    """
+    from xxhash import xxh64_intdigest
+
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data else np.empty(0, np.uint8)
+    bounds = bounds - bounds[0]
+    if not len(held):
+        return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
+    low = np.append(LOWERED[held], np.zeros(8, np.uint8))
+    word = IN_WORD[held]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    # no word reaches into the next text
+    first, last = bounds[bounds < len(held)], bounds[bounds > 0] - 1
+    begins[first], ends[last] = word[first], word[last]
+    starts = np.flatnonzero(begins)
+    lengths = np.flatnonzero(ends) + 1 - starts
+    blocks = np.ndarray((len(held) + 1,), "<u8", low, strides=(1,))
+    hashes = _mixed(lengths.astype(np.uint64) + np.uint64(1 << 40))
+    open_, at = np.arange(len(starts)), 0
+    while len(open_) and at < LONG_WORD:
+        left = lengths[open_] - at
+        block = blocks[starts[open_] + at] & KEPT_BYTES[np.minimum(left, 8)]
+        hashes[open_] = _mixed(hashes[open_] ^ block)
+        open_, at = open_[left > 8], at + 8
+    for i in open_:
+        hashes[i] = xxh64_intdigest(low[starts[i] : starts[i] + lengths[i]].tobytes())
+    return hashes, np.searchsorted(starts, bounds)
+
+
+def sets_from(hashes: np.ndarray, first: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Rising distinct 64-bit hashes of the n-grams of each text."""
+
+    def grams(part: np.ndarray, n: int) -> np.ndarray:
+        total = np.full(max(0, len(part) - n + 1), n, np.uint64)
+        with np.errstate(over="ignore"):
+            for i in range(n):
+                total = (total ^ part[i : i + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
+                total ^= total >> np.uint64(29)
+        return total
 
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word)
-        return value
+    of_all = grams(hashes, size)
+    for lo, hi in zip(first[:-1], first[1:]):
+        if lo == hi:
+            yield np.empty(0, np.uint64)
+            continue
+        found = np.sort(of_all[lo : hi - size + 1]) if hi - lo >= size else grams(hashes[lo:hi], int(hi - lo))
+        yield found[np.append(True, found[1:] != found[:-1])]
 
 
-def tokens(words: list[bytes], size: int, hashed: WordHashes) -> np.ndarray:
-    """Rising distinct 64-bit hashes of the n-grams of words."""
-    if not words:
-        return np.empty(0, np.uint64)
-    hashes = np.array(list(map(hashed.__getitem__, words)), np.uint64)
-    size = min(size, len(words))
-    n = len(words) - size + 1
-    total = np.full(n, size, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(size):
-            total = (total ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            total ^= total >> np.uint64(29)
-    total.sort()
-    return total[np.append(True, total[1:] != total[:-1])]
+def digest_of(hashes: np.ndarray, seed: int) -> bytes:
+    """128-bit digest of a text's hashed words; its first half is the node's number."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16, salt=b"%d" % seed).digest()
 
 
-def node_of(words: list[bytes], seed: int) -> bytes:
-    """128-bit digest of the words; its first half is the node's number."""
-    return hashlib.blake2b(b" ".join(words), digest_size=16, salt=b"%d" % seed).digest()
+def node_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``BYTES_AT_ONCE`` of text, one text at least."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        piece = (np.cumsum(sizes, dtype=np.int64) - sizes) // BYTES_AT_ONCE
+        edges = np.flatnonzero(np.append(True, piece[1:] != piece[:-1])) if len(piece) else []
+        for lo, hi in zip(edges, [*edges[1:], len(piece)]):
+            yield batch.slice(lo, hi - lo)
 
 
 def difference(r: int, s: int, least: int = LEAST) -> int:
@@ -131,7 +177,7 @@ class Cut:
         self.spare = units + (int((self.sizes == 0).sum()) if self.all_asked else 0) - need
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures and what they stand for (segment and flags)."""
+        """Signatures and what they stand for (spare units, segment and flags)."""
         number = np.arange(self.segments, dtype=np.int64)
         mixed = _mixed(self.members)
         with np.errstate(over="ignore"):
@@ -141,11 +187,13 @@ class Cut:
             signature[full] += np.add.reduceat(mixed, starts)
             left = np.flatnonzero(self.wide[self.of[: int(self.sizes[: self.reserve].sum())]])
             without = signature[self.of[left]] - mixed[left]
-        exact = np.where(self.sizes > 0, TOLD | ASKS, TOLD | (ASKS if self.all_asked else 0)) | np.where(self.wide, WIDE, 0)
+        exact = np.where(self.sizes > 0, TOLD | ASKS, TOLD | (ASKS if self.all_asked else 0)) | np.where(self.wide, WIDE, 0) | np.where(number >= self.reserve, PLAIN, 0)
         flags = np.concatenate([exact, np.full(len(left), TOLD | ASKS | LEFT_OUT | WIDE)])
         if self.lower:
             flags = flags & ~TOLD | LOWER
-        info = np.concatenate([number, self.of[left]]) << FLAGS | flags
+        # a segment that is only looked up whole needs no number
+        place = np.concatenate([np.where(number < self.reserve, number, 0), self.of[left]])
+        info = self.spare << PLACED | place << FLAGS | flags
         used = (flags & (TOLD | ASKS)) > 0
         return np.concatenate([signature, without])[used], info[used]
 
@@ -164,77 +212,77 @@ def cuts(members: np.ndarray, least: int = LEAST) -> list[Cut]:
 # ---- passes over the texts -------------------------------------------------------------
 
 
-def classes(docs: DataFrame, words: int, least: int, seed: int) -> DataFrame:
-    """(doc_id, node, digest, n_shingles, spare, spare_below) of every document."""
+def classes(docs: DataFrame, words: int, seed: int) -> DataFrame:
+    """(doc_id, node, digest, n_shingles, of_text) of every document, the last a hash of the text as it is."""
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_pieces(batches):
+            hashes, first = hashed_words(batch.column("text"))
+            digests = [digest_of(hashes[lo:hi], seed) for lo, hi in zip(first[:-1], first[1:])]
+            sizes = [len(found) for found in sets_from(hashes, first, words)]
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(map(node_of, digests), pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("of_text")], ["doc_id", "node", "digest", "n_shingles", "of_text"])
+
+    read = docs.select("doc_id", "text", F.xxhash64("text").alias("of_text"))
+    return read.mapInArrow(measured, "doc_id long, node long, digest binary, n_shingles long, of_text long")
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHashes()
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                parts = words_of(text)
-                digest, found = node_of(parts, seed), tokens(parts, words, hashed)
-                spares = [c.spare for c in cuts(found, least)] + [0, 0]
-                out.append((int.from_bytes(digest[:8], "big", signed=True), digest, len(found), spares[0], spares[1]))
-            frame = pd.DataFrame(out, columns=["node", "digest", "n_shingles", "spare", "spare_below"])
-            frame["doc_id"] = pd.array(batch["doc_id"], "Int64")
-            yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(measured, "doc_id long, node long, digest binary, n_shingles long, spare int, spare_below int")
+def new_texts(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Nodes not met before, with the hashes of their words and where each begins among them."""
+    seen: set[int] = set()
+    for batch in in_pieces(batches):
+        hashes, first = hashed_words(batch.column("text"))
+        nodes = [node_of(digest_of(hashes[lo:hi], seed)) for lo, hi in zip(first[:-1], first[1:])]
+        new = [i for i, node in enumerate(nodes) if node not in seen and not seen.add(node)]
+        if len(new) < len(nodes):
+            lengths = np.diff(first)
+            kept = np.zeros(len(nodes), bool)
+            kept[new] = True
+            hashes = hashes[np.repeat(kept, lengths)]
+            first = np.append(0, np.cumsum(lengths[kept]))
+            nodes = [nodes[i] for i in new]
+        yield nodes, hashes, first
 
 
 def index_rows(docs: DataFrame, words: int, least: int, seed: int) -> DataFrame:
     """(sig, node, info) of the segments of every class, once in each task that meets it."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        hashed = WordHashes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        none = pd.DataFrame({"sig": np.empty(0, np.int64), "node": np.empty(0, np.int64), "info": np.empty(0, np.int64)})
 
-        def handed_on() -> pd.DataFrame:
-            if not held:
-                return none
+        def handed_on() -> pa.RecordBatch:
             sigs, infos, nodes = zip(*held)
-            lengths = [len(s) for s in sigs]
-            return pd.DataFrame({"sig": np.concatenate(sigs).view(np.int64), "node": np.repeat(np.array(nodes, np.int64), lengths), "info": np.concatenate(infos)})
-
-        for batch in batches:
-            for text in batch["text"]:
-                parts = words_of(text)
-                node = int.from_bytes(node_of(parts, seed)[:8], "big", signed=True)
-                if node in seen:
-                    continue
-                seen.add(node)
-                for part in cuts(tokens(parts, words, hashed), least):
+            columns = [np.concatenate(sigs).view(np.int64), np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs]), np.concatenate(infos)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "info"])
+
+        for nodes, hashes, first in new_texts(batches, seed):
+            for node, found in zip(nodes, sets_from(hashes, first, words)):
+                for part in cuts(found, least):
                     sig, info = part.keys()
                     held.append((sig, info, node))
                     n += len(sig)
                 if n >= ROWS_AT_ONCE:
                     yield handed_on()
                     held, n = [], 0
-        yield handed_on()
-
-    return docs.select("text").mapInPandas(cut, "sig long, node long, info long")
+        if held:
+            yield handed_on()
 
+    return docs.select("text").mapInArrow(cut, "sig long, node long, info long")
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
-    """(node, set) of the wanted nodes, read again from the texts."""
 
-    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            numbers = [int.from_bytes(node_of(words_of(t), seed)[:8], "big", signed=True) for t in batch["text"]]
-            new = [i for i, node in enumerate(numbers) if node not in seen and not seen.add(node)]
-            yield pd.DataFrame({"node": np.array(numbers, np.int64)[new], "text": batch["text"].iloc[new].to_numpy()})
+def sets_of(docs: DataFrame, hashed: DataFrame, nodes: DataFrame, words: int, seed: int) -> DataFrame:
+    """(node, set) of the wanted nodes, read again from one text of each."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashed = WordHashes()
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "set": [tokens(words_of(t), words, hashed).tobytes() for t in batch["text"]]})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for numbers, hashes, first in new_texts(batches, seed):
+            found = [s.tobytes() for s in sets_from(hashes, first, words)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(found, pa.binary())], ["node", "set"])
 
-    wanted = docs.select("text").mapInPandas(named, "node long, text string").join(broadcast_up_to(nodes, KNOWN), "node", "left_semi")
-    return wanted.mapInPandas(cut, "node long, set binary").dropDuplicates(["node"])
+    named = cut_lineage(hashed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("of_text").alias("of_text")), "named")
+    texts = docs.select("text", F.xxhash64("text").alias("of_text")).join(broadcast_up_to(named.select("of_text"), KNOWN), "of_text", "left_semi")
+    # another text may have the hash of a wanted one
+    found = texts.select("text").mapInArrow(cut, "node long, set binary")
+    return found.join(broadcast_up_to(named.select("node"), KNOWN), "node", "left_semi").dropDuplicates(["node"])
 
 
 # ---- the join ----------------------------------------------------------------------------
@@ -244,19 +292,20 @@ def allotted(asking: DataFrame) -> DataFrame:
     """The asking rows of the cheapest allowances that each set cannot do without.
 
     The first unit of a segment costs what equal segments it meets, the second what those with
-    one member less or more do, and no less than the first, which it needs.
+    one member less or more do, and no less than the first, which it needs.  A row that stands
+    for several segments gives that many units at once.
     """
     of_set, of_segment = ["node", "lower"], ["node", "lower", "segment"]
     costs = asking.groupBy(*of_segment).agg(
         *[F.sum(F.when(F.col("unit") == u, F.col("foreign")).otherwise(0)).alias(f"cost{u}") for u in (1, 2)],
-        F.max("wide").alias("wide"), F.max("spare").alias("spare"),
+        F.max("wide").alias("wide"), F.max("spare").alias("spare"), F.max("units").alias("units"),
     )
     first = F.when(F.col("cost1") > 0, F.struct(F.lit(1).alias("unit"), F.col("cost1").alias("cost")))
     second = F.when(F.col("wide"), F.struct(F.lit(2).alias("unit"), F.greatest("cost1", "cost2").alias("cost")))
-    units = costs.select(*of_segment, "spare", F.explode(F.array_compact(F.array(first, second))).alias("u")).select(*of_segment, "spare", "u.*")
-    by_cost = Window.partitionBy(*of_set).orderBy("cost", "segment", "unit")
-    paid = units.withColumn("place", F.row_number().over(by_cost)).withColumn("costly", F.count(F.lit(1)).over(Window.partitionBy(*of_set)))
-    paid = paid.where(F.col("place") <= F.col("costly") - F.col("spare")).groupBy(*of_segment).agg(F.max("unit").alias("allowance"))
+    units = costs.select(*of_segment, "spare", "units", F.explode(F.array_compact(F.array(first, second))).alias("u")).select(*of_segment, "spare", "units", "u.*")
+    by_cost = Window.partitionBy(*of_set).orderBy(F.col("cost") / F.col("units"), "segment", "unit").rowsBetween(Window.unboundedPreceding, 0)
+    paid = units.withColumn("place", F.sum("units").over(by_cost)).withColumn("costly", F.sum("units").over(Window.partitionBy(*of_set)))
+    paid = paid.where(F.col("place") - F.col("units") < F.col("costly") - F.col("spare")).groupBy(*of_segment).agg(F.max("unit").alias("allowance"))
     return asking.join(paid, of_segment).where("unit <= allowance").drop("allowance")
 
 
@@ -274,9 +323,31 @@ def lookups(met: DataFrame) -> DataFrame:
     one_more = row(F.lit(1), F.lit(2), yes, no, asks & wide & ~left_out)
     lower = flag(LOWER)
     return met.select(
-        "sig", "node", "size", "crowd", lower.alias("lower"), F.shiftright("info", FLAGS).alias("segment"), wide.alias("wide"),
-        F.when(lower, F.col("spare_below")).otherwise(F.col("spare")).alias("spare"), F.explode(F.array_compact(F.array(as_written, one_less, one_more))).alias("r"),
-    ).select("sig", "r.kind", "node", "size", "crowd", "lower", "segment", "wide", "spare", "r.unit", "r.asks", "r.told")
+        "sig", "node", "size", "crowd", "units", lower.alias("lower"), F.when(flag(PLAIN), F.col("sig")).otherwise(F.shiftright(F.col("info").bitwiseAND(F.lit((1 << PLACED) - 1)), FLAGS)).alias("segment"), wide.alias("wide"),
+        F.shiftright("info", PLACED).alias("spare"), F.explode(F.array_compact(F.array(as_written, one_less, one_more))).alias("r"),
+    ).select("sig", "r.kind", "node", "size", "crowd", "units", "lower", "segment", "wide", "spare", "r.unit", "r.asks", "r.told")
+
+
+def met_rows(rows: DataFrame) -> DataFrame:
+    """(sig, node, info, crowd, units) of index rows whose key several sets share.
+
+    Near copies share most of their segments, so many keys bring the very same sets together.
+    Of those that are not looked up with a member left out, one stands for all, with as many
+    units; keys are told apart by the hash of their sets and flags, with the least and greatest node.
+    """
+    same = Window.partitionBy("sig")
+    # 48 bits of the hash, so that the sum cannot overflow
+    held = F.shiftright(F.xxhash64("node", "info"), 16)
+    shared = rows.select(
+        "*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"), F.max(F.col("info").bitwiseAND(F.lit(ASKS))).over(same).alias("asked"),
+        F.count(F.lit(1)).over(same).alias("crowd"), F.sum(held).over(same).alias("held"),
+    ).where("low < high AND asked > 0")
+    plain = F.col("info").bitwiseAND(F.lit(PLAIN)) > 0
+    members = F.when(plain, F.xxhash64("held", "low", "high", "crowd")).otherwise(F.col("sig")).alias("members")
+    placed = shared.select("sig", "node", "info", "crowd", members)
+    placed = placed.repartition(shuffle_width(rows.sparkSession), "node").distinct()
+    one = placed.groupBy("node", "members", "info", "crowd").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("units"))
+    return one.select("sig", "node", "info", (F.col("crowd") * F.col("units")).alias("crowd"), "units")
 
 
 def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -284,23 +355,19 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) ->
     that are linked with a smaller one."""
     seed = 0
     while True:
-        hashed = cut_lineage(classes(docs, words, least, seed), "classes")
+        hashed = cut_lineage(classes(docs, words, seed), "classes")
         digests, nodes = hashed.groupBy("node", "digest").agg(F.lit(1)).groupBy("node").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
         if digests == nodes:
             break
         seed += 1  # two classes share a number: number them anew
-    of_node = hashed.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("spare").alias("spare"), F.first("spare_below").alias("spare_below"))
-    same = Window.partitionBy("sig")
-    rows = index_rows(docs, words, least, seed)
-    rows = rows.select("*", F.min("node").over(same).alias("low"), F.max("node").over(same).alias("high"), F.max(F.col("info").bitwiseAND(F.lit(ASKS))).over(same).alias("asked"), F.count(F.lit(1)).over(same).alias("crowd"))
-    met = rows.where("low < high AND asked > 0").select("sig", "node", "info", "crowd").distinct()
-    met = cut_lineage(lookups(met.join(of_node, "node")), "met")
+    of_node = hashed.groupBy("node").agg(F.first("n_shingles").alias("size"))
+    met = cut_lineage(lookups(met_rows(index_rows(docs, words, least, seed)).join(of_node, "node")), "met")
 
     def alike(a: int, b: int, shared: int) -> bool:
         return 100 * shared >= least * (a + b - shared)
 
     def sets_for(nodes: DataFrame) -> DataFrame:
-        return cut_lineage(sets_of(docs, nodes, words, seed), "sets")
+        return cut_lineage(sets_of(docs, hashed, nodes, words, seed), "sets")
 
     return hashed, connected(met, sets_for, alike, "uint64", least / 100, allotted, lambda crowd: rare_members(crowd, "uint64", least / 100))
 

@@ -34,6 +34,8 @@ RADIUS = 2
 SEED = 42
 # Fingerprints of a tile; a task holds two tiles and the comparison of some rows of one.
 TILE = 2048
+# Edges up to which components are found in one task.
+FEW_EDGES = 50_000
 ROWS_AT_ONCE = 128
 LANES = 4
 
@@ -186,17 +188,22 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
 
     both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     current = cut_lineage(both, purpose)
+    # a step makes no more than two pairs of one: few of them are not worth a shuffle
+    few = current.count() <= FEW_EDGES
     before = None
     while True:
         # larger neighbours: the smallest label of the whole neighbourhood
         sides = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sides = sides.coalesce(1) if few else sides
         low = lowest(sides)
         large = sides.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = cut_lineage(large.where("u <> v").distinct(), purpose)
         # smaller neighbours: every edge points down, and a node keeps its smallest
+        large = large.coalesce(1) if few else large
         low = lowest(large)
         joined = large.join(low, "u")
         small = joined.select("u", F.col("low").alias("v")).unionByName(joined.select(F.col("v").alias("u"), F.col("low").alias("v")))
+        small = small.coalesce(1) if few else small
         after = cut_lineage(small.where("u <> v").distinct(), purpose)
         state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from bibliomill.llm import jaccard, linking
@@ -123,3 +124,30 @@ def test_segments_cover_every_alike_pair():
     for low, high, segments in jaccard.bands(80)[:20]:
         assert segments > jaccard.difference(high, high * 100 // 80)
     assert [b[0] for b in jaccard.bands(80)[1:]] == [b[1] + 1 for b in jaccard.bands(80)[:-1]]
+
+
+def test_words_hashed_at_once_are_those_of_split():
+    rng = random.Random(5)
+    alphabet = ["a", "A", "b", " ", "\t", "\x0b", "\x1c", "\u00a0", "\u00c9", "\u00e9", "\u4e2d", "\0", "word"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += [None, "", " ", "x" * 255, "x" * 256, "x" * 257, "x" * 1000 + "y", "x" * 1000 + "z", "end", "a" * 8, "a" * 7 + "\0", "a" * 7]
+    names = {}
+    for column in (pa.array(texts), pa.array(["cut off", *texts, None, "too"]).slice(1, len(texts)), pa.array(texts, pa.large_string())):
+        hashes, first = jaccard.hashed_words(column)
+        for text, lo, hi in zip(texts, first[:-1], first[1:]):
+            want = (text or "").encode().lower().split()
+            assert len(want) == hi - lo
+            for word, value in zip(want, hashes[lo:hi]):
+                assert names.setdefault(word, value) == value
+    assert len(set(names.values())) == len(names)
+
+
+def test_keys_that_bring_the_same_sets_together_are_one_row(spark, monkeypatch):
+    made = []
+    plain = jaccard.connected
+    monkeypatch.setattr(jaccard, "connected", lambda rows, *rest: made.append(rows.count()) or plain(rows, *rest))
+    words = [f"w{i}" for i in range(500)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (2, " ".join([*words, "END"])), (3, "another text of its own")]
+    assert got(spark, rows) == brute(rows)
+    # some hundred segments in common
+    assert made[0] < 80

@@ -2,7 +2,7 @@
 
 import random
 
-from bibliomill.llm import jaccard, linking, minhash
+from bibliomill.llm import jaccard, linking, minhash, simhash
 
 
 def words(rng, n):
@@ -100,3 +100,18 @@ def test_a_passage_too_long_for_rare_members_makes_no_pairs(spark, monkeypatch):
 
     assert got(spark, rows) == brute(rows)
     assert sum(made) <= 4 * len(rows)
+
+
+def test_few_edges_are_joined_in_one_task_with_the_same_components(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(220)], "a long, b long").repartition(5)
+    widths = []
+    plain = simhash.cut_lineage
+    monkeypatch.setattr(simhash, "cut_lineage", lambda df, purpose: widths.append(df.rdd.getNumPartitions()) or plain(df, purpose))
+    found = {}
+    for few in (0, 1000):
+        monkeypatch.setattr(simhash, "FEW_EDGES", few)
+        widths.clear()
+        found[few] = sorted(map(tuple, simhash.components(edges).collect()))
+    assert found[0] == found[1000] and found[0]
+    assert set(widths[1:]) == {1}
