@@ -42,6 +42,9 @@ LEAST = 80
 RESERVE, RESERVE_OF_MANY, MANY = 8, 1, 16
 # One segment more for so many, to pass over what many sets share.
 SPARE = 12
+# Pairs left for each asking row, which may stand for many keys, from which a crowd is compared
+# by its rarest n-grams.
+CROWDED = 2
 # Rows handed on at once, and bytes of text hashed at once.
 ROWS_AT_ONCE = 500_000
 BYTES_AT_ONCE = 2 << 20
@@ -281,8 +284,8 @@ def sets_of(docs: DataFrame, hashed: DataFrame, nodes: DataFrame, words: int, se
     named = cut_lineage(hashed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("of_text").alias("of_text")), "named")
     texts = docs.select("text", F.xxhash64("text").alias("of_text")).join(broadcast_up_to(named.select("of_text"), KNOWN), "of_text", "left_semi")
     # another text may have the hash of a wanted one
-    found = texts.select("text").mapInArrow(cut, "node long, set binary")
-    return found.join(broadcast_up_to(named.select("node"), KNOWN), "node", "left_semi").dropDuplicates(["node"])
+    found = texts.dropDuplicates(["of_text", "text"]).select("text").mapInArrow(cut, "node long, set binary")
+    return found.join(broadcast_up_to(named.select("node"), KNOWN), "node", "left_semi")
 
 
 # ---- the join ----------------------------------------------------------------------------
@@ -369,7 +372,7 @@ def jaccard_classes(docs: DataFrame, least: int = LEAST, words: int = WORDS) ->
     def sets_for(nodes: DataFrame) -> DataFrame:
         return cut_lineage(sets_of(docs, hashed, nodes, words, seed), "sets")
 
-    return hashed, connected(met, sets_for, alike, "uint64", least / 100, allotted, lambda crowd: rare_members(crowd, "uint64", least / 100))
+    return hashed, connected(met, sets_for, alike, "uint64", least / 100, allotted, lambda crowd: rare_members(crowd, "uint64", least / 100), crowded=CROWDED)
 
 
 def join_report(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:

@@ -57,10 +57,10 @@ def verified(pairs: DataFrame, sets: DataFrame, alike: Callable[[int, int, int],
     dealt = pairs.join(partners, "hub").select(
         "hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node"), F.col("chunks")
     ).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).drop("chunks")
-    hubs = dealt.select("hub", "chunk", F.col("hub").alias("node")).distinct().join(sets, "node").withColumn("partner", F.lit(False))
-    others = dealt.join(sets, "node").withColumn("partner", F.lit(True))
+    hubs = dealt.select("hub", "chunk", F.col("hub").alias("node")).distinct().withColumn("partner", F.lit(False))
     order = ["hub", "chunk", "partner"]
-    rows = others.select(*order, "node", "set").unionByName(hubs.select(*order, "node", "set"))
+    # one join, so that the sets are shuffled once
+    rows = dealt.withColumn("partner", F.lit(True)).unionByName(hubs).join(sets, "node").select(*order, "node", "set")
     rows = rows.repartition(shuffle_width(pairs.sparkSession), "hub", "chunk").sortWithinPartitions(*order)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,6 +147,7 @@ def connected(
     chosen: Callable[[DataFrame], DataFrame] | None = None,
     finer: Callable[[DataFrame], DataFrame] | None = None,
     sharing: Callable[[DataFrame], DataFrame] | None = None,
+    crowded: int | None = None,
 ) -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, of the nodes with a smaller one.
 
@@ -155,8 +156,9 @@ def connected(
     once, gives the sets (node, set) of all nodes that may be compared, ``alike(size, size, shared)`` the links, of Jaccard likeness
     ``least`` or more, and ``chosen`` may pass over asking rows by their cost (``foreign``, the
     rows of other components that they meet); what it chose is asked in all later rounds.
-    ``finer`` makes such rows of the sets of crowds, and ``sharing`` keeps those of their pairs
-    (a, b, hub) that ``rows`` bring together too.
+    ``finer`` makes such rows of the sets of crowds, where more than ``crowded`` pairs (``FEW``) are
+    left for each asking row, and ``sharing`` keeps those of their pairs (a, b, hub) that ``rows``
+    bring together too.
     """
     from bibliomill.llm.simhash import components
 
@@ -202,7 +204,7 @@ def connected(
         n, left = asking.agg(F.count(F.lit(1)), F.coalesce(F.sum("foreign"), F.lit(0))).first()
         if not n:
             break
-        if turn > 1 and left > FEW * n and finer:
+        if turn > 1 and finer and left > min(FEW, FEW if crowded is None else crowded) * n:
             # those asked of need not ask themselves
             met = labelled.where("told").join(asking.select(*GROUP).distinct(), GROUP, "left_semi").select("node")
             crowd = cut_lineage(met.unionByName(asking.select("node")).distinct(), "crowd")
