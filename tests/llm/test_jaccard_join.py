@@ -145,7 +145,7 @@ def test_words_hashed_at_once_are_those_of_split():
 def test_keys_that_bring_the_same_sets_together_are_one_row(spark, monkeypatch):
     made = []
     plain = jaccard.connected
-    monkeypatch.setattr(jaccard, "connected", lambda rows, *rest: made.append(rows.count()) or plain(rows, *rest))
+    monkeypatch.setattr(jaccard, "connected", lambda rows, *rest, **more: made.append(rows.count()) or plain(rows, *rest, **more))
     words = [f"w{i}" for i in range(500)]
     rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (2, " ".join([*words, "END"])), (3, "another text of its own")]
     assert got(spark, rows) == brute(rows)
